@@ -42,12 +42,13 @@ def roc_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> Data
 
 def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve, ties counted half; NULL with a single class."""
-    curve = score_counts(df, y, score, by)
+    return score_counts(df, y, score, by).groupBy(*by).agg(_area().alias("auc"))
+
+
+def _area() -> Column:
+    """Aggregate over (pos, neg, cum_neg) per score: share of pairs ranked right, ties half."""
     wins = F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)
-    area = F.try_divide(
-        F.sum(wins), F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    )
-    return curve.groupBy(*by).agg(area.alias("auc"))
+    return F.try_divide(F.sum(wins), F.sum("pos").cast("double") * F.sum("neg").cast("double"))
 
 
 def cap_curve(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -100,23 +101,25 @@ def binary_metrics(
 ) -> DataFrame:
     """One row per group: AUC, accuracy, precision, recall, F1, rates and volume.
 
-    A group with a single class has no AUC; all its metrics are 0.
+    Confusion counts and the area come from the same (group, score) counts. A group with a
+    single class has no AUC; all its metrics are 0.
     """
     by = list(by)
     truth, guess = q(y), F.round(q(pred))
-    cells = df.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.count_if((truth == 1) & (guess == 1)).alias("tp"),
-        F.count_if((truth == 0) & (guess == 1)).alias("fp"),
-        F.count_if((truth == 1) & (guess == 0)).alias("fn"),
-        F.sum(truth.cast("long")).alias("sum_y"),
-        F.sum(guess.cast("long")).alias("sum_pred"),
+    sums = {
+        "n": F.count("*"),
+        "pos": _positive(truth),
+        "neg": _negative(truth),
+        "tp": F.count_if((truth == 1) & (guess == 1)),
+        "fp": F.count_if((truth == 0) & (guess == 1)),
+        "fn": F.count_if((truth == 1) & (guess == 0)),
+        "sum_y": F.sum(truth.cast("long")),
+        "sum_pred": F.sum(guess.cast("long")),
+    }
+    counts = running_totals(df.filter(truth.isNotNull()), score, sums, by, cumulate=["neg"])
+    both = counts.groupBy(*by).agg(
+        _area().alias("auc"), *[F.sum(c).alias(c) for c in sums if c not in ("pos", "neg")]
     )
-    area = auc(df, y, score, by)
-    if by:
-        both = cells.join(area, by, "left")
-    else:  # two one-row tables
-        both = cells.select("*", F.lit(area.first()["auc"]).cast("double").alias("auc"))
     ok = F.col("auc").isNotNull()
     tp, fp, fn, n = F.col("tp"), F.col("fp"), F.col("fn"), F.col("n")
     return both.select(

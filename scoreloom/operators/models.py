@@ -23,6 +23,7 @@ from scoreloom.operators import metrics
 from scoreloom.operators.encode import score_bands
 from scoreloom.operators.ordering import quantile_bin, quantile_edges
 from scoreloom.operators.stats import top_features
+from scoreloom.session import materialize
 
 # Training settings of each model.
 BOOST_ROUNDS = 100
@@ -317,15 +318,24 @@ def banded(
 def validate_splits(
     df: DataFrame, model: FittedModel, target: str, dataset: str = "dataset"
 ) -> DataFrame:
-    """Metrics of every split in one grouped pass over the labelled, scored frame."""
+    """Metrics of every split in one grouped pass over the labelled, scored frame.
+
+    Scores are written once, as a narrow table, because the metrics read them more than once and
+    scoring costs far more than reading.
+    """
+    base = df.select(dataset, target, *[q(c) for c in model.features if c not in (dataset, target)])
     if model.classes:
-        scored = model.score_multiclass(df)
+        probabilities = list(model.probability_columns().values())
+        scored = model.score_multiclass(base).select(dataset, target, f"{model.name}_y_pred", *probabilities)
+        scored = materialize(scored, "scores")
         table = metrics.multiclass_metrics(
             scored, target, f"{model.name}_y_pred", model.probability_columns(), [dataset]
         )
     else:
         m = model.name
-        scored = model.score(df)
+        scored = materialize(
+            model.score(base).select(dataset, target, f"{m}_y_pred", f"{m}_y_pred_prob"), "scores"
+        )
         table = metrics.binary_metrics(scored, target, f"{m}_y_pred", f"{m}_y_pred_prob", [dataset])
         at = metrics.cutoff_metrics(scored, target, f"{m}_y_pred", f"{m}_y_pred_prob", by=[dataset])
         table = table.join(at, dataset)

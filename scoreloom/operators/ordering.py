@@ -148,10 +148,13 @@ def running_totals(
     sums: Mapping[str, Column],
     by: Sequence[str] = (),
     descending: bool = False,
+    cumulate: Sequence[str] | None = None,
     ranges: int = RANGES,
 ) -> DataFrame:
     """One row per (by, order_by): each sum, its running total ``cum_<name>``, its group total ``all_<name>``.
 
+    ``cumulate`` limits the running and group totals to the named sums.
+
     Rows are pre-aggregated per value, then totalled inside each range; offsets of whole ranges
     come from a table of at most ``ranges`` rows per group.
     """
@@ -159,7 +162,8 @@ def running_totals(
     values = df.filter(q(order_by).isNotNull())
     splits = range_splits(values, order_by, ranges)
     grouped = values.groupBy(*by, order_by).agg(*[c.alias(n) for n, c in sums.items()])
-    return prefix_sums(with_range(grouped, order_by, splits), [order_by], list(sums), by, descending)
+    names = list(cumulate or sums)
+    return prefix_sums(with_range(grouped, order_by, splits), [order_by], names, by, descending)
 
 
 def prefix_sums(
