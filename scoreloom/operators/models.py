@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -194,14 +197,22 @@ def fit_model(
     )
 
 
+def _at_once(tasks: Sequence[Callable], parallelism: int = 4) -> list:
+    """Run independent fits side by side, so that the jobs of one fill the gaps of another."""
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
+        return list(pool.map(lambda task: task(), [inheritable_thread_target(t) for t in tasks]))
+
+
 def fit_multiclass(
     df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str], estimator=None
 ) -> FittedModel:
     """Boosted trees for k encoded classes: one model per class against the rest."""
-    parts = []
-    for code in range(len(classes)):
+
+    def against_rest(code: int) -> FittedModel:
         one = df.withColumn("_is", (q(target) == code).cast("int"))
-        parts.append(fit_model(one, features, "_is", "xgb", estimator))
+        return fit_model(one, features, "_is", "xgb", estimator)
+
+    parts = _at_once([partial(against_rest, code) for code in range(len(classes))])
     weights = {c: sum(p.importances[c] for p in parts) / len(parts) for c in features}
     return FittedModel("xgb", list(features), [p.models[0] for p in parts], list(map(str, classes)), weights)
 
@@ -375,12 +386,13 @@ def recursive_elimination(
     rows = df.withColumn("_fold", F.pmod(fold, F.lit(folds)))
     current, steps = list(features), []
     while True:
-        hits = []
-        for k in range(folds):
-            fitted = fit_model(
-                rows.filter(F.col("_fold") != k), current, target, "xgb", boosted(maxIter=rounds)
-            )
-            hits.append(fitted.score(rows.filter(F.col("_fold") == k)).select(q(target).alias("y"), "xgb_y_pred"))
+
+        def held_out(k: int, columns: list[str]) -> DataFrame:
+            others, fold_rows = rows.filter(F.col("_fold") != k), rows.filter(F.col("_fold") == k)
+            fitted = fit_model(others, columns, target, "xgb", boosted(maxIter=rounds))
+            return fitted.score(fold_rows).select(q(target).alias("y"), "xgb_y_pred")
+
+        hits = _at_once([partial(held_out, k, current) for k in range(folds)])
         tested = hits[0]
         for part in hits[1:]:
             tested = tested.unionByName(part)

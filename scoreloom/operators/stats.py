@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import names
 from scoreloom.functions.exprs import flag, pearson, q
 from scoreloom.operators.ordering import quantile_bin, quantile_edges, running_totals
+from scoreloom.session import materialize
 
 CORR_LOW, CORR_HIGH, CORR_TOP = 0.05, 0.4, 100
 WIDE = 200  # columns per aggregate before statistics are taken in several passes
@@ -135,6 +136,7 @@ def predictive_power(
         .groupBy("feature", "fold", "bin", "y")
         .agg(F.count("*").alias("n"))
     )
+    counts = materialize(counts, "power")  # small, and read several times below
     # every fold of a (bin, class) needs the count of the other folds, present in the fold or not
     per_class = counts.groupBy("feature", "bin", "y").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("fold", "n"))).alias("own")
@@ -220,18 +222,15 @@ def stump_split(df: DataFrame, column: str, target: str) -> dict | None:
     curve = running_totals(
         df.filter(y.isNotNull()), column, {"n": F.count("*"), "p": F.sum(y.cast("long"))}
     )
-    whole = df.filter(y.isNotNull() & q(column).isNotNull()).agg(
-        F.count("*").alias("N"), F.sum(y.cast("long")).alias("P")
-    )
-    total = whole.first()
-    if not total["N"]:
-        return None
-    n, p = F.col("cum_n"), F.col("cum_p")
-    rest_n, rest_p = F.lit(total["N"]) - n, F.lit(total["P"]) - p
+    n, p, all_n, all_p = (F.col(c) for c in ("cum_n", "cum_p", "all_n", "all_p"))
+    rest_n, rest_p = all_n - n, all_p - p
     impurity = 2 * p * (n - p) / n + F.try_divide(2 * rest_p * (rest_n - rest_p), rest_n)
     best = (
-        curve.filter(n < total["N"])
-        .select(q(column).alias("x"), n.alias("n"), p.alias("p"), impurity.alias("impurity"))
+        curve.filter(n < all_n)
+        .select(
+            q(column).alias("x"), n.alias("n"), p.alias("p"), all_n.alias("N"), all_p.alias("P"),
+            impurity.alias("impurity"),
+        )
         .orderBy("impurity", "x")
         .limit(1)
         .collect()
@@ -243,7 +242,7 @@ def stump_split(df: DataFrame, column: str, target: str) -> dict | None:
         F.min(q(column)).alias("lo"), F.max(q(column)).alias("hi")
     ).first()
     left_class = int(2 * left["p"] > left["n"])
-    right_class = int(2 * (total["P"] - left["p"]) > total["N"] - left["n"])
+    right_class = int(2 * (left["P"] - left["p"]) > left["N"] - left["n"])
     return {
         "cut": (left["x"] + above["lo"]) / 2,
         "left": left_class,

@@ -1 +1,235 @@
-"""to come"""
+"""Models, scoring and the composed flows. Fits have no SQL; their properties are tested instead."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from scoreloom.operators import encode, models, stats
+from scoreloom.params import ScoringParams
+from scoreloom.plans import predict as predict_flow
+from scoreloom.plans import prepare as prepare_flow
+from scoreloom.plans import report as report_flow
+from scoreloom.plans import train as train_flow
+from scoreloom.queries.catalog import query
+from scoreloom.queries.frame import KEY, NUMERIC_FEATURES, PERIODS, frame, table
+from scoreloom.queries.rows import CUT_OFFS
+from scoreloom.session import materialize
+
+
+def _rows(spark, sf) -> DataFrame:
+    """The frame's features, target and splits, written once because fitting reads them often."""
+    return materialize(
+        frame(spark, sf).select(*KEY, "obs", "y", "o_orderpriority", "dataset", "bucket", *NUMERIC_FEATURES), "frame"
+    )
+
+
+def _train(rows: DataFrame) -> DataFrame:
+    return rows.filter("dataset = 'train'")
+
+
+def _fit(rows: DataFrame, kind: str, **settings) -> models.FittedModel:
+    estimator = models.ESTIMATORS[kind](**settings) if settings else None
+    return models.fit_model(_train(rows), NUMERIC_FEATURES, "y", kind, estimator)
+
+
+@query("train_boosted")
+def train_boosted(spark, sf):
+    rows = _rows(spark, sf)
+    return models.validate_splits(rows, _fit(rows, "xgb"), "y")
+
+
+@query("train_forest")
+def train_forest(spark, sf):
+    rows = _rows(spark, sf)
+    return models.validate_splits(rows, _fit(rows, "rf"), "y")
+
+
+@query("train_tree")
+def train_tree(spark, sf):
+    rows = _rows(spark, sf)
+    return models.validate_splits(rows, _fit(rows, "dt"), "y")
+
+
+@query("train_logistic")
+def train_logistic(spark, sf):
+    rows = _rows(spark, sf)
+    model = models.fit_logistic(_train(rows), NUMERIC_FEATURES, "y")
+    return spark.createDataFrame(model.coefficients, "feature string, coef double, error double")
+
+
+def _three_levels(rows: DataFrame) -> DataFrame:
+    """0 for no event, 1 and 2 for an event on a small and a large quantity."""
+    return rows.withColumn("level", F.when(F.col("y") == 0, 0).when(F.col("qty") < 40, 1).otherwise(2))
+
+
+def _fit_levels(rows: DataFrame, **settings) -> models.FittedModel:
+    estimator = models.boosted(**settings)
+    return models.fit_multiclass(_train(rows), NUMERIC_FEATURES, "level", ["none", "small", "large"], estimator)
+
+
+@query("train_boosted_multiclass")
+def train_boosted_multiclass(spark, sf):
+    rows = _three_levels(_rows(spark, sf))
+    return models.validate_splits(rows, _fit_levels(rows), "level")
+
+
+@query("score_multiclass")
+def score_multiclass(spark, sf):
+    rows = _three_levels(_rows(spark, sf))
+    model = _fit_levels(rows, maxIter=5, stepSize=0.1)  # the fit at full length is train_boosted_multiclass
+    scored = materialize(model.score_multiclass(rows), "scores")
+    columns = {c: c.replace("proba_for_criterion_class", "criterion_decil_class") for c in model.probability_columns().values()}
+    return models.score_deciles(scored, columns).select(*KEY, "xgb_y_pred", *columns, *columns.values())
+
+
+@query("two_pass_fit")
+def two_pass_fit(spark, sf):
+    rows = _rows(spark, sf)
+    model = models.two_pass_fit(_train(rows), NUMERIC_FEATURES, "y", "rf", k=4, exclude=["l_tax"])
+    return model.importance_table(spark)
+
+
+@query("top_features")
+def top_features(spark, sf):
+    model = _fit(_rows(spark, sf), "dt")
+    return stats.top_features(model.importance_table(spark), k=3)
+
+
+@query("learning_curve")
+def learning_curve(spark, sf):
+    rows = _rows(spark, sf)
+    model = _fit(rows, "xgb", maxIter=20, stepSize=0.1)
+    return models.learning_curve(model, {"train": _train(rows), "test": rows.filter("dataset = 'test'")}, "y")
+
+
+@query("score")
+def score(spark, sf):
+    rows = _rows(spark, sf)
+    return _fit(rows, "dt").score(rows).select(*KEY, "dt_y_pred", "dt_y_pred_prob")
+
+
+@query("tree_bands")
+def tree_bands(spark, sf):
+    rows = frame(spark, sf).select(*KEY, "score", "y")
+    return models.tree_bands(rows, "score", "y", "band", leaf="leaf").select(*KEY, "band", "leaf")
+
+
+@query("validate_splits")
+def validate_splits(spark, sf):
+    rows = _rows(spark, sf)
+    return models.validate_splits(rows, _fit(rows, "dt"), "y")
+
+
+@query("batch_predict")
+def batch_predict(spark, sf):
+    rows = _rows(spark, sf)
+    known = _fit(rows, "dt")
+    lacking = models.FittedModel("rf", ["not_there"], known.models)
+    return models.batch_predict(rows, [known, lacking]).select(*KEY, "predict_dt", "predict_rf")
+
+
+@query("recursive_elimination")
+def recursive_elimination(spark, sf):
+    steps = models.recursive_elimination(
+        _train(_rows(spark, sf)), NUMERIC_FEATURES, "y", F.col("bucket"), keep=3, rounds=2
+    )
+    return steps.withColumn("features", F.array_join("features", ","))
+
+
+# -- flows -------------------------------------------------------------------------------------
+
+PARAMS = ScoringParams(
+    criterion_column="y",
+    observation_date_column="obs",
+    t1df=PERIODS[0],
+    t2df=PERIODS[1],
+    t3df=PERIODS[2],
+    missing_treatment="column_mean",
+    periods_to_exclude=["2001-08"],
+    columns_to_include=["qty_div_ratio_p_size"],
+    columns_to_exclude=["bucket", "l_suppkey", "p_partkey", "user_id", "obs"],
+    cut_offs={"dt": CUT_OFFS, "xgb": CUT_OFFS, "rf": CUT_OFFS},
+    secondary_criterion_columns=["l_extendedprice", "o_totalprice"],
+    under_sampling=1,
+    symbol="portfolio",
+    direction="up",
+    model_version="1",
+    signal_trade={"col1_name": "predict_dt", "col1_value": 0.5},
+)
+
+
+def _main(spark, sf) -> DataFrame:
+    rows = frame(spark, sf)
+    return rows.select(
+        *KEY,
+        "obs",
+        "y",
+        "bucket",
+        "qty",
+        F.when(F.col("l_partkey") % 50 != 0, F.col("disc100")).alias("disc100"),
+        "p_size",
+        "l_extendedprice",
+        "o_totalprice",
+        "l_returnflag",
+        "l_shipdate",
+        "o_orderdate",
+        F.col("o_custkey").alias("user_id"),
+    )
+
+
+def _sides(spark, sf) -> dict[str, prepare_flow.SideTable]:
+    events = table(spark, sf, "events").select("user_id", "event_id", "value")
+    return {"events.parquet": prepare_flow.SideTable(events, ["user_id"], ["event_id"])}
+
+
+@query("flow_prepare")
+def flow_prepare(spark, sf):
+    prepared = prepare_flow.prepare(_main(spark, sf), PARAMS, KEY, _sides(spark, sf), F.col("bucket"))
+    return stats.corr_with_target(prepared.working, prepared.features, "y")
+
+
+def _trained(spark, sf):
+    prepared = prepare_flow.prepare(_main(spark, sf), PARAMS, KEY, None, F.col("bucket"))
+    trained = train_flow.train(
+        prepared.full, prepared.features, PARAMS, F.col("bucket"), ["dt"], prepared.working
+    )
+    return prepared, trained
+
+
+@query("flow_train")
+def flow_train(spark, sf):
+    return _trained(spark, sf)[1].metrics
+
+
+@query("flow_predict")
+def flow_predict(spark, sf):
+    prepared, trained = _trained(spark, sf)
+    result = predict_flow.predict(
+        _main(spark, sf),
+        prepared.plan,
+        [trained.models["dt"]],
+        PARAMS,
+        trained.labelled.filter("dataset = 'train'"),
+        {"tp": 10, "sl": 5, "period": 3},
+        "obs",
+        3,
+    )
+    scores = ["predict_dt", "signal_trade", "mean_data_drift", "mean_w_data_drift", "symbol", "version"]
+    return result.predictions.select(*KEY, "obs", *scores)
+
+
+@query("flow_report")
+def flow_report(spark, sf):
+    rows = frame(spark, sf)
+    flags = encode.OneHot({"l_returnflag": ["A", "N", "R"]}).transform(rows.select(
+        *KEY, "obs", "y", "dataset", "l_returnflag", "qty", "disc100", "p_size", "l_extendedprice", "o_totalprice"
+    ))
+    features = ["qty", "disc100", "p_size", "l_returnflag_dummie_N"]
+    base = materialize(flags, "splits")
+    model = models.fit_model(base.filter("dataset = 'train'"), features, "y", "dt")
+    banded = models.banded(model.score(base), "dt", "y", CUT_OFFS)
+    splits = materialize(banded, "banded")
+    return report_flow.stacked(
+        report_flow.model_report(splits, model, PARAMS, raw_columns=["l_extendedprice"])
+    )
