@@ -24,6 +24,7 @@ from scoreloom.functions.exprs import (
 )
 
 MAX_CATEGORIES = 20
+RATIOS_PER_PASS = 500
 
 # Accepted date texts, tried in this order (shape of the text, then its pattern).
 DATE_FORMATS = (
@@ -275,23 +276,31 @@ class Ratios:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> "Ratios":
+        """Means over finite quotients; a pair without any is left out."""
+        from scoreloom.operators.profile import per_item
+
         pairs = ratio_pairs(columns, keep)
-        if not pairs:
-            return cls({})
-        row = df.agg(*[F.avg(ratio(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-        return cls({pair: row[i] for i, pair in enumerate(pairs)})
+        means: dict[int, float | None] = {}
+        if 0 < len(pairs) <= 12:
+            row = df.agg(*[F.avg(ratio(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+            means = dict(enumerate(row))
+        for start in range(0, len(pairs) if len(pairs) > 12 else 0, RATIOS_PER_PASS):
+            part = pairs[start : start + RATIOS_PER_PASS]
+            found = per_item(df, [(ratio(a, b),) for a, b in part], [F.avg("x0").alias("m")]).collect()
+            means.update({start + r["i"]: r["m"] for r in found})
+        return cls({pair: means[i] for i, pair in enumerate(pairs) if means.get(i) is not None})
 
     def names(self) -> list[str]:
         return [f"{a}{names.DIV_RATIO}{b}" for a, b in self.fills]
 
+    def columns(self) -> list[Column]:
+        return [
+            F.coalesce(ratio(a, b), F.lit(mean)).alias(f"{a}{names.DIV_RATIO}{b}")
+            for (a, b), mean in self.fills.items()
+        ]
+
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.select(
-            "*",
-            *[
-                F.coalesce(ratio(a, b), F.lit(mean).cast("double")).alias(f"{a}{names.DIV_RATIO}{b}")
-                for (a, b), mean in self.fills.items()
-            ],
-        )
+        return df.select("*", *self.columns())
 
 
 def pairwise_ratios(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.exprs import q
 from scoreloom.operators.ordering import running_totals
+from scoreloom.operators.profile import label_items, per_item
 
 
 def _positive(y: Column) -> Column:
@@ -201,11 +202,8 @@ def multiclass_metrics(
 
 def feature_means(df: DataFrame, features: Sequence[str], out: str) -> DataFrame:
     """(feature, mean) for all features in one pass."""
-    row = df.agg(*[F.avg(q(c)).alias(f"c{i}") for i, c in enumerate(features)])
-    pairs = [
-        F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias(out)) for i, c in enumerate(features)
-    ]
-    return row.select(F.inline(F.array(*pairs)))
+    means = per_item(df, [(q(c),) for c in features], [F.avg("x0").alias(out)])
+    return label_items(means, features, "feature")
 
 
 def feature_drift(train: DataFrame, new: DataFrame, importances: DataFrame) -> DataFrame:

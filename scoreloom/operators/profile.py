@@ -29,17 +29,33 @@ def long_form(
     return picked.select(*[q(c) for c in kept], F.inline(F.array(*pairs)))
 
 
+def per_item(
+    df: DataFrame, items: Sequence[Sequence[Column]], aggs: Sequence[Column], carry: Sequence[Column] = ()
+) -> DataFrame:
+    """One row per item ``i`` with aggregates over its columns ``x0``, ``x1``, ...
+
+    Hundreds of statistics share a few aggregates grouped by item number, combined map-side,
+    instead of an aggregate list as wide as the items.
+    """
+    structs = [
+        F.struct(F.lit(i).alias("i"), *[c.cast("double").alias(f"x{k}") for k, c in enumerate(item)])
+        for i, item in enumerate(items)
+    ]
+    return df.select(*carry, F.inline(F.array(*structs))).groupBy("i").agg(*aggs)
+
+
+def label_items(stats: DataFrame, labels: Sequence[str], name: str) -> DataFrame:
+    """Replace the item number of ``per_item`` by its label."""
+    texts = F.array(*[F.lit(t) for t in labels])
+    rest = [c for c in stats.columns if c != "i"]
+    return stats.select(F.element_at(texts, F.col("i") + 1).alias(name), *rest)
+
+
 def missing_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column_name, percent_missing), one aggregate pass over the frame."""
     columns = list(columns or df.columns)
-    row = df.agg(
-        *[F.avg(F.when(q(c).isNull(), 100.0).otherwise(0.0)).alias(f"c{i}") for i, c in enumerate(columns)]
-    )
-    pairs = [
-        F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("percent_missing"))
-        for i, c in enumerate(columns)
-    ]
-    return row.select(F.inline(F.array(*pairs)))
+    flags = [(F.when(q(c).isNull(), 100.0).otherwise(0.0),) for c in columns]
+    return label_items(per_item(df, flags, [F.avg("x0").alias("percent_missing")]), columns, "column_name")
 
 
 def missing_report(table: DataFrame, limit: int = 100) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions import names
 from scoreloom.functions.exprs import key_hash, nan_to_null, q
 from scoreloom.operators import aggregates, cleaning, encode, filters, profile, projection, sampling, stats
-from scoreloom.operators.binning import OptimalBins
+from scoreloom.operators.binning import OptimalBins, require_two_valued
 from scoreloom.params import ScoringParams
 from scoreloom.plans.hooks import run_hook
 from scoreloom.session import materialize
@@ -42,30 +42,39 @@ class PreparationPlan:
     dates: list[str]
     one_hot: encode.OneHot
     ratios: encode.Ratios
-    bins: OptimalBins | None = None
+    bins: OptimalBins = field(default_factory=lambda: OptimalBins({}, {}))
     features: list[str] = field(default_factory=list)
 
-    def engineer(self, df: DataFrame) -> DataFrame:
-        """Cleaning and features up to the point where bins are applied."""
+    def clean(self, df: DataFrame) -> DataFrame:
+        """Outliers treated, dates parsed and spread into hours and parts."""
         known = set(df.columns)
         rule = cleaning.OutlierRule({c: a for c, a in self.outliers.action.items() if c in known})
-        df = rule.transform(df)
-        formats = {c: f for c, f in self.date_formats.items() if c in known}
-        df = encode.add_parsed_dates(df, formats)
+        df = encode.add_parsed_dates(
+            rule.transform(df), {c: f for c, f in self.date_formats.items() if c in known}
+        )
         dates = [d for d in self.dates if d in df.columns]
-        df = encode.date_parts(encode.date_diff_hours(df, dates), dates)
+        return encode.date_parts(encode.date_diff_hours(df, dates), dates)
+
+    def engineer(self, df: DataFrame) -> DataFrame:
+        """Dummies, ratios and filled gaps on a clean frame.
+
+        Nothing is computed here: whoever reads a few of the added columns pays for those only.
+        """
         have = set(df.columns)
-        df = encode.OneHot({c: v for c, v in self.one_hot.levels.items() if c in have}).transform(df)
+        one_hot = encode.OneHot({c: v for c, v in self.one_hot.levels.items() if c in have})
         ratios = encode.Ratios({p: m for p, m in self.ratios.fills.items() if have.issuperset(p)})
-        return cleaning.treat_missing(ratios.transform(df), self.missing_treatment)
+        wide = ratios.transform(one_hot.transform(df))
+        return cleaning.treat_missing(wide, self.missing_treatment, df.columns)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Prepare new data with the choices learned before."""
-        df = self.engineer(nan_to_null(df))
-        if self.bins is None:
-            return df
-        have = set(df.columns)
-        return OptimalBins({c: s for c, s in self.bins.splits.items() if c in have}, {}).transform(df)
+        """Prepare new data with the choices learned before; only selected features are added."""
+        clean = self.clean(nan_to_null(df))
+        wide = self.engineer(clean)
+        have = set(wide.columns)
+        bins = OptimalBins({c: s for c, s in self.bins.splits.items() if c in have}, {})
+        wide = bins.transform(wide, fill_gaps=False)
+        extra = [c for c in self.features if c in wide.columns and c not in clean.columns]
+        return wide.select(*[q(c) for c in (*clean.columns, *extra)])
 
 
 @dataclass
@@ -121,28 +130,56 @@ def prepare(
     else:
         working = full = materialize(full, "joined")
 
-    carried = [*key, target]
     missing = profile.missing_table(working)
-    hidden = names.unique([*params.columns_to_exclude, *carried])
-    plan = _learn(working, full, params, hidden, target, multiclass, bucket)
-    if plan.ratios.fills or plan.one_hot.levels:
-        working, full = _both(plan.engineer, working, full, "engineered")
-
-    numerical = list(_numericals(plan, working, hidden))
-    engineered = [*plan.one_hot.names(), *[c for c in numerical if c in working.columns]]
-    learn_from = working.filter(
+    hidden = names.unique([*params.columns_to_exclude, *key, target])
+    keep = params.columns_to_include
+
+    # cleaning, decided on the working frame
+    roles = projection.roles_of(working.schema, hidden)
+    outliers = cleaning.OutlierRule.fit(working, roles.numerical)
+    formats = encode.date_formats_of(working, roles.object)
+    parsed = encode.add_parsed_dates(working, formats)
+    dates = list(projection.roles_of(parsed.schema, hidden).dates)
+    plan = PreparationPlan(
+        params.missing_treatment, outliers, formats, dates, encode.OneHot({}), encode.Ratios({})
+    )
+    working, full = _both(plan.clean, working, full, "clean")
+
+    # categories become dummies, numbers that pass selection become ratios
+    roles = projection.roles_of(working.schema, hidden)
+    few = encode.high_cardinality_filter(working, roles.object)
+    switched = encode.numeric_to_categorical(working, roles.numerical)
+    numerical = [c for c in roles.numerical if c not in switched]
+    plan.one_hot = encode.OneHot.fit(full, [*few, *switched])
+    first = [*plan.one_hot.names(), *numerical]
+    chosen = _select(plan.one_hot.transform(working), first, target, keep, multiclass, bucket)
+    numerical = projection.reconcile_features(chosen, numerical, keep)
+    plan.ratios = encode.Ratios.fit(working, numerical, keep)
+
+    # bins, learned from training rows outside the hold-out periods
+    wide = plan.engineer(working)
+    measures = [*numerical, *plan.ratios.names()]
+    learn_from = wide.filter(
         ~filters.in_periods(obs, params.holdout_periods) & (filters.train_test_label(bucket) == "train")
     )
     wanted = binning_columns or params.optimal_binning_columns
-    to_bin = [c for c in numerical if c in wanted] or numerical
-    plan.bins = OptimalBins.fit(learn_from, to_bin, target)
-    working, full = _both(plan.bins.transform, working, full, "binned")
+    plan.bins = OptimalBins.fit(learn_from, [c for c in measures if c in wanted] or measures, target)
+
+    # final selection among all candidates; only what is selected gets stored
+    candidates = names.unique([*plan.one_hot.names(), *measures, *plan.bins.dummy_names()])
+    wide = plan.bins.transform(wide, fill_gaps=False)
+    chosen = _select(wide, candidates, target, keep, multiclass, bucket)
+    features = projection.finalize_features(chosen, keep, wide)
+    stored = names.unique([*working.columns, *features])
+
+    def finish(df: DataFrame) -> DataFrame:
+        binned = plan.bins.transform(plan.engineer(df), fill_gaps=False)
+        return binned.select(*[q(c) for c in stored])
 
-    candidates = names.unique([*engineered, *plan.bins.dummy_names()])
-    chosen = _select(working, candidates, target, params.columns_to_include, multiclass, bucket)
-    features = projection.finalize_features(chosen, params.columns_to_include, working, full)
+    working, full = _both(finish, working, full, "prepared")
     constant = set(filters.constant_columns(working, features))
     features = [c for c in features if c not in constant]
+    require_two_valued(working, [c for c in features if c in plan.bins.dummy_names()])
     cleaning.nan_inspector(full, [features], raise_on_null=True)
     plan.features = features
     return Prepared(working, full, features, missing, plan)
@@ -156,52 +193,6 @@ def _both(step, working: DataFrame, full: DataFrame, name: str) -> tuple[DataFra
     return materialize(step(working), f"{name}-working"), materialize(step(full), name)
 
 
-def _learn(
-    working: DataFrame,
-    full: DataFrame,
-    params: ScoringParams,
-    hidden: Sequence[str],
-    target: str,
-    multiclass: bool,
-    bucket: Column,
-) -> PreparationPlan:
-    roles = projection.roles_of(working.schema, hidden)
-    outliers = cleaning.OutlierRule.fit(working, roles.numerical)
-    clean = outliers.transform(working)
-    formats = encode.date_formats_of(clean, roles.object)
-    clean = encode.add_parsed_dates(clean, formats)
-    dates = list(projection.roles_of(clean.schema, hidden).dates)
-    clean = encode.date_parts(encode.date_diff_hours(clean, dates), dates)
-    roles = projection.roles_of(clean.schema, hidden)
-    clean = materialize(clean, "clean")
-    few = encode.high_cardinality_filter(clean, roles.object)
-    switched = encode.numeric_to_categorical(clean, roles.numerical)
-    numerical = [c for c in roles.numerical if c not in switched]
-    everywhere = set(full.columns) | set(clean.columns)
-    one_hot = encode.OneHot.fit(
-        clean if full is working else _with_dates(full, outliers, formats, dates),
-        [c for c in (*few, *switched) if c in everywhere],
-    )
-    keep = params.columns_to_include
-    flagged = one_hot.transform(clean)
-    first = [*one_hot.names(), *numerical]
-    chosen = _select(flagged, first, target, keep, multiclass, bucket)
-    numerical = projection.reconcile_features(chosen, numerical, keep)
-    ratios = encode.Ratios.fit(clean, numerical, keep)
-    plan = PreparationPlan(params.missing_treatment, outliers, formats, dates, one_hot, ratios)
-    plan.features = numerical  # numeric inputs until the final list replaces them
-    return plan
-
-
-def _with_dates(df: DataFrame, outliers, formats, dates) -> DataFrame:
-    df = encode.add_parsed_dates(outliers.transform(df), formats)
-    return encode.date_parts(encode.date_diff_hours(df, dates), dates)
-
-
-def _numericals(plan: PreparationPlan, df: DataFrame, hidden: Sequence[str]) -> list[str]:
-    return names.unique([*plan.features, *plan.ratios.names()])
-
-
 def _select(
     df: DataFrame,
     features: Sequence[str],
