@@ -310,7 +310,7 @@ def missing_delete(spark, sf):
 
 @query(
     "missing_mean",
-    f"""WITH {_GAPPY} SELECT CAST(event_id AS DOUBLE) AS event_id, round(coalesce(value, (SELECT avg(value) FROM g)), 6) AS value, event_type
+    f"""WITH {_GAPPY} SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM g)), 6) AS value, event_type
         FROM g WHERE event_type IS NOT NULL""",
 )
 def missing_mean(spark, sf):
@@ -319,7 +319,7 @@ def missing_mean(spark, sf):
 
 @query(
     "missing_median",
-    f"""WITH {_GAPPY} SELECT CAST(event_id AS DOUBLE) AS event_id,
+    f"""WITH {_GAPPY} SELECT event_id,
         round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM g)), 6) AS value, event_type
         FROM g WHERE event_type IS NOT NULL""",
 )
