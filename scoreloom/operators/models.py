@@ -197,10 +197,10 @@ def fit_model(
     )
 
 
-def _at_once(tasks: Sequence[Callable], parallelism: int = 4) -> list:
+def _at_once(spark: SparkSession, tasks: Sequence[Callable], parallelism: int = 4) -> list:
     """Run independent fits side by side, so that the jobs of one fill the gaps of another."""
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        return list(pool.map(lambda task: task(), [inheritable_thread_target(t) for t in tasks]))
+        return list(pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks]))
 
 
 def fit_multiclass(
@@ -212,7 +212,7 @@ def fit_multiclass(
         one = df.withColumn("_is", (q(target) == code).cast("int"))
         return fit_model(one, features, "_is", "xgb", estimator)
 
-    parts = _at_once([partial(against_rest, code) for code in range(len(classes))])
+    parts = _at_once(df.sparkSession, [partial(against_rest, code) for code in range(len(classes))])
     weights = {c: sum(p.importances[c] for p in parts) / len(parts) for c in features}
     return FittedModel("xgb", list(features), [p.models[0] for p in parts], list(map(str, classes)), weights)
 
@@ -392,7 +392,7 @@ def recursive_elimination(
             fitted = fit_model(others, columns, target, "xgb", boosted(maxIter=rounds))
             return fitted.score(fold_rows).select(q(target).alias("y"), "xgb_y_pred")
 
-        hits = _at_once([partial(held_out, k, current) for k in range(folds)])
+        hits = _at_once(df.sparkSession, [partial(held_out, k, current) for k in range(folds)])
         tested = hits[0]
         for part in hits[1:]:
             tested = tested.unionByName(part)
