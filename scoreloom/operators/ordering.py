@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.exprs import q, right_closed_index
+from scoreloom.session import materialize
 
 RANGES = 256
 SMALL_ROWS = 2_000_000  # up to here one task may hold every distinct value
@@ -85,8 +86,15 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     small_rows: int = SMALL_ROWS,
+    stored: bool = False,
 ) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles of several columns (empty list for an all-null column)."""
+    """Linear-interpolated quantiles of several columns (empty list for an all-null column).
+
+    The columns are read several times, so they are stored first unless ``df`` is a stored
+    table already: what lies upstream runs once.
+    """
+    if not stored:
+        df = materialize(df.select(*[q(c) for c in columns]), "quantiles")
     counted = df.agg(*[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     small = [(i, c) for i, c in enumerate(columns) if counted[i] <= small_rows]
     result: dict[str, list[float]] = {}
@@ -121,11 +129,11 @@ def _quantiles_by_rank(
 
 
 def quantile_edges(
-    df: DataFrame, columns: Sequence[str], bins: int, small_rows: int = SMALL_ROWS
+    df: DataFrame, columns: Sequence[str], bins: int, small_rows: int = SMALL_ROWS, stored: bool = False
 ) -> dict[str, list[float]]:
     """Distinct quantile edges of each column for ``bins`` equal-share bins."""
     grid = [i / bins for i in range(bins + 1)]
-    return {c: sorted(set(v)) for c, v in exact_quantiles(df, columns, grid, small_rows).items()}
+    return {c: sorted(set(v)) for c, v in exact_quantiles(df, columns, grid, small_rows, stored).items()}
 
 
 def quantile_bin(x: str | Column, edges: Sequence[float]) -> Column:
@@ -150,18 +158,22 @@ def running_totals(
     descending: bool = False,
     cumulate: Sequence[str] | None = None,
     ranges: int = RANGES,
+    one_range: int = 10_000,
 ) -> DataFrame:
     """One row per (by, order_by): each sum, its running total ``cum_<name>``, its group total ``all_<name>``.
 
     ``cumulate`` limits the running and group totals to the named sums.
 
-    Rows are pre-aggregated per value, then totalled inside each range; offsets of whole ranges
-    come from a table of at most ``ranges`` rows per group.
+    Rows are pre-aggregated per value and that table is stored, so the input runs once. Values are
+    then totalled inside each range; offsets of whole ranges come from a table of at most
+    ``ranges`` rows per group. A short table is one range.
     """
     by = list(by)
     values = df.filter(q(order_by).isNotNull())
-    splits = range_splits(values, order_by, ranges)
-    grouped = values.groupBy(*by, order_by).agg(*[c.alias(n) for n, c in sums.items()])
+    grouped = materialize(
+        values.groupBy(*by, order_by).agg(*[c.alias(n) for n, c in sums.items()]), "totals"
+    )
+    splits = range_splits(grouped, order_by, ranges) if grouped.count() > one_range else []
     names = list(cumulate or sums)
     return prefix_sums(with_range(grouped, order_by, splits), [order_by], names, by, descending)
 

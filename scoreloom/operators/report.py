@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.exprs import q, ratio
 from scoreloom.operators.ordering import quantile_bin, quantile_edges
 from scoreloom.operators.profile import long_form
+from scoreloom.session import materialize
 
 
 def union_splits(*splits: DataFrame) -> DataFrame:
@@ -183,17 +184,19 @@ def secondary_rate(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
 
 def decile_rates(df: DataFrame, x: str, y: str, by: str | None = None, bins: int = 10) -> DataFrame:
     """Rows and target rate per quantile bin; with ``by`` each listed dataset has its own edges."""
+    columns = [q(x).cast("double").alias("x"), q(y).alias("y"), *([q(by)] if by else [])]
+    narrow = materialize(df.select(*columns), "deciles")  # edges and rates both read it
     if by is None:
-        edges = quantile_edges(df, [x], bins)[x]
-        binned = df.select(quantile_bin(x, edges).alias("decile"), q(y).alias("y"))
+        edges = quantile_edges(narrow, ["x"], bins, stored=True)["x"]
+        binned = narrow.select(quantile_bin("x", edges).alias("decile"), "y")
         keys = ["decile"]
     else:
         # one column per dataset, so that all edges come from the same pass
-        groups = [r[0] for r in df.select(by).distinct().collect()]
-        wide = df.select(by, q(y).alias("y"), *[
-            F.when(q(by) == F.lit(g), q(x)).alias(f"_x{i}") for i, g in enumerate(groups)
+        groups = [r[0] for r in narrow.select(by).distinct().collect()]
+        wide = narrow.select(by, "y", *[
+            F.when(q(by) == F.lit(g), F.col("x")).alias(f"_x{i}") for i, g in enumerate(groups)
         ])
-        edges = quantile_edges(wide, [f"_x{i}" for i in range(len(groups))], bins)
+        edges = quantile_edges(wide, [f"_x{i}" for i in range(len(groups))], bins, stored=True)
         bin_of = F.lit(None).cast("int")
         for i, g in enumerate(groups):
             bin_of = F.when(q(by) == F.lit(g), quantile_bin(f"_x{i}", edges[f"_x{i}"])).otherwise(bin_of)
@@ -236,8 +239,9 @@ def ratio_profile(df: DataFrame, a: str, b: str, y: str) -> DataFrame:
         F.when((x2 == 0) & (x1 != 0), 0.0).otherwise(F.try_divide(x1, x2)).alias("ratio"),
         q(y).alias("y"),
     )
-    tenths = quantile_edges(base, ["a", "b"], 10)
-    twentieths = quantile_edges(base, ["ratio"], 20)["ratio"]
+    base = materialize(base, "ratio")  # edges and profile both read it
+    tenths = quantile_edges(base, ["a", "b"], 10, stored=True)
+    twentieths = quantile_edges(base, ["ratio"], 20, stored=True)["ratio"]
     parts = [
         ("by_left", quantile_bin("a", tenths["a"])),
         ("by_right", quantile_bin("b", tenths["b"])),

@@ -132,10 +132,14 @@ def predictive_power(
     features share one aggregation to (feature, fold, bin, class) counts; what follows runs on
     those counts.
     """
-    edges = quantile_edges(df, features, bins)
-    binned = df.filter(q(target).isNotNull()).select(
-        F.pmod(fold, F.lit(folds)).alias("fold"),
-        q(target).alias("y"),
+    narrow = df.filter(q(target).isNotNull()).select(
+        F.pmod(fold, F.lit(folds)).alias("fold"), q(target).alias("y"), *[q(c) for c in features]
+    )
+    narrow = materialize(narrow, "power")  # edges and counts both read it
+    edges = quantile_edges(narrow, features, bins, stored=True)
+    binned = narrow.select(
+        "fold",
+        "y",
         *[F.coalesce(quantile_bin(c, edges[c]), F.lit(-1)).alias(f"_b{i}") for i, c in enumerate(features)],
     )
     pairs = [

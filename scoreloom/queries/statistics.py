@@ -9,6 +9,7 @@ from scoreloom.queries.aggregates import _bin_sql, _edges_sql
 from scoreloom.queries.catalog import query
 from scoreloom.queries.frame import KEY, NUMERIC_FEATURES, frame, rounded, with_frame
 from scoreloom.queries.tables import METRICS_SQL
+from scoreloom.session import materialize
 
 
 def _corr_sql(features) -> str:
@@ -115,7 +116,8 @@ def stump_feature(spark, sf):
 
 
 def _train(spark, sf):
-    return frame(spark, sf).filter("dataset = 'train'")
+    rows = frame(spark, sf).filter("dataset = 'train'").select("y", "sc", *NUMERIC_FEATURES)
+    return materialize(rows, "train")  # binning reads it twice
 
 
 def _splits_table(spark, bins: binning.OptimalBins):
@@ -174,7 +176,7 @@ def apply_bins(spark, sf):
 
 @query("binning_selection")
 def binning_selection(spark, sf):
-    rows = frame(spark, sf)
+    rows = materialize(frame(spark, sf).select("y", "dataset", *NUMERIC_FEATURES), "frame")
     bins = binning.OptimalBins.fit(rows.filter("dataset = 'train'"), NUMERIC_FEATURES, "y")
     binned = bins.transform(rows)
     chosen = binning.binning_selection(binned, list(NUMERIC_FEATURES), bins, "y")

@@ -57,7 +57,7 @@ def test_constant_column_has_no_bins(spark):
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals_equal_one_pass(values, descending):
     df, rows = values
-    got = ordering.running_totals(df, "x", {"n": F.count("*"), "p": F.sum("y")}, ["k"], descending, ranges=8)
+    got = ordering.running_totals(df, "x", {"n": F.count("*"), "p": F.sum("y")}, ["k"], descending, ranges=8, one_range=0)
     groups: dict = {}
     for _, x, y, k in rows:
         groups.setdefault(k, {}).setdefault(x, [0, 0])
