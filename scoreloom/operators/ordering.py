@@ -16,15 +16,25 @@ from pyspark.sql import functions as F
 from scoreloom.functions.exprs import q, right_closed_index
 from scoreloom.session import materialize
 
-RANGES = 256
+FEWEST_RANGES, MOST_RANGES = 8, 4096
+ROWS_PER_RANGE = 5_000_000
 SMALL_ROWS = 2_000_000  # up to here one task may hold every distinct value
 
 
-def range_splits(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
-    """Inner split points that cut the column into ranges of roughly equal row counts."""
-    grid = [i / ranges for i in range(1, ranges)]
-    row = df.agg(F.percentile_approx(q(column).cast("double"), grid, 4 * ranges * 10)).first()
-    return sorted(set(row[0] or []))
+def range_splits(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
+    """Inner split points that cut the column into ranges of roughly equal row counts.
+
+    Without a number of ranges it follows the row count, so that a range stays one task's work.
+    """
+    finest = ranges or MOST_RANGES
+    grid = [i / finest for i in range(1, finest)]
+    x = q(column).cast("double")
+    rows, points = df.agg(F.count(x), F.percentile_approx(x, grid, 10 * finest)).first()
+    points = points or []
+    if ranges is None:
+        wanted = min(MOST_RANGES, max(FEWEST_RANGES, rows // ROWS_PER_RANGE))
+        points = [points[i * finest // wanted - 1] for i in range(1, wanted)] if points else []
+    return sorted(set(points))
 
 
 def with_range(df: DataFrame, column: str, splits: Sequence[float], out: str = "_range") -> DataFrame:
@@ -157,7 +167,7 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     cumulate: Sequence[str] | None = None,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     one_range: int = 10_000,
 ) -> DataFrame:
     """One row per (by, order_by): each sum, its running total ``cum_<name>``, its group total ``all_<name>``.
@@ -165,8 +175,8 @@ def running_totals(
     ``cumulate`` limits the running and group totals to the named sums.
 
     Rows are pre-aggregated per value and that table is stored, so the input runs once. Values are
-    then totalled inside each range; offsets of whole ranges come from a table of at most
-    ``ranges`` rows per group. A short table is one range.
+    then totalled inside each range; offsets of whole ranges come from a table of one
+    row per range and group. A short table is one range.
     """
     by = list(by)
     values = df.filter(q(order_by).isNotNull())
@@ -213,7 +223,7 @@ def row_number_both(
     order_by: Sequence[str],
     forward: str = "RN1",
     backward: str = "RN_1",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Row number per group from both ends.
 

@@ -13,6 +13,9 @@ from scoreloom.operators.profile import long_form
 from scoreloom.session import materialize
 
 
+MAX_DATASETS = 100
+
+
 def union_splits(*splits: DataFrame) -> DataFrame:
     out = splits[0]
     for split in splits[1:]:
@@ -192,7 +195,9 @@ def decile_rates(df: DataFrame, x: str, y: str, by: str | None = None, bins: int
         keys = ["decile"]
     else:
         # one column per dataset, so that all edges come from the same pass
-        groups = [r[0] for r in narrow.select(by).distinct().collect()]
+        groups = [r[0] for r in narrow.select(by).distinct().limit(MAX_DATASETS + 1).collect()]
+        if len(groups) > MAX_DATASETS:
+            raise ValueError(f"{by} has more than {MAX_DATASETS} values; it does not name datasets")
         wide = narrow.select(by, "y", *[
             F.when(q(by) == F.lit(g), F.col("x")).alias(f"_x{i}") for i, g in enumerate(groups)
         ])
