@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import token_counts
+from scoreloom.llm import html_text, secrets, token_counts, toxicity
 from scoreloom.queries.frame import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,24 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@_query()
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_report(secrets.find_secrets(table(spark, sf, "documents")))
+
+
+@_query()
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf, "labels"))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@_query()
+def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.extract_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 @_query()
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
