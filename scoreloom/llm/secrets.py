@@ -65,10 +65,13 @@ def find_spans(text: str, least_length: int = 16, least_bits: float = 3.0) -> li
     ]
 
 
-@F.pandas_udf(SPANS)
-def _scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield pd.Series([find_spans(t) if t else [] for t in texts], dtype=object)
+def _spans(text: Column) -> Column:
+    @F.pandas_udf(SPANS)
+    def scan_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([find_spans(t) if t else [] for t in texts], dtype=object)
+
+    return scan_texts(F.coalesce(text, F.lit("")))
 
 
 def joined(spans: Column) -> Column:
@@ -81,13 +84,12 @@ def joined(spans: Column) -> Column:
 
 def scan(docs: DataFrame, key: str, owner: str, repository: str, text: str) -> DataFrame:
     """One row per input row: ``tag`` (its number), key, owner, repository and ``found`` with hashed values; stored."""
-    spans = _scan(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(
         F.monotonically_increasing_id().alias("tag"),
         F.col(key).alias("key"),
         F.col(owner).cast("string").alias("owner"),
         F.col(repository).cast("string").alias("repository"),
-        spans.alias("found"),
+        _spans(F.col(text)).alias("found"),
     )
     hidden = F.transform(
         "found",

@@ -56,7 +56,9 @@ HAS_DIGIT = re.compile(r"[0-9]")
 _FOLD = str.maketrans({**LOOK_ALIKES, **{chr(0xFF01 + i): chr(0x21 + i).lower() for i in range(94)}})
 _DIGITS = str.maketrans(DIGITS)
 #: Toxic share that some language or source may have among its labelled texts; chance is reckoned with it at least.
-LANGUAGE_SHARE = 0.35
+LANGUAGE_SHARE = 0.2
+#: A beginning is an entry of its own if it reaches so many times the texts of any longer entry below it.
+GENERALISES = 1.2
 #: Lengths of word beginnings that learning considers besides whole words.
 STEMS = (4, 5, 6)
 
@@ -205,7 +207,15 @@ def learn_lexicon(sample: DataFrame, most: int = 4000) -> Lexicon:
         .collect()
     )
     words, stems = {}, {}
+    reached: dict[str, int] = {}  # the most that one longer entry with this beginning reaches
     for r in taken:
+        entry = r.feature.rstrip(" ")
+        for n in STEMS:
+            if n < len(r.feature):
+                reached[entry[:n]] = max(reached.get(entry[:n], 0), r.toxic)
+    for r in taken:
+        if r.toxic < GENERALISES * reached.get(r.feature, 0):
+            continue
         weight = math.log((r.toxic + 0.5) / (toxic + 1)) - math.log((r.clean + 0.5) / (clean + 1))
         if weight <= 0:
             continue
