@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import html_text, secrets, token_counts, toxicity
+from scoreloom.llm import decontaminate, exact_dedup, html_text, mixing, secrets, token_counts, toxicity
 from scoreloom.queries.frame import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,18 @@ def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_report(secrets.find_secrets(table(spark, sf, "documents")))
 
 
+@_query(
+    """
+    SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+      doc_id = max(doc_id) OVER g AS kept, text_sha256
+    FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
+    WINDOW g AS (PARTITION BY text_sha256)
+    """
+)
+def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.mark_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @_query()
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -38,6 +50,64 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+_WORDS = """[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') IF x <> '']"""
+
+
+@_query(
+    f"""
+    WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    bw AS (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i
+           FROM b WHERE len(w) > 0),
+    wins AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM bw),
+    d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    ks AS (SELECT DISTINCT k FROM wins),
+    dw AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k),
+    hits AS (SELECT doc_id, item, i, dw.k AS k FROM dw JOIN wins
+             ON dw.k = wins.k AND array_to_string(dw.w[i:i + dw.k - 1], ' ') = win),
+    covered AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM hits) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named m USING (doc_id)
+    """
+)
+def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.find_hits(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    return decontaminate.contamination(found)
+
+
+@_query(
+    """
+    WITH RECURSIVE d AS (
+      SELECT doc_id, source, md5(doc_id || ':0') AS place,
+        CAST(coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0) AS BIGINT) AS n FROM documents),
+    src AS (SELECT source, CAST(sum(n) AS BIGINT) AS t, sum(n) / CAST(sum(sum(n)) OVER () AS DOUBLE) AS p FROM d GROUP BY source),
+    bisect AS (
+      SELECT 0 AS step, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+      UNION ALL
+      SELECT step + 1, CASE WHEN over THEN (lo + hi) / 2 ELSE lo END, CASE WHEN over THEN hi ELSE (lo + hi) / 2 END
+      FROM (SELECT step, lo, hi, max(pow(p, (lo + hi) / 2 - 1)) / min(pow(p, (lo + hi) / 2 - 1)) > 4 AS over
+            FROM bisect, src WHERE p > 0 AND step < 40 GROUP BY step, lo, hi)),
+    ex AS (SELECT round(CASE WHEN (SELECT max(1 / p) / min(1 / p) > 4 FROM src WHERE p > 0) THEN hi ELSE 0 END, 6) AS a
+           FROM bisect WHERE step = 40),
+    z AS (SELECT a, sum(pow(p, a)) AS z, min(pow(p, a - 1)) / sum(pow(p, a)) AS least FROM src, ex WHERE p > 0 GROUP BY a),
+    plan AS (SELECT source, t, pow(p, a) / z AS w, CAST(floor(pow(p, a) / z * ((SELECT sum(t) FROM src) / least) + 0.5) AS BIGINT) AS own
+             FROM src, z),
+    sums AS (SELECT d.*, w, own // t AS passes, own - own // t * t AS rest,
+               sum(n) OVER (PARTITION BY d.source ORDER BY place RANGE UNBOUNDED PRECEDING) AS upto
+             FROM d JOIN plan ON d.source = plan.source),
+    reads AS (SELECT *, unnest(range(1, passes + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END + 1)) AS epoch FROM sums)
+    SELECT doc_id, source, n AS n_tokens, round(w, 9) AS source_weight, epoch,
+      md5(place[1:3] || ':' || epoch)[1:8] || ':' || md5(place || ':' || epoch) AS read_order
+    FROM reads
+    """
+)
+def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, mixing.Target(repetitions=4.0)).drop("text")
+
+
 @_query()
 def op9_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
