@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontaminate, exact_dedup, html_text, mixing, secrets, token_counts, toxicity
+from scoreloom.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, secrets, token_counts, toxicity
 from scoreloom.queries.frame import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,29 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(found)
 
 
+@_query(
+    """
+    WITH RECURSIVE d AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    links AS (
+      SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+                        GROUP BY u, v)
+      JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    reach AS (SELECT doc_id AS id, doc_id AS at FROM d UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.at),
+    comp AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+    """
+)
+def op7_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, width=2).drop("text_hash")
+
+
 @_query(
     """
     WITH RECURSIVE d AS (
