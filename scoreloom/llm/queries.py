@@ -89,8 +89,8 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
       SELECT u, v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
                         GROUP BY u, v)
       JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
-    reach AS (SELECT doc_id AS id, doc_id AS at FROM d UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.at),
-    comp AS (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+    reach AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT reach.id, links.v FROM reach JOIN links ON links.u = reach.other),
+    comp AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
     SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
     FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
     """
