@@ -34,7 +34,7 @@ def frequent(digests: DataFrame, capacity: int = CAPACITY, least: int = 16) -> D
     merged = (
         short.groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(short, {capacity})").alias("s"))
-        .groupBy(F.lit(0))  # with a key, tasks without rows send no summary, which could not be merged
+        .groupBy(F.lit("all"))  # with a key, tasks without rows send no summary, which could not be merged
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(s, {capacity}), {capacity})").alias("top"))
     )
     return merged.select(F.explode("top").alias("t")).select(F.col("t.item").alias("short"), F.col("t.count").alias("n")).filter(
