@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, exact_dedup, html_text, mixing, near_dedup, secrets, token_counts, toxicity
+from scoreloom.llm import decontaminate, exact_dedup, html_text, line_templates, mixing, near_dedup, secrets, token_counts, toxicity
 from scoreloom.queries.frame import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +44,40 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.mark_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@_query(
+    """
+    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+    l AS (SELECT doc_id, i, [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
+                              FOR t IN regexp_extract_all(ls[i], '[^ \\t\\r]+')] AS toks
+          FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+    lines AS (SELECT *, len(toks) || ' ' || array_to_string(toks[1:3], ' ') AS leaf FROM l WHERE len(toks) > 0),
+    crowded AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+    cells AS (SELECT leaf, toks, unnest(range(1, len(toks) + 1)) AS p FROM lines SEMI JOIN crowded USING (leaf)),
+    votes AS (SELECT leaf, p, toks[p] AS tok, count(*) AS n FROM cells GROUP BY ALL),
+    places AS (SELECT leaf, p, max_by(tok, n) AS tok, max(n) / sum(n) AS held FROM votes GROUP BY ALL),
+    tree AS (SELECT leaf, list(CASE WHEN held >= 0.9 THEN tok ELSE '<*>' END ORDER BY p) AS tpl FROM places GROUP BY leaf),
+    tpls AS (SELECT * FROM tree WHERE len([t FOR t IN tpl IF t <> '<*>']) >= 0.5 * len(tpl)),
+    fits AS (SELECT doc_id, i, leaf FROM lines JOIN tpls USING (leaf)
+             WHERE len([p FOR p IN range(1, len(tpl) + 1) IF tpl[p] <> '<*>' AND tpl[p] <> toks[p]]) = 0),
+    gone AS (SELECT doc_id, list(i) AS xs FROM fits
+             WHERE leaf IN (SELECT leaf FROM fits GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10) GROUP BY doc_id),
+    kept AS (SELECT doc_id, coalesce(len(ls), 0) AS n, coalesce(len(xs), 0) AS g,
+               CASE WHEN xs IS NULL THEN coalesce(text, '')
+                    ELSE array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(xs, i)], chr(10)) END AS t
+             FROM d LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(g AS BIGINT) AS n_dropped, CAST(length(t) AS BIGINT) AS n_chars,
+      sha256(t) AS clean_sha256
+    FROM kept
+    """
+)
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = line_templates.drop_template_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_dropped", F.length("clean_text").cast("long").alias("n_chars"),
+        F.sha2("clean_text", 256).alias("clean_sha256"),
+    )
+
+
 @_query()
 def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
