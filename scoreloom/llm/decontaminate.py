@@ -74,7 +74,7 @@ def find_hits(
     item_text: str = "text",
     most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
-    """One row per document: key, ``n_words``, ``hit`` (positions of hit words, distinct) and ``items`` (ids as texts).
+    """One row per document: key, ``text_hash``, ``n_words``, ``hit`` (positions of hit words, distinct) and ``items`` (ids as texts).
 
     Every document also sends one row past the join, so that the result needs no second look at the texts
     and no join: rows are grouped by document, and only hits are shuffled besides.
@@ -126,7 +126,7 @@ def find_hits(
         F.flatten(F.transform("at", lambda a: F.sequence(a["i"], a["i"] + a["length"] - 1)))
     )
     each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
-    return grouped.select("key", "n_words", hit.alias("hit"), "items", each.alias("copy")).drop("copy").withColumnRenamed("key", key)
+    return grouped.select("key", "text_hash", "n_words", hit.alias("hit"), "items", each.alias("copy")).drop("copy").withColumnRenamed("key", key)
 
 
 def contamination(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -139,3 +139,21 @@ def contamination(found: DataFrame, key: str = "doc_id") -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.size("hit") > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    n: int = 10,
+    key: str = "doc_id",
+    text: str = "text",
+    item: str = "item_id",
+    item_text: str = "text",
+    most_ids: int = 1_000_000,
+) -> DataFrame:
+    """The documents in which no window of the benchmark occurs, with all their columns."""
+    found = find_hits(docs, benchmark, n, key, text, item, item_text).filter(F.size("hit") > 0)
+    lost = materialize(found.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "lost")
+    few = lost.count() <= most_ids
+    same = (F.xxhash64(F.col(text)) == F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))
+    return docs.join(F.broadcast(lost) if few else lost, same, "left_anti")

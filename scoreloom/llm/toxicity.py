@@ -240,13 +240,12 @@ class ToxicityModel:
         rate = 100.0 * found["weight"] / F.greatest(found["words"], F.lit(1))
         return [F.log1p(found["weight"]), F.log1p(rate)]
 
-    def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """The rows with ``score`` in 0 to 1."""
-        with_found = docs.withColumn("__found", _weights(F.col(text), self.lexicon))
+    def score(self, text: Column) -> Column:
+        """The score of a text, in 0 to 1."""
+        found = _weights(text, self.lexicon)
         intercept, by_sum, by_rate = self.curve
-        total, rate = self.inputs(F.col("__found"))
-        raw = F.lit(intercept) + F.lit(by_sum) * total + F.lit(by_rate) * rate
-        return with_found.withColumn("score", 1.0 / (1.0 + F.exp(-raw))).drop("__found")
+        total, rate = self.inputs(found)
+        return 1.0 / (1.0 + F.exp(-(F.lit(intercept) + F.lit(by_sum) * total + F.lit(by_rate) * rate)))
 
 
 def learn(
@@ -277,7 +276,7 @@ def score_toxicity(
 ) -> DataFrame:
     """The rows with ``held_out``, ``score`` and ``predicted`` (1 from the cut-off on)."""
     return (
-        model.score(docs, text)
+        docs.withColumn("score", model.score(F.col(text)))
         .withColumn("held_out", held_out(F.col(key)))
         .withColumn("predicted", (F.col("score") >= cut_off).cast("int"))
     )
