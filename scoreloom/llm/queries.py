@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, exact_dedup, html_text, line_templates, mixing, near_dedup, secrets, token_counts, toxicity
+from scoreloom.llm import decontaminate, exact_dedup, html_text, line_templates, mixing, near_dedup, passages, secrets, token_counts, toxicity
 from scoreloom.queries.frame import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@_query()
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @_query()
 def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.secret_report(secrets.find_secrets(table(spark, sf, "documents")))
