@@ -5,8 +5,8 @@ read as several orders (trees): in each, classes are sorted by the values that b
 neighbours with a long common prefix are candidates. How long is settled region by region: a region is all
 classes that share the first values of a tree, at depth 4 first. A region of at most ``CROWD`` classes is
 deep enough and its members are compared with one another; a larger one is split by more values. Where a crowd remains at any
-depth, its classes are linked to the pivot of the crowd (a class on the most trodden path below it) and to
-their neighbours in sorted order, so the work in a crowd grows with its size, not with its pairs.
+depth, its classes are linked to the pivot of the crowd (of the classes on the most trodden path below it the one that is on such
+paths in most trees, which is the middle of a crowd of variants) and to their neighbours in sorted order, so the work in a crowd grows with its size, not with its pairs.
 
 Signatures only propose. A proposed pair whose signatures agree so little that a similarity at the limit is out of
 the question (four deviations) is put aside; all others are confirmed on the full shingle sets. Links make
@@ -30,81 +30,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import components
+from scoreloom.llm.shingles import Shingler, least_values, pairs_within, random_factors, shared_count
 from scoreloom.session import materialize
 
 TREES, DEPTH = 16, 8
 #: Depths at which regions are looked at.
 LEVELS = (4, 6, 8)
 #: Classes that are compared with one another in a region.
-CROWD = 32
+CROWD = 64
 #: Rows of a crowd that one window puts in order.
 IN_ORDER = 1000
 #: Ids that may be broadcast, at 24 bytes each.
 MOST_IDS = 1_000_000
-#: Bytes of a shingle's hash that are compared when links are confirmed.
-KEPT_BYTES = 5
-
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RANDOM = np.random.default_rng(20240229)
-_LETTERS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return h ^ (h >> np.uint64(33))
-
-
-class Shingler:
-    """Distinct shingle hashes of texts; keeps tables of powers as long as the longest text it has met."""
-
-    def __init__(self, width: int):
-        self.width = width
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def words(self, text: str) -> np.ndarray:
-        """A hash of each word of the text; A-Z count as a-z, and blanks, tabs and line ends part words."""
-        data = np.frombuffer(text.encode("utf-8").lower(), dtype=np.uint8)
-        n = len(data)
-        if n == 0:
-            return np.empty(0, dtype=np.uint64)
-        if n > len(self.up):
-            self.up, self.down = _powers(_BASE, 2 * n), _powers(_BASE_INVERSE, 2 * n)
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).astype(np.int8)))
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[data] * self.up[:n], dtype=np.uint64)))
-        return _mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of the shingles of a text."""
-        words = self.words(text) if text else np.empty(0, dtype=np.uint64)
-        if len(words) == 0:
-            return words
-        width = min(self.width, len(words))
-        out = np.full(len(words) - width + 1, width, dtype=np.uint64)
-        for i in range(width):
-            out = _mix(out * np.uint64(_BASE) + words[i : len(words) - width + 1 + i])
-        return np.unique(out)
+_FACTORS, _SHIFTS = random_factors(TREES * DEPTH, 20240228)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The MinHash values of a set, 16 bits each."""
-    least = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(shingles), 2048):
-        part = shingles[i : i + 2048, None] * _FACTORS + _SHIFTS
-        np.minimum(least, part.min(axis=0), out=least)
-    return (least >> np.uint64(48)).astype(">u2")
+    return (least_values(shingles, _FACTORS, _SHIFTS) >> np.uint64(48)).astype(">u2")
 
 
 def _sketch(text: Column, width: int) -> Column:
@@ -114,7 +57,7 @@ def _sketch(text: Column, width: int) -> Column:
         for texts in batches:
             rows = []
             for text in texts:
-                s = shingler.shingles(text)
+                s = shingler.of_text(text)
                 if len(s):
                     rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), signature(s).tobytes()))
                 else:
@@ -129,20 +72,11 @@ def _full_sets(text: Column, width: int) -> Column:
     def full(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingler = Shingler(width)
         for texts in batches:
-            yield pd.Series(
-                [shingler.shingles(t).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes() for t in texts],
-                dtype=object,
-            )
+            yield pd.Series([shingler.packed(shingler.of_text(t)) for t in texts], dtype=object)
 
     return full(text)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // KEPT_BYTES, 8), dtype=np.uint8)
-    wide[:, :KEPT_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEPT_BYTES)
-    return wide.view(">u8").ravel()
-
-
 def _agreement(a: Column, b: Column) -> Column:
     """How many values of two signatures agree."""
 
@@ -156,19 +90,6 @@ def _agreement(a: Column, b: Column) -> Column:
     return agree(a, b)
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Size of the intersection of two full sets."""
-
-    @F.pandas_udf("int")
-    def shared(left: pd.Series, right: pd.Series) -> pd.Series:
-        counts = [
-            len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True)) for x, y in zip(left, right, strict=True)
-        ]
-        return pd.Series(counts, dtype="int32")
-
-    return shared(a, b)
-
-
 def _labels(classes: DataFrame) -> DataFrame:
     """One row per class and tree: ``id`` and the region at each depth, ``p4``, ``p6``, ``p8``."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
@@ -179,17 +100,23 @@ def _labels(classes: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_within(rows: DataFrame) -> DataFrame:
-    """All pairs of the ids that share a ``region``; regions hold ``CROWD`` ids at most."""
-    other = rows.select("region", F.col("id").alias("v"))
-    return rows.select("region", F.col("id").alias("u")).join(other, "region").filter("u < v").select("u", "v")
+def _on_path(rows: DataFrame, region: str) -> DataFrame:
+    """``region`` and ``id`` of the ids on each region's most trodden path: those with its most frequent ``p8``."""
+    named = rows.select(F.col(region).alias("region"), F.col("p8").alias("path"), "id")
+    paths = named.groupBy("region", "path").agg(F.count(F.lit(1)).alias("n"))
+    modal = paths.groupBy("region").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
+    return named.join(modal, ["region", "path"]).select("region", "id")
 
 
-def _crowd_pairs(rows: DataFrame, region: str) -> DataFrame:
+def _crowd_pairs(rows: DataFrame, region: str, central: DataFrame) -> DataFrame:
     """Pairs of a crowd's ids with its pivot, and with the next ids in sorted order."""
-    paths = rows.groupBy(region, "p8").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"))
-    pivots = paths.groupBy(region).agg(F.max_by("low", F.struct("n", -F.col("low"))).alias("pivot"))
-    stars = rows.select(region, "id").join(pivots, region).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    pivots = (
+        _on_path(rows, region)
+        .join(central, "id", "left")
+        .groupBy("region")
+        .agg(F.max_by("id", F.struct(F.coalesce("trees", F.lit(0)), -F.col("id"))).alias("pivot"))
+    )
+    stars = rows.select(F.col(region).alias("region"), "id").join(pivots, "region").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
     deep = F.col("n8") > IN_ORDER
     bucket = F.pmod(F.xxhash64(F.when(deep, F.col("id")).otherwise(F.col("p8"))), F.ceil(F.col(f"n{region[1:]}") / IN_ORDER))
     order = Window.partitionBy(region, "bucket").orderBy("p6", "p8", "id")
@@ -208,7 +135,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     )
     pairs = [first.filter("n4 = 2").select("u", "v")]
     shared = materialize(labels.join(first.filter("n4 > 2").select("p4", "n4"), "p4"), "crowds")
-    pairs.append(_pairs_within(shared.filter(F.col("n4") <= CROWD).select(F.col("p4").alias("region"), "id")))
+    pairs.append(pairs_within(shared.filter(F.col("n4") <= CROWD).select(F.col("p4").alias("region"), "id")))
     crowd = shared.filter(F.col("n4") > CROWD)
     for depth in LEVELS[1:]:
         sizes = crowd.groupBy(f"p{depth}").agg(F.count(F.lit(1)).alias(f"n{depth}"))
@@ -216,9 +143,11 @@ def candidates(classes: DataFrame) -> DataFrame:
     crowd = materialize(crowd, "crowds")
     for above, depth in zip(LEVELS, LEVELS[1:], strict=False):
         deep_enough = crowd.filter((F.col(f"n{above}") > CROWD) & F.col(f"n{depth}").between(2, CROWD))
-        pairs.append(_pairs_within(deep_enough.select(F.col(f"p{depth}").alias("region"), "id")))
+        pairs.append(pairs_within(deep_enough.select(F.col(f"p{depth}").alias("region"), "id")))
+    # the middle of a crowd keeps to the path in most trees, a variant leaves it in some
+    central = materialize(_on_path(crowd, "p4").groupBy("id").agg(F.count(F.lit(1)).alias("trees")), "central")
     for depth in LEVELS:
-        pairs.append(_crowd_pairs(crowd.filter(F.col(f"n{depth}") > CROWD), f"p{depth}"))
+        pairs.append(_crowd_pairs(crowd.filter(F.col(f"n{depth}") > CROWD), f"p{depth}", central))
     found = reduce(DataFrame.unionByName, pairs).filter(F.col("u") != F.col("v"))
     return materialize(
         found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates"
@@ -258,7 +187,7 @@ def confirmed(
     both = likely.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v"
     )
-    counted = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("sum"), _shared(F.col("a"), F.col("b")).alias("shared"))
+    counted = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("sum"), shared_count(F.col("a"), F.col("b")).alias("shared"))
     return counted.filter(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("u", "v")
 
 
