@@ -149,10 +149,11 @@ def drop_contaminated(
     text: str = "text",
     item: str = "item_id",
     item_text: str = "text",
+    most_windows: int = MOST_WINDOWS,
     most_ids: int = 1_000_000,
 ) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    found = find_hits(docs, benchmark, n, key, text, item, item_text).filter(F.size("hit") > 0)
+    found = find_hits(docs, benchmark, n, key, text, item, item_text, most_windows).filter(F.size("hit") > 0)
     lost = materialize(found.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct(), "lost")
     few = lost.count() <= most_ids
     same = (F.xxhash64(F.col(text)) == F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))

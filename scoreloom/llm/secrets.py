@@ -162,12 +162,15 @@ def secret_report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digest columns per document: counts of base spans, their hash, all spans, and spans by verdict."""
     base = F.filter("found", lambda s: s["kind"] < KINDS.index("bare"))
 
+    def of_kind(number: int):
+        return lambda s: s["kind"] == number
+
     def count(condition) -> Column:
         return F.size(F.filter("found", condition)).cast("long")
 
     return found.select(
         F.col("key").alias(key),
-        *[count(lambda s, i=i: s["kind"] == i).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:3])],
+        *[count(of_kind(i)).alias(f"n_{kind}") for i, kind in enumerate(KINDS[:3])],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
         count(lambda s: s["verdict"] == "live").alias("n_live"),
