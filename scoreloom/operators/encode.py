@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreloom.functions import names
+from scoreloom.session import materialize
 from scoreloom.functions.exprs import (
     DATES,
     NUMERIC,
@@ -82,9 +83,12 @@ def has_single_row(df: DataFrame) -> bool:
     return df.limit(2).count() == 1
 
 
-def date_diff_hours(df: DataFrame, dates: Sequence[str]) -> DataFrame:
-    """Absolute hours between every ordered pair of date columns; a one-row frame gets none."""
-    if len(dates) < 2 or has_single_row(df):
+def date_diff_hours(df: DataFrame, dates: Sequence[str], always: bool = False) -> DataFrame:
+    """Absolute hours between every ordered pair of date columns.
+
+    On its own a one-row frame gets none; a fitted plan adds them ``always``, as its features do not depend on the batch.
+    """
+    if len(dates) < 2 or not always and has_single_row(df):
         return df
     pairs = [(a, b) for a in dates for b in dates if a != b]
     return df.select("*", *[hours_between(a, b).alias(f"{a}_diff_hours_{b}") for a, b in pairs])
@@ -105,8 +109,8 @@ def date_parts(df: DataFrame, dates: Sequence[str]) -> DataFrame:
 def cardinalities(df: DataFrame, columns: Sequence[str], limit: int = 200) -> dict[str, int]:
     """Distinct values per column with null counted as a value.
 
-    A bounded sketch screens first; only columns it puts near or below ``limit`` are counted
-    exactly, others keep the estimate, which is far from any threshold in use.
+    A bounded sketch screens first. Its deviation is 5 %, so a column that it puts above twice the caller's ``limit`` is
+    above that limit for certain and keeps the estimate; all others are counted exactly.
     """
     if not columns:
         return {}
@@ -119,7 +123,7 @@ def cardinalities(df: DataFrame, columns: Sequence[str], limit: int = 200) -> di
         ]
     ).first()
     counts = {c: screen[i] or 0 for i, c in enumerate(columns)}
-    close = [c for c in columns if counts[c] <= limit]
+    close = [c for c in columns if counts[c] <= 2 * limit + 100]
     if close:
         exact = _value_counts(df, close).groupBy("feature").agg(F.count("*").alias("n")).collect()
         counts.update({r["feature"]: r["n"] for r in exact})
@@ -137,7 +141,7 @@ def high_cardinality_filter(
     df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
 ) -> list[str]:
     """Columns with at most ``limit`` distinct values."""
-    counts = cardinalities(df, columns)
+    counts = cardinalities(df, columns, limit)
     return [c for c in columns if counts[c] <= limit]
 
 
@@ -145,7 +149,7 @@ def numeric_to_categorical(
     df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
 ) -> list[str]:
     """Numeric columns with fewer than ``limit`` distinct values: they act as categories."""
-    counts = cardinalities(df, columns)
+    counts = cardinalities(df, columns, limit)
     return [c for c in columns if counts[c] < limit]
 
 
@@ -156,7 +160,7 @@ class OneHot:
     levels: dict[str, list[str]]
 
     @classmethod
-    def fit(cls, df: DataFrame, columns: Sequence[str], max_levels: int = 100) -> "OneHot":
+    def fit(cls, df: DataFrame, columns: Sequence[str], max_levels: int = 10_000) -> "OneHot":
         if not columns:
             return cls({})
         bound = len(columns) * (max_levels + 1)
@@ -194,16 +198,22 @@ def one_hot(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = No
     return OneHot.fit(df if fit_on is None else fit_on, columns).transform(df)
 
 
-def code_table(df: DataFrame, column: str, code: str, label: str, limit: int = 100_000) -> DataFrame:
+def code_table(df: DataFrame, column: str, code: str, label: str) -> DataFrame:
     """Distinct values numbered from 0 in sorted order.
 
-    The numbering is one window over the distinct values, so their count is checked first.
+    Values are cut into sorted ranges; each range is numbered by itself and shifted by the sizes of those before it.
     """
     values = df.select(q(column).alias(label)).filter(q(label).isNotNull()).distinct()
-    if values.limit(limit + 1).count() > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values; not a category")
-    order = Window.orderBy(label)
-    return values.select((F.row_number().over(order) - 1).alias(code), label)
+    ranged = materialize(
+        values.repartitionByRange(q(label)).withColumn("_range", F.spark_partition_id()), "codes"
+    )
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row per range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(label))
+    numbered = ranged.withColumn("_rn", inside).join(F.broadcast(offsets), "_range")
+    return numbered.select((F.col("_off") + F.col("_rn") - 1).cast("int").alias(code), label)
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

@@ -7,7 +7,9 @@ The sketch steers the work only; results do not depend on how good it is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -16,25 +18,30 @@ from pyspark.sql import functions as F
 from scoreloom.functions.exprs import q, right_closed_index
 from scoreloom.session import materialize
 
-FEWEST_RANGES, MOST_RANGES = 8, 4096
-ROWS_PER_RANGE = 5_000_000
-SMALL_ROWS = 2_000_000  # up to here one task may hold every distinct value
+FEWEST_RANGES = 8
+ROWS_PER_RANGE = 5_000_000  # distinct values one task puts in order
 
 
 def range_splits(df: DataFrame, column: str, ranges: int | None = None) -> list[float]:
-    """Inner split points that cut the column into ranges of roughly equal row counts.
+    """Inner split points, all finite, that cut the column into ranges of roughly equal row counts.
 
     Without a number of ranges it follows the row count, so that a range stays one task's work.
     """
-    finest = ranges or MOST_RANGES
-    grid = [i / finest for i in range(1, finest)]
     x = q(column).cast("double")
-    rows, points = df.agg(F.count(x), F.percentile_approx(x, grid, 10 * finest)).first()
-    points = points or []
     if ranges is None:
-        wanted = min(MOST_RANGES, max(FEWEST_RANGES, rows // ROWS_PER_RANGE))
-        points = [points[i * finest // wanted - 1] for i in range(1, wanted)] if points else []
-    return sorted(set(points))
+        ranges = max(FEWEST_RANGES, df.agg(F.count(x)).first()[0] // ROWS_PER_RANGE)
+    return _sketched(df, {0: (x, ranges)})[0]
+
+
+def _sketched(df: DataFrame, wanted: Mapping[int, tuple[Column, int]]) -> dict[int, list[float]]:
+    """Split points for several columns in one pass."""
+    row = df.agg(
+        *[
+            F.percentile_approx(x, [i / n for i in range(1, n)] or [0.5], 20 * n).alias(f"s{k}")
+            for k, (x, n) in wanted.items()
+        ]
+    ).first()
+    return {k: sorted({p for p in row[f"s{k}"] or [] if math.isfinite(p)}) for k in wanted}
 
 
 def with_range(df: DataFrame, column: str, splits: Sequence[float], out: str = "_range") -> DataFrame:
@@ -49,45 +56,61 @@ def with_range(df: DataFrame, column: str, splits: Sequence[float], out: str = "
 
 
 def select_ranks(
-    df: DataFrame, column: str, ranks: Sequence[int], rows: int, small_rows: int = SMALL_ROWS
+    df: DataFrame, column: str, ranks: Sequence[int], rows: int, rows_per_range: int = ROWS_PER_RANGE
 ) -> dict[int, tuple]:
-    """Exact order statistics: rank (from 0) -> (value, rows below it, rows equal to it).
+    """Exact order statistics of one column: rank (from 0) -> (value, rows below it, rows equal to it)."""
+    return ranks_of(df.select(q(column).alias("_v")), {0: ("_v", ranks, rows)}, rows_per_range)[0]
+
+
+def ranks_of(
+    df: DataFrame, wanted: Mapping[int, tuple[str, Sequence[int], int]], rows_per_range: int = ROWS_PER_RANGE
+) -> dict[int, dict[int, tuple]]:
+    """Exact order statistics of several columns of one type in three passes at most.
 
-    ``rows`` is the count of non-null values. The driver receives one row per range and one
-    per rank.
+    ``wanted`` maps a number to (column, ranks from 0, count of its non-null values). The result maps it to rank ->
+    (value, rows below it, rows equal to it). Columns of one range need neither sketch nor range sizes. The driver receives
+    one row per column and range and one per rank.
     """
-    values = df.select(q(column).alias("_v")).filter("_v is not null")
-    ranks = sorted(set(ranks))
-    splits = [] if rows <= small_rows else range_splits(values, "_v")
-    ranged = with_range(values, "_v", splits)
-    start, wanted = {0: 0}, {0: ranks}
+    long_columns = {
+        k: (q(c).cast("double"), max(2, rows // rows_per_range))
+        for k, (c, _, rows) in wanted.items()
+        if rows > rows_per_range
+    }
+    splits = _sketched(df, long_columns) if long_columns else {}
+    ranged = df
+    for k, (c, _, _) in wanted.items():
+        ranged = with_range(ranged, c, splits.get(k, []), f"_r{k}")
+    where = {k: {0: (0, sorted(set(ranks)))} for k, (_, ranks, _) in wanted.items()}
     if splits:
-        sizes = dict(ranged.groupBy("_range").count().collect())
-        start, wanted, seen = {}, {}, 0
-        for part in sorted(sizes):
-            inside = [r for r in ranks if seen <= r < seen + sizes[part]]
-            if inside:
-                start[part], wanted[part] = seen, inside
-            seen += sizes[part]
-        ranged = ranged.filter(F.col("_range").isin(list(wanted)))
-    counts = ranged.groupBy("_range", "_v").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("_below", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    holds_rank = F.lit(False)
-    for part, inside in wanted.items():
-        for rank in inside:
-            local = rank - start[part]
-            holds_rank = holds_rank | (
-                (F.col("_range") == part)
-                & (F.col("_below") <= local)
-                & (F.col("_below") + F.col("_n") > local)
-            )
-    found = {}
-    for row in placed.filter(holds_rank).collect():
-        below = start[row["_range"]] + row["_below"]
-        for rank in ranks:
-            if below <= rank < below + row["_n"]:
-                found[rank] = (row["_v"], below, row["_n"])
+        parts = [F.struct(F.lit(k).alias("i"), q(f"_r{k}").alias("r"), q(wanted[k][0]).isNotNull().alias("set")) for k in splits]
+        sizes = ranged.select(F.inline(F.array(*parts))).filter("set").groupBy("i", "r").count().collect()
+        for k in splits:
+            where[k], seen = {}, 0
+            for part, n in sorted((r["r"], r["count"]) for r in sizes if r["i"] == k):
+                inside = [x for x in sorted(set(wanted[k][1])) if seen <= x < seen + n]
+                if inside:
+                    where[k][part] = (seen, inside)
+                seen += n
+    cells = [
+        F.struct(
+            F.lit(k).alias("i"),
+            q(f"_r{k}").alias("r"),
+            F.when(q(f"_r{k}").isin(list(where[k])), q(c)).alias("v"),
+        )
+        for k, (c, _, _) in wanted.items()
+    ]
+    counts = ranged.select(F.inline(F.array(*cells))).filter("v is not null").groupBy("i", "r", "v").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("i", "r").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    local = [(k, part, x - start) for k, parts in where.items() for part, (start, inside) in parts.items() for x in inside]
+    found: dict[int, dict[int, tuple]] = {k: {} for k in wanted}
+    if not local:
+        return found
+    asked = df.sparkSession.createDataFrame(local, "i int, r int, x long")
+    hits = placed.join(F.broadcast(asked), ["i", "r"]).filter("below <= x and x < below + n")
+    for row in hits.collect():
+        start = where[row["i"]][row["r"]][0]
+        found[row["i"]][start + row["x"]] = (row["v"], start + row["below"], row["n"])
     return found
 
 
@@ -95,55 +118,41 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    small_rows: int = SMALL_ROWS,
+    rows_per_range: int = ROWS_PER_RANGE,
     stored: bool = False,
 ) -> dict[str, list[float]]:
     """Linear-interpolated quantiles of several columns (empty list for an all-null column).
 
-    The columns are read several times, so they are stored first unless ``df`` is a stored
-    table already: what lies upstream runs once.
+    One way for every size: values are counted, cut into ranges where there are many, and the few values around the
+    wanted ranks come to the driver. The number of jobs does not depend on the number of columns. The columns are
+    read several times, so they are stored first unless ``df`` is a stored table already: what lies upstream runs once.
     """
+    narrow = df.select(*[q(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     if not stored:
-        df = materialize(df.select(*[q(c) for c in columns]), "quantiles")
-    counted = df.agg(*[F.count(q(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    small = [(i, c) for i, c in enumerate(columns) if counted[i] <= small_rows]
+        narrow = materialize(narrow, "quantiles")
+    counted = narrow.agg(*[F.count(c).alias(c) for c in narrow.columns]).first()
+    positions = {i: [p * (counted[i] - 1) for p in probabilities] for i in range(len(columns)) if counted[i]}
+    wanted = {}
+    for i, places in positions.items():
+        ranks = {int(p) for p in places} | {min(int(p) + 1, counted[i] - 1) for p in places}
+        wanted[i] = (f"_x{i}", sorted(ranks), counted[i])
+    found = ranks_of(narrow, wanted, rows_per_range) if wanted else {}
     result: dict[str, list[float]] = {}
-    if small:
-        row = df.agg(
-            *[
-                F.percentile(q(c).cast("double"), F.lit(list(map(float, probabilities)))).alias(f"c{i}")
-                for i, c in small
-            ]
-        ).first()
-        result = {c: list(row[f"c{i}"] or []) for i, c in small}
     for i, c in enumerate(columns):
-        if c not in result:
-            result[c] = _quantiles_by_rank(df, c, probabilities, counted[i], small_rows)
-    return {c: result[c] for c in columns}
-
-
-def _quantiles_by_rank(
-    df: DataFrame, column: str, probabilities: Sequence[float], rows: int, small_rows: int
-) -> list[float]:
-    positions = [p * (rows - 1) for p in probabilities]
-    ranks = {int(p) for p in positions} | {min(int(p) + 1, rows - 1) for p in positions}
-    found = select_ranks(df, column, sorted(ranks), rows, small_rows)
-    out = []
-    for p in positions:
-        low = int(p)
-        v_low = float(found[low][0])
-        v_high = float(found[min(low + 1, rows - 1)][0])
-        part = p - low
-        out.append(v_low if part == 0 or v_low == v_high else (1 - part) * v_low + part * v_high)
-    return out
+        result[c] = []
+        for p in positions.get(i, []):
+            low, part = int(p), p - int(p)
+            v_low, v_high = (float(found[i][min(r, counted[i] - 1)][0]) for r in (low, low + 1))
+            result[c].append(v_low if part == 0 or v_low == v_high else (1 - part) * v_low + part * v_high)
+    return result
 
 
 def quantile_edges(
-    df: DataFrame, columns: Sequence[str], bins: int, small_rows: int = SMALL_ROWS, stored: bool = False
+    df: DataFrame, columns: Sequence[str], bins: int, rows_per_range: int = ROWS_PER_RANGE, stored: bool = False
 ) -> dict[str, list[float]]:
     """Distinct quantile edges of each column for ``bins`` equal-share bins."""
     grid = [i / bins for i in range(bins + 1)]
-    return {c: sorted(set(v)) for c, v in exact_quantiles(df, columns, grid, small_rows, stored).items()}
+    return {c: sorted(set(v)) for c, v in exact_quantiles(df, columns, grid, rows_per_range, stored).items()}
 
 
 def quantile_bin(x: str | Column, edges: Sequence[float]) -> Column:
@@ -153,10 +162,10 @@ def quantile_bin(x: str | Column, edges: Sequence[float]) -> Column:
 
 
 def quantile_bins(
-    df: DataFrame, column: str, bins: int = 10, out: str | None = None, small_rows: int = SMALL_ROWS
+    df: DataFrame, column: str, bins: int = 10, out: str | None = None, rows_per_range: int = ROWS_PER_RANGE
 ) -> DataFrame:
     """Add the equal-share bin of a column; ties never straddle two bins."""
-    edges = quantile_edges(df, [column], bins, small_rows)[column]
+    edges = quantile_edges(df, [column], bins, rows_per_range)[column]
     return df.withColumn(out or f"{column}_bin", quantile_bin(column, edges))
 
 
@@ -209,7 +218,11 @@ def prefix_sums(
         .orderBy(*[arrow(c) for c in order_by])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = ranged.join(offsets, [*by, "_range"])
+    # groups may be null, and a null group is a group
+    keys = [*by, "_range"]
+    offsets = offsets.withColumnsRenamed({c: f"_of_{c}" for c in keys})
+    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`")) for c in keys]
+    joined = ranged.join(offsets, reduce(Column.__and__, same))
     return joined.select(
         *[c for c in ranged.columns if c != "_range"],
         *[(F.sum(n).over(inside) + F.col(f"_off_{n}")).alias(f"cum_{n}") for n in names],
@@ -260,7 +273,7 @@ def _is_time(df: DataFrame, column: str) -> bool:
 
 
 def first_rows(
-    df: DataFrame, order_by: Sequence[str], n: int, small_rows: int = SMALL_ROWS
+    df: DataFrame, order_by: Sequence[str], n: int, rows_per_range: int = ROWS_PER_RANGE
 ) -> Column:
     """Condition that holds for exactly the n rows that sort first.
 
@@ -277,7 +290,7 @@ def first_rows(
             if rows < left:
                 raise ValueError(f"fewer than {n} rows with a {column}")
             return before | (tied & q(column).isNotNull())
-        value, below, equal = select_ranks(rest, column, [left - 1], rows, small_rows)[left - 1]
+        value, below, equal = select_ranks(rest, column, [left - 1], rows, rows_per_range)[left - 1]
         before = before | (tied & (q(column) < F.lit(value)))
         tied = tied & (q(column) == F.lit(value))
         left -= below

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,10 @@ def long_form(
 ) -> DataFrame:
     """One row per (row, column): the shape in which all columns share one aggregation."""
     carried = [q(c).alias(c) if isinstance(c, str) else c for c in carry]
-    picked = df.select(*carried, *[q(c).cast(as_type).alias(f"_v{i}") for i, c in enumerate(columns)])
+    fractions = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+    # adding 0 makes -0.0 and 0.0 one value
+    values = [(q(c) + F.lit(0.0) if c in fractions else q(c)).cast(as_type) for c in columns]
+    picked = df.select(*carried, *[v.alias(f"_v{i}") for i, v in enumerate(values)])
     kept = picked.columns[: len(carried)]
     pairs = [
         F.struct(F.lit(c).alias(feature), F.col(f"_v{i}").alias(value)) for i, c in enumerate(columns)
@@ -67,11 +71,23 @@ def missing_report(table: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
+def with_total(counts: DataFrame, n: str, keys: Sequence[str] = (), total: str = "_total") -> DataFrame:
+    """Add the sum of ``n`` over each group of keys (null is a group), or over everything.
+
+    Totals are aggregated map-side and joined, so no task holds all rows of a group.
+    """
+    sums = counts.groupBy(*keys).agg(F.sum(n).alias(total))
+    if not keys:
+        return counts.join(F.broadcast(sums), F.lit(True))  # one row
+    sums = sums.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(Column.__and__, [q(k).eqNullSafe(q(f"_of_{k}")) for k in keys])
+    return counts.join(sums, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def class_distribution(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows and share of each target value, nulls included, optionally within groups."""
-    total = F.sum("rows").over(Window.partitionBy(*by))
-    counts = df.groupBy(*by, target).agg(F.count("*").alias("rows"))
-    return counts.select(*by, target, "rows", (F.col("rows") / total).alias("share"))
+    counts = with_total(df.groupBy(*by, target).agg(F.count("*").alias("rows")), "rows", by)
+    return counts.select(*by, target, "rows", (F.col("rows") / F.col("_total")).alias("share"))
 
 
 def cardinality(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.exprs import q, ratio
 from scoreloom.operators.ordering import quantile_bin, quantile_edges
-from scoreloom.operators.profile import long_form
+from scoreloom.operators.profile import long_form, with_total
 from scoreloom.session import materialize
 
 
@@ -97,8 +98,30 @@ def crosstab_normalized(df: DataFrame, row: str, column: str, by: str = "all") -
     """(row, column, n, share) with shares of the grand total (``all``) or of the row (``index``)."""
     known = df.filter(q(row).isNotNull() & q(column).isNotNull())
     counts = known.groupBy(row, column).agg(F.count("*").alias("n"))
-    group = Window.partitionBy(row) if by == "index" else Window.partitionBy()
-    return counts.select("*", (F.col("n") / F.sum("n").over(group)).alias("share"))
+    totals = with_total(counts, "n", [row] if by == "index" else [])
+    return totals.select(*counts.columns, (F.col("n") / F.col("_total")).alias("share"))
+
+
+def crosstab_margins_long(df: DataFrame, rows: Sequence[str], column: str, label: str = "All") -> DataFrame:
+    """(row keys, column, n) with margins, for any number of column values; missing keys are left out."""
+    known = reduce(Column.__and__, [q(c).isNotNull() for c in (*rows, column)])
+    texts = df.filter(known).select(*[q(c).cast("string").alias(c) for c in (*rows, column)])
+    keys = [F.col(f"`{r}`") for r in rows]
+    sets = [[*keys, q(column)], keys, [q(column)], []]
+    cells = texts.groupingSets(sets, *keys, q(column)).agg(
+        F.count("*").alias("n"), F.grouping(rows[0]).alias("_a"), F.grouping(column).alias("_b")
+    )
+    return cells.select(
+        *[F.when(F.col("_a") == 1, label if i == 0 else "").otherwise(q(r)).alias(r) for i, r in enumerate(rows)],
+        F.when(F.col("_b") == 1, label).otherwise(q(column)).alias(column),
+        "n",
+    )
+
+
+def crosstab_values_long(df: DataFrame, row: str, column: str, y: str) -> DataFrame:
+    """(row, column, mean, count, sum) of y, for any number of column values."""
+    known = df.filter(q(row).isNotNull() & q(column).isNotNull())
+    return known.groupBy(row, column).agg(F.avg(q(y)).alias("mean"), F.count(q(y)).alias("count"), F.sum(q(y)).alias("sum"))
 
 
 def crosstab_values(df: DataFrame, row: str, column: str, values: Sequence, y: str) -> DataFrame:
@@ -126,13 +149,12 @@ def predictor_grid(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
         F.count_if(F.col("_y") == 1).alias("Nb_positive_cases"),
         F.count("*").alias("total_cases"),
     )
-    per_feature = Window.partitionBy("feature")
     rate = F.try_divide(
         F.col("Nb_positive_cases"), F.col("Nb_negative_cases") + F.col("Nb_positive_cases")
     )
-    return counts.select(
-        "*",
-        F.round(F.col("total_cases") / F.sum("total_cases").over(per_feature), 2).alias("share"),
+    return with_total(counts, "total_cases", ["feature"]).select(
+        *counts.columns,
+        F.round(F.col("total_cases") / F.col("_total"), 2).alias("share"),
         F.round(rate, 2).alias("criterion_rate"),
     ).orderBy("feature", "criterion_rate", "value")
 
@@ -219,9 +241,8 @@ def accumulation_points(df: DataFrame, score: str, top: int = 5) -> DataFrame:
     counts = (
         df.filter(q(score).isNotNull()).groupBy(F.round(q(score), 3).alias("score")).agg(F.count("*").alias("n"))
     )
-    # a score in [0, 1] has at most 1,001 values at 3 decimals, so the total is a small window
-    share = F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 2)
-    return counts.select("score", "n", share.alias("share")).orderBy(F.desc("n"), "score").limit(top)
+    share = F.round(F.col("n") / F.col("_total"), 2)
+    return with_total(counts, "n").select("score", "n", share.alias("share")).orderBy(F.desc("n"), "score").limit(top)
 
 
 def predictor_band_profile(df: DataFrame, features: Sequence[str], band: str) -> DataFrame:
@@ -271,8 +292,8 @@ def modality_evolution(df: DataFrame, obs: str, features: Sequence[str], y: str)
     counts = rows.groupBy("feature", obs, "value").agg(
         F.count("*").alias("n"), F.sum("_y").alias("_s"), F.count("_y").alias("_c")
     )
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("feature", obs))
-    return counts.select(
+    share = F.col("n") / F.col("_total")
+    return with_total(counts, "n", ["feature", obs]).select(
         "feature", obs, "value", "n", share.alias("share"), F.try_divide("_s", "_c").alias("rate")
     )
 

@@ -29,7 +29,6 @@ def model_report(
     features = list(features or model.features)
     train = splits.filter("dataset = 'train'")
     both = splits.filter(F.col("dataset").isin("train", "test"))
-    bands = [r[0] for r in splits.select(band).distinct().orderBy(band).limit(100).collect()]
     grid = report.predictor_grid(train, features, y)
     grid = encode.feature_labels(grid, "feature")
     if model.coefficients:
@@ -47,8 +46,8 @@ def model_report(
         "target_correlations": stats.corr_with_target(train, features, y),
         "predictor_grid": grid,
         "band_rates": report.band_rates(train, band, y),
-        "band_crosstab": report.crosstab_margins(both, ["dataset", y], band, bands),
-        "band_by_period": report.crosstab_values(splits, obs, band, bands, y),
+        "band_crosstab": report.crosstab_margins_long(both, ["dataset", y], band),
+        "band_by_period": report.crosstab_values_long(splits, obs, band, y),
         "band_share_by_period": report.crosstab_normalized(splits, obs, band, "index"),
         "ecdf": metrics.ecdf_by_class(splits, y, score),
         "roc": metrics.roc_curve(both, y, score, ["dataset"]),

@@ -18,7 +18,7 @@ def values(spark):
 PROBABILITIES = [i / 10 for i in range(11)]
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**9])
+@pytest.mark.parametrize("small_rows", [7, 10**9])
 def test_quantiles_equal_numpy_on_both_paths(values, small_rows):
     df, rows = values
     want = np.quantile([r[1] for r in rows], PROBABILITIES)
@@ -35,7 +35,7 @@ def test_quantile_of_nulls_only_and_of_one_row(spark):
 def test_select_ranks_reports_rows_below(values):
     df, rows = values
     x = sorted(r[1] for r in rows)
-    for rank, (value, below, equal) in ordering.select_ranks(df, "x", [0, 2999, 5999], 6000, 0).items():
+    for rank, (value, below, equal) in ordering.select_ranks(df, "x", [0, 2999, 5999], 6000, 7).items():
         assert value == x[rank]
         assert below == sum(v < value for v in x)
         assert equal == x.count(value)
@@ -83,7 +83,7 @@ def test_row_numbers_of_a_hot_group_and_null_keys(spark):
     assert got[999] == (None, None)
 
 
-@pytest.mark.parametrize("small_rows", [0, 10**9])
+@pytest.mark.parametrize("small_rows", [7, 10**9])
 def test_first_rows_takes_exactly_n(values, small_rows):
     df, rows = values
     for n in (0, 1, 2500, 4100, 6000):

@@ -110,8 +110,7 @@ def test_one_hot_drops_first_level_and_flags_nulls(spark):
     assert out.columns == ["s", "n", "s_dummie_b", "s_dummie_nan", "n_dummie_10.0", "n_dummie_nan"]
     assert column(out, "s_dummie_b") == [1, 0, 0] and column(out, "s_dummie_nan") == [0, 0, 1]
     assert projection.roles_of(out.schema).numerical == ("n",)
-    with pytest.raises(ValueError):
-        encode.OneHot.fit(spark.range(500), ["id"])
+    assert len(encode.OneHot.fit(spark.range(500), ["id"]).names()) == 500
 
 
 def test_ratio_uses_mean_of_finite_quotients(spark):
@@ -188,7 +187,7 @@ def test_inspector_counts_and_raises(spark):
 
 def test_undersampling_sizes(spark):
     df = spark.range(300).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 2).alias("c"))
-    for small_rows in (0, 10**9):
+    for small_rows in (7, 10**9):
         half = sampling.undersample_binary(df, "y", ["id"], 1.0, small_rows).groupBy("y").count().collect()
         assert {r["y"]: r["count"] for r in half} == {0: 100, 1: 100}
     loose = sampling.undersample_binary(df, "y", ["id"], 0.8).groupBy("y").count().collect()
