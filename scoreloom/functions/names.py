@@ -61,7 +61,7 @@ def _significant(value: float, precision: int) -> float:
 
 
 def right_closed_labels(edges: Sequence[float], precision: int = 3) -> list[str]:
-    """Texts such as ``(-0.001, 0.117]`` for right-closed intervals whose first edge is included."""
+    """Texts such as ``(-0.001, 0.2]`` for right-closed intervals whose first edge is included."""
     edges = [float(e) for e in edges]
     for digits in range(precision, 20):
         shown = [_significant(e, digits) for e in edges]

@@ -211,11 +211,12 @@ def feature_drift(train: DataFrame, new: DataFrame, importances: DataFrame) -> D
 
     ``importances`` is the model's own feature list (columns, importances).
     """
-    features = [r["columns"] for r in importances.select("columns").collect()]
+    known = importances.select("columns", "importances").collect()  # one row per feature of a model; read once
+    features = [r["columns"] for r in known]
     means = feature_means(train, features, "mean_train").join(
         feature_means(new, features, "mean_predict"), "feature"
     )
-    ranked = importances.select(F.col("columns").alias("feature"), "importances")
+    ranked = train.sparkSession.createDataFrame([tuple(r) for r in known], "feature string, importances double")
     drift = F.abs(F.try_divide(F.col("mean_predict"), F.col("mean_train")) - 1)
     return ranked.join(means, "feature").select(
         "feature", "importances", "mean_train", "mean_predict", drift.alias("data_drift")

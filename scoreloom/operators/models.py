@@ -30,6 +30,7 @@ from scoreloom.session import materialize
 
 # Training settings of each model.
 BOOST_ROUNDS = 100
+BOOST_DEPTH = 6
 LEARNING_RATE = 0.01
 ROW_SHARE = 0.5
 COLUMN_SHARE = 0.1
@@ -64,6 +65,7 @@ def boosted(**settings) -> GBTClassifier:
         featuresCol=VECTOR,
         labelCol=LABEL,
         maxIter=BOOST_ROUNDS,
+        maxDepth=BOOST_DEPTH,
         stepSize=LEARNING_RATE,
         subsamplingRate=ROW_SHARE,
         featureSubsetStrategy=str(COLUMN_SHARE),
@@ -123,6 +125,8 @@ class FittedModel:
 
     def score(self, df: DataFrame, prefix: str | None = None) -> DataFrame:
         """Add ``<m>_y_pred`` and ``<m>_y_pred_prob``."""
+        if self.classes:
+            raise ValueError(f"{self.name} knows {len(self.classes)} classes; use score_multiclass")
         m = prefix or self.name
         scored = self._probability(self._with_inputs(df), self.models[0], f"{m}_y_pred_prob")
         guess = F.when(q(f"{m}_y_pred_prob") > 0.5, 1).otherwise(0)
@@ -356,11 +360,24 @@ def validate_splits(
 
 
 def batch_predict(df: DataFrame, models: Sequence[FittedModel], digits: int = 5) -> DataFrame:
-    """Add ``predict_<m>`` for each model; 0 for a model some of whose features are missing."""
+    """Add ``predict_<m>`` for each model; 0 for a model some of whose features are missing.
+
+    A model of more than two classes adds ``predict_<m>_<class>`` for each class, normalised over the classes, and the most
+    likely class's code ``predict_<m>``.
+    """
     for model in models:
         out = f"predict_{model.name}"
+        shares = {f"{out}_{model.classes[i]}": c for i, c in model.probability_columns().items()}
         if model.missing(df):
-            df = df.withColumn(out, F.lit(0.0))
+            df = df.withColumns({name: F.lit(0.0) for name in shares} | {out: F.lit(0 if shares else 0.0)})
+            continue
+        if shares:
+            scored = model.score_multiclass(df)
+            df = scored.select(
+                *[q(c) for c in df.columns],
+                *[F.round(q(c), digits).alias(name) for name, c in shares.items()],
+                q(f"{model.name}_y_pred").alias(out),
+            )
             continue
         scored = model._probability(model._with_inputs(df), model.models[0], "_p")
         df = model._without_inputs(scored).select(

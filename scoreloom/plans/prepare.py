@@ -1,16 +1,17 @@
 """From a main table and side tables to a modelling table: clean, engineer, bin, select.
 
 Fitting learns every data-dependent choice once (which columns, fill values, levels, splits) and
-keeps them in a ``PreparationPlan``, so that new data gets exactly the same columns.
+keeps them in a ``PreparationPlan``, which can be stored, so that new data gets exactly the same columns on another day.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions import names
@@ -44,38 +45,82 @@ class PreparationPlan:
     ratios: encode.Ratios
     bins: OptimalBins = field(default_factory=lambda: OptimalBins({}, {}))
     features: list[str] = field(default_factory=list)
+    #: means or medians learned from the working frame, where the treatment fills with them
+    fills: dict[str, float] | None = None
 
     def clean(self, df: DataFrame) -> DataFrame:
-        """Outliers treated, dates parsed and spread into hours and parts."""
+        """Outliers treated, dates parsed and spread into hours and parts.
+
+        Outliers are those of the frame at hand, by its own mean and deviation; all else is as it was learned.
+        """
         known = set(df.columns)
         rule = cleaning.OutlierRule({c: a for c, a in self.outliers.action.items() if c in known})
         df = encode.add_parsed_dates(
             rule.transform(df), {c: f for c, f in self.date_formats.items() if c in known}
         )
         dates = [d for d in self.dates if d in df.columns]
-        return encode.date_parts(encode.date_diff_hours(df, dates), dates)
-
-    def engineer(self, df: DataFrame) -> DataFrame:
-        """Dummies, ratios and filled gaps on a clean frame.
+        return encode.date_parts(encode.date_diff_hours(df, dates, always=True), dates)
 
-        Nothing is computed here: whoever reads a few of the added columns pays for those only.
-        """
+    def derive(self, df: DataFrame) -> DataFrame:
+        """Dummies and ratios on a clean frame; lazily, so whoever reads a few added columns pays for those only."""
         have = set(df.columns)
         one_hot = encode.OneHot({c: v for c, v in self.one_hot.levels.items() if c in have})
         ratios = encode.Ratios({p: m for p, m in self.ratios.fills.items() if have.issuperset(p)})
-        wide = ratios.transform(one_hot.transform(df))
-        return cleaning.treat_missing(wide, self.missing_treatment, df.columns)
+        return ratios.transform(one_hot.transform(df))
+
+    def engineer(self, df: DataFrame, keep_rows: bool = False) -> DataFrame:
+        """Derived columns with filled gaps.
+
+        Means and medians are those learned once. While fitting, rows that still miss something are dropped as the
+        treatment says; new data keeps its rows.
+        """
+        wide = self.derive(df)
+        if self.fills is None:
+            return cleaning.treat_missing(wide, self.missing_treatment, df.columns)
+        filled = cleaning.fill_learned(wide, self.fills)
+        return filled if keep_rows else cleaning.missing_delete(filled, df.columns)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Prepare new data with the choices learned before; only selected features are added."""
         clean = self.clean(nan_to_null(df))
-        wide = self.engineer(clean)
+        wide = self.engineer(clean, keep_rows=True)
         have = set(wide.columns)
         bins = OptimalBins({c: s for c, s in self.bins.splits.items() if c in have}, {})
         wide = bins.transform(wide, fill_gaps=False)
         extra = [c for c in self.features if c in wide.columns and c not in clean.columns]
         return wide.select(*[q(c) for c in (*clean.columns, *extra)])
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the plan as one JSON document, to any path that Spark writes."""
+        document = {
+            "missing_treatment": self.missing_treatment,
+            "outliers": {"action": self.outliers.action, "limit": self.outliers.limit},
+            "date_formats": self.date_formats,
+            "dates": self.dates,
+            "one_hot": self.one_hot.levels,
+            "ratios": [[a, b, mean] for (a, b), mean in self.ratios.fills.items()],
+            "bins": {"splits": self.bins.splits, "iv": self.bins.iv},
+            "features": self.features,
+            "fills": self.fills,
+        }
+        frame = spark.createDataFrame([(json.dumps(document),)], "value string")
+        frame.coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PreparationPlan:
+        d = json.loads(spark.read.text(path, wholetext=True).filter("trim(value) <> ''").first()["value"])
+        return cls(
+            d["missing_treatment"],
+            cleaning.OutlierRule(d["outliers"]["action"], d["outliers"]["limit"]),
+            d["date_formats"],
+            d["dates"],
+            encode.OneHot(d["one_hot"]),
+            encode.Ratios({(a, b): mean for a, b, mean in d["ratios"]}),
+            OptimalBins(d["bins"]["splits"], d["bins"]["iv"]),
+            d["features"],
+            d["fills"],
+        )
+
 
 @dataclass
 class Prepared:
@@ -147,8 +192,8 @@ def prepare(
 
     # categories become dummies, numbers that pass selection become ratios
     roles = projection.roles_of(working.schema, hidden)
-    few = encode.high_cardinality_filter(working, roles.object)
-    switched = encode.numeric_to_categorical(working, roles.numerical)
+    few = encode.high_cardinality_filter(full, roles.object)
+    switched = encode.numeric_to_categorical(full, roles.numerical)
     numerical = [c for c in roles.numerical if c not in switched]
     plan.one_hot = encode.OneHot.fit(full, [*few, *switched])
     first = [*plan.one_hot.names(), *numerical]
@@ -157,6 +202,7 @@ def prepare(
     plan.ratios = encode.Ratios.fit(working, numerical, keep)
 
     # bins, learned from training rows outside the hold-out periods
+    plan.fills = cleaning.learn_fills(plan.derive(working), params.missing_treatment, working.columns)
     wide = plan.engineer(working)
     measures = [*numerical, *plan.ratios.names()]
     learn_from = wide.filter(

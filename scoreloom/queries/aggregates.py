@@ -9,7 +9,7 @@ from scoreloom.queries.catalog import query
 from scoreloom.queries.frame import KEY, NUMERIC_FEATURES, frame, r6, rounded, table, with_frame
 from scoreloom.queries.rows import BANDS_SQL, CUT_OFFS
 
-BANDS = ["(-0.001, 0.117]", "(0.117, 0.302]", "(0.302, 0.473]", "(0.473, 1.0]"]
+BANDS = ["(-0.001, 0.2]", "(0.2, 0.35]", "(0.35, 0.5]", "(0.5, 1.0]"]
 
 
 def _banded(spark, sf):

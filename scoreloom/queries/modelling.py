@@ -77,7 +77,7 @@ def train_boosted_multiclass(spark, sf):
 @query("score_multiclass")
 def score_multiclass(spark, sf):
     rows = _three_levels(_rows(spark, sf))
-    model = _fit_levels(rows, maxIter=5, stepSize=0.1)  # the fit at full length is train_boosted_multiclass
+    model = _fit_levels(rows)
     scored = materialize(model.score_multiclass(rows), "scores")
     columns = {c: c.replace("proba_for_criterion_class", "criterion_decil_class") for c in model.probability_columns().values()}
     return models.score_deciles(scored, columns).select(*KEY, "xgb_y_pred", *columns, *columns.values())
@@ -99,7 +99,7 @@ def top_features(spark, sf):
 @query("learning_curve")
 def learning_curve(spark, sf):
     rows = _rows(spark, sf)
-    model = _fit(rows, "xgb", maxIter=20, stepSize=0.1)
+    model = _fit(rows, "xgb")
     return models.learning_curve(model, {"train": _train(rows), "test": rows.filter("dataset = 'test'")}, "y")
 
 
@@ -132,7 +132,7 @@ def batch_predict(spark, sf):
 @query("recursive_elimination")
 def recursive_elimination(spark, sf):
     steps = models.recursive_elimination(
-        _train(_rows(spark, sf)), NUMERIC_FEATURES, "y", F.col("bucket"), keep=3, rounds=2
+        _train(_rows(spark, sf)), NUMERIC_FEATURES, "y", F.col("bucket"), keep=3
     )
     return steps.withColumn("features", F.array_join("features", ","))
 
@@ -222,9 +222,10 @@ def flow_predict(spark, sf):
 @query("flow_report")
 def flow_report(spark, sf):
     rows = frame(spark, sf)
-    flags = encode.OneHot({"l_returnflag": ["A", "N", "R"]}).transform(rows.select(
+    narrow = rows.select(
         *KEY, "obs", "y", "dataset", "l_returnflag", "qty", "disc100", "p_size", "l_extendedprice", "o_totalprice"
-    ))
+    )
+    flags = encode.one_hot(narrow, ["l_returnflag"])
     features = ["qty", "disc100", "p_size", "l_returnflag_dummie_N"]
     base = materialize(flags, "splits")
     model = models.fit_model(base.filter("dataset = 'train'"), features, "y", "dt")

@@ -208,9 +208,9 @@ def coerce_numeric(spark, sf):
     return rows
 
 
-BANDS_SQL = """CASE WHEN score <= 0.117 THEN '(-0.001, 0.117]' WHEN score <= 0.302 THEN '(0.117, 0.302]'
-  WHEN score <= 0.473 THEN '(0.302, 0.473]' WHEN score <= 1 THEN '(0.473, 1.0]' ELSE 'nan' END"""
-CUT_OFFS = [0, 0.117, 0.302, 0.473, 1]
+BANDS_SQL = """CASE WHEN score <= 0.2 THEN '(-0.001, 0.2]' WHEN score <= 0.35 THEN '(0.2, 0.35]'
+  WHEN score <= 0.5 THEN '(0.35, 0.5]' WHEN score <= 1 THEN '(0.5, 1.0]' ELSE 'nan' END"""
+CUT_OFFS = [0, 0.2, 0.35, 0.5, 1]
 
 
 @query("score_bands", with_frame(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {BANDS_SQL} AS band FROM frame"))

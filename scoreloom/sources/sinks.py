@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scoreloom.functions.exprs import q
 
 
+def _by_folder(df: DataFrame, column: str) -> DataFrameWriter:
+    """A writer with one folder per value; rows are dealt anew so that a big value is split and small ones share a file each."""
+    return df.hint("rebalance", F.col(f"`{column}`")).write.mode("overwrite").partitionBy(column)
+
+
 def write_prepared(df: DataFrame, path: str, obs: str | None = None) -> None:
     """Prepared frame as Parquet, one folder per period so that hold-out reads prune."""
-    writer = df.write.mode("overwrite")
-    if obs:
-        # rows of a period spread over tasks; a period may be most of the table
-        writer = writer.partitionBy(obs)
-    writer.parquet(path)
+    _by_folder(df, obs).parquet(path) if obs else df.write.mode("overwrite").parquet(path)
 
 
 def read_prepared(
@@ -42,7 +44,7 @@ def read_feature_list(spark: SparkSession, path: str) -> list[str]:
 
 
 def write_splits(df: DataFrame, path: str, dataset: str = "dataset") -> None:
-    df.write.mode("overwrite").partitionBy(dataset).parquet(path)
+    _by_folder(df, dataset).parquet(path)
 
 
 def read_split(spark: SparkSession, path: str, name: str, dataset: str = "dataset") -> DataFrame:

@@ -155,6 +155,16 @@ def test_multiclass_probabilities_sum_to_one(rows):
     total = sum(F.col(c) for c in model.probability_columns().values())
     assert scored.filter(F.abs(total - 1) > 1e-9).count() == 0
     assert scored.filter(F.col("k") == F.col("xgb_y_pred")).count() > 0.6 * three.count()
+    names = {f"predict_xgb_{c}": p for c, p in zip("nsl", model.probability_columns().values())}
+    batch = models.batch_predict(three, [model], digits=12)
+    joined = batch.join(scored.select("id", *names.values(), "xgb_y_pred"), "id")
+    same = F.col("predict_xgb") == F.col("xgb_y_pred")
+    for name, p in names.items():
+        same = same & (F.abs(F.col(name) - F.col(p)) < 1e-9)
+    assert joined.filter(same).count() == three.count()
+    assert models.batch_predict(three.drop("b"), [model]).filter("predict_xgb_n = 0 and predict_xgb = 0").count() == three.count()
+    with pytest.raises(ValueError):
+        model.score(three)
 
 
 # -- flows -------------------------------------------------------------------------------------
@@ -187,3 +197,26 @@ def test_flow_from_raw_rows_to_report(spark, rows):
     splits = models.banded(model.score(trained.labelled), "dt", "y", params.cut_offs["dt"])
     tables = report.model_report(splits, model, params)
     assert report.stacked(tables).select("report").distinct().count() >= 18
+
+
+@pytest.mark.parametrize("treatment", ["median", "column_mean"])
+def test_stored_plan_gives_a_row_the_same_features_in_any_batch(spark, rows, tmp_path, treatment):
+    gaps = rows.select("id", F.when(F.col("id") % 7 != 0, F.col("a")).alias("a"), "b", "c", "s", "obs", "y")
+    params = ScoringParams.from_dict(
+        {
+            "criterion_column": "y", "observation_date_column": "obs", "columns_to_exclude": ["obs"],
+            "t1df": "2020-04", "t2df": "2020-05", "t3df": "2020-06", "missing_treatment": treatment,
+        }
+    )
+    assert params.missing_treatment == treatment
+    prepared = prepare.prepare(gaps, params, ["id"], bucket=F.col("id") * 7919)
+    prepared.plan.save(spark, str(tmp_path / "plan"))
+    plan = prepare.PreparationPlan.load(spark, str(tmp_path / "plan"))
+    assert plan == prepared.plan and plan.fills["a"] > 0
+    new = gaps.withColumn("s", F.when(F.col("id") != 14, F.col("s")))
+    batch = plan.transform(new.filter("id < 40"))
+    alone = plan.transform(new.filter("id = 14"))
+    assert batch.count() == 40 and alone.count() == 1
+    # whether a value is an outlier is decided in its frame; all other inputs and the features are the plan's
+    inputs = [F.col(f"`{c}`") for c in ("a", "b", *plan.features) if c in alone.columns]
+    assert batch.filter("id = 14").select(inputs).collect() == alone.select(inputs).collect()

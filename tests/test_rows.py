@@ -23,8 +23,8 @@ def test_sanitize_and_raw_inputs():
 
 
 def test_band_labels():
-    assert names.right_closed_labels([0, 0.117, 0.302, 0.473, 1]) == [
-        "(-0.001, 0.117]", "(0.117, 0.302]", "(0.302, 0.473]", "(0.473, 1.0]",
+    assert names.right_closed_labels([0, 0.2, 0.35, 0.5, 1]) == [
+        "(-0.001, 0.2]", "(0.2, 0.35]", "(0.35, 0.5]", "(0.5, 1.0]",
     ]
     assert names.left_closed_labels([1.5, 3]) == ["(-inf, 1.50)", "[1.50, 3.00)", "[3.00, inf)"]
 
@@ -137,9 +137,9 @@ def test_rules_treat_null_as_no(spark):
 
 
 def test_bands_are_right_closed_and_outside_is_nan(spark):
-    df = spark.createDataFrame([(0.0,), (0.117,), (0.1171,), (1.0,), (1.2,), (None,)], "p double")
-    got = column(encode.score_bands(df, "p", [0, 0.117, 0.302, 1], "b"), "b")
-    assert got == ["(-0.001, 0.117]", "(-0.001, 0.117]", "(0.117, 0.302]", "(0.302, 1.0]", "nan", "nan"]
+    df = spark.createDataFrame([(0.0,), (0.2,), (0.21,), (1.0,), (1.2,), (None,)], "p double")
+    got = column(encode.score_bands(df, "p", [0, 0.2, 0.35, 1], "b"), "b")
+    assert got == ["(-0.001, 0.2]", "(-0.001, 0.2]", "(0.2, 0.35]", "(0.35, 1.0]", "nan", "nan"]
 
 
 def test_codes_and_coercion(spark):
