@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folder of the run whose intermediate tables are freed together, below the shared folder.
+_run: ContextVar[str] = ContextVar("run", default="")
 _local_scratch: tempfile.TemporaryDirectory | None = None
 
 
@@ -29,7 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{_run.get()}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def freed_tables(spark: SparkSession) -> Iterator[str]:
+    """Free every table that is stored inside the block when the block ends.
+
+    Lazy results read those tables, so write or collect them before. Without the block tables stay until whoever owns the
+    shared folder clears it.
+    """
+    run = f"run-{uuid.uuid4().hex}/"
+    token = _run.set(run)
+    try:
+        yield run
+    finally:
+        _run.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{run}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

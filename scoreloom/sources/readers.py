@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from scoreloom.functions.exprs import nan_to_null
 
+log = logging.getLogger(__name__)
+
 Hook = Callable[[DataFrame], DataFrame]
 
 
@@ -47,17 +50,27 @@ def load_table(spark: SparkSession, path: str, schema: StructType | None = None)
 
 
 def side_tables(
-    spark: SparkSession, paths: Mapping[str, str], hook: Hook | None = None
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    hook: Hook | None = None,
+    schemas: Mapping[str, StructType] | None = None,
+    strict: bool = False,
 ) -> dict[str, DataFrame]:
-    """Side tables by name, each passed through the hook where the hook accepts it."""
+    """Side tables by name, each passed through the hook.
+
+    A hook written for the main table may not fit a side table: the table is then left as it is and the error logged, or
+    raised with ``strict``. ``schemas`` by name spare CSV files the pass that infers one.
+    """
     tables = {}
     for name, path in paths.items():
-        df = load_table(spark, path)
+        df = load_table(spark, path, (schemas or {}).get(name))
         if hook is not None:
             try:
                 df = df.transform(hook)
-            except Exception:  # a hook written for the main table may not fit this one
-                pass
+            except Exception as error:
+                if strict:
+                    raise
+                log.warning("hook not applied to side table %s: %s", name, error)
         tables[name] = df
     return tables
 
