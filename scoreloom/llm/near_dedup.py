@@ -4,7 +4,8 @@ A document is its set of distinct word shingles; equal sets are one class from t
 read as several orders (trees): in each, classes are sorted by the values that belong to the tree, and
 neighbours with a long common prefix are candidates. How long is settled region by region: a region is all
 classes that share the first values of a tree, at depth 4 first. A region of at most ``CROWD`` classes is
-deep enough and its members are compared with one another; a larger one is split by more values. Where a crowd remains at any
+deep enough and its members are compared with one another, but for those that links to the region's first member have
+already brought together; a larger one is split by more values. Where a crowd remains at any
 depth, its classes are linked to the pivot of the crowd (of the classes on the most trodden path below it the one that is on such
 paths in most trees, which is the middle of a crowd of variants) and to their neighbours in sorted order, so the work in a crowd grows with its size, not with its pairs.
 
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import components
-from scoreloom.llm.shingles import Shingler, least_values, pairs_within, random_factors, shared_count
+from scoreloom.llm.shingles import Shingler, least_values, random_factors, shared_count
 from scoreloom.session import materialize
 
 TREES, DEPTH = 16, 8
@@ -124,8 +125,9 @@ def _crowd_pairs(rows: DataFrame, region: str, central: DataFrame) -> DataFrame:
     return stars.unionByName(chain.filter(F.col("u").isNotNull()))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs ``u`` < ``v`` of class ids that the forest proposes; stored."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the forest proposes: distinct pairs ``u`` < ``v`` of class ids, at least one for every class that shares a region;
+    and ``region``, ``id`` of the regions in which all members are to be compared. Both are stored."""
     labels = _labels(classes)
     first = materialize(
         labels.groupBy("p4")
@@ -133,9 +135,10 @@ def candidates(classes: DataFrame) -> DataFrame:
         .filter("n4 > 1"),
         "regions",
     )
-    pairs = [first.filter("n4 = 2").select("u", "v")]
-    shared = materialize(labels.join(first.filter("n4 > 2").select("p4", "n4"), "p4"), "crowds")
-    pairs.append(pairs_within(shared.filter(F.col("n4") <= CROWD).select(F.col("p4").alias("region"), "id")))
+    shared = materialize(labels.join(first.filter("n4 > 2").select("p4", "n4", F.col("u").alias("low")), "p4"), "crowds")
+    small = shared.filter(F.col("n4") <= CROWD)
+    pairs = [first.filter("n4 = 2").select("u", "v"), small.select(F.col("low").alias("u"), F.col("id").alias("v"))]
+    leaves = [small.select(F.col("p4").alias("region"), "id")]
     crowd = shared.filter(F.col("n4") > CROWD)
     for depth in LEVELS[1:]:
         sizes = crowd.groupBy(f"p{depth}").agg(F.count(F.lit(1)).alias(f"n{depth}"))
@@ -143,15 +146,24 @@ def candidates(classes: DataFrame) -> DataFrame:
     crowd = materialize(crowd, "crowds")
     for above, depth in zip(LEVELS, LEVELS[1:], strict=False):
         deep_enough = crowd.filter((F.col(f"n{above}") > CROWD) & F.col(f"n{depth}").between(2, CROWD))
-        pairs.append(pairs_within(deep_enough.select(F.col(f"p{depth}").alias("region"), "id")))
+        leaves.append(deep_enough.select(F.col(f"p{depth}").alias("region"), "id"))
     # the middle of a crowd keeps to the path in most trees, a variant leaves it in some
     central = materialize(_on_path(crowd, "p4").groupBy("id").agg(F.count(F.lit(1)).alias("trees")), "central")
     for depth in LEVELS:
         pairs.append(_crowd_pairs(crowd.filter(F.col(f"n{depth}") > CROWD), f"p{depth}", central))
     found = reduce(DataFrame.unionByName, pairs).filter(F.col("u") != F.col("v"))
-    return materialize(
-        found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates"
+    found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    return materialize(found, "candidates"), materialize(reduce(DataFrame.unionByName, leaves), "leaves")
+
+
+def _across(leaves: DataFrame, part: DataFrame) -> DataFrame:
+    """Distinct pairs of ids that share a region and are not in one component already."""
+    rows = leaves.join(part, "id", "left").select("region", "id", F.coalesce("component", "id").alias("part"))
+    other = rows.select("region", F.col("id").alias("v"), F.col("part").alias("part_v"))
+    both = rows.select("region", F.col("id").alias("u"), F.col("part").alias("part_u")).join(
+        other, (rows["region"] == other["region"]) & (F.col("u") < F.col("v")) & (F.col("part_u") != F.col("part_v"))
     )
+    return both.select("u", "v").distinct()
 
 
 def _chosen(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame:
@@ -211,9 +223,13 @@ def near_duplicates(
         .select("digest", "low", "name.*", "signature", "n", F.monotonically_increasing_id().alias("id")),
         "classes",
     )
-    links = confirmed(docs, classes, candidates(classes), width, percent, key, text)
+    first, leaves = candidates(classes)
+    links = materialize(confirmed(docs, classes, first, width, percent, key, text), "links")
+    # what the first links have brought together needs no more comparing; all other members of a region do
+    rest = _across(leaves, components(links))
+    more = materialize(confirmed(docs, classes, rest, width, percent, key, text), "links")
     # a component's smallest member stands for it and is not listed as part of it
-    part = components(links)
+    part = components(links.unionByName(more))
     grouped = classes.select("id", "digest", "low").join(part, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
