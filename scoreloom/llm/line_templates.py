@@ -35,22 +35,22 @@ def tokens_of(line: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(line, WITH_DIGIT, VARIABLE), F.lit(TOKEN), 0)
 
 
-def leaf_of(tokens: Column, depth: int) -> Column:
-    """Number of tokens and leading tokens as one text."""
-    return F.concat_ws(" ", F.size(tokens), F.slice(tokens, 1, depth))
+def leaf_of(line: Column, depth: int) -> Column:
+    """Number of tokens and leading tokens of a line as one text; no more of the line is taken apart."""
+    head = F.regexp_extract(line, rf"^[ \t\r]*(?:{TOKEN}[ \t\r]*){{1,{depth}}}", 0)
+    return F.concat_ws(" ", F.regexp_count(line, F.lit(TOKEN)), F.array_join(tokens_of(head), " "))
 
 
 def _lines(docs: DataFrame, depth: int, key: str, text: str) -> DataFrame:
-    """One row per line with tokens: ``key``, ``text_hash``, ``i`` (from 0), ``tokens``, ``leaf``."""
+    """One row per line that is not blank: ``key``, ``text_hash``, ``i`` (from 0), ``line``, ``leaf``."""
     exploded = docs.select(
         F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), F.posexplode(lines_of(F.col(text))).alias("i", "line")
     )
-    cut = exploded.select("key", "text_hash", "i", tokens_of(F.col("line")).alias("tokens")).filter(F.size("tokens") > 0)
-    return cut.withColumn("leaf", leaf_of(F.col("tokens"), depth))
+    return exploded.filter(F.col("line").rlike(TOKEN)).withColumn("leaf", leaf_of(F.col("line"), depth))
 
 
-def templates(lines: DataFrame, least_documents: int, share: float, least_constant: float) -> DataFrame:
-    """``leaf`` and ``template`` (tokens, variable fields as ``<*>``) of leaves in enough documents; stored."""
+def crowded_lines(lines: DataFrame, least_documents: int) -> DataFrame:
+    """``key``, ``text_hash``, ``i``, ``leaf`` and ``tokens`` of lines whose leaf is met in enough documents; stored."""
     crowded = (
         lines.groupBy("leaf", "key", "text_hash")
         .agg(F.lit(1).alias("one"))
@@ -60,7 +60,14 @@ def templates(lines: DataFrame, least_documents: int, share: float, least_consta
         .select("leaf")
     )
     crowded = materialize(crowded, "leaves")
-    distinct_lines = lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("n"))
+    few = crowded.count() <= MOST_TEMPLATES
+    inside = lines.join(F.broadcast(crowded) if few else crowded, "leaf", "left_semi")
+    return materialize(inside.select("key", "text_hash", "i", "leaf", tokens_of(F.col("line")).alias("tokens")), "crowded-lines")
+
+
+def templates(lines: DataFrame, share: float, least_constant: float) -> DataFrame:
+    """``leaf`` and ``template`` (tokens, variable fields as ``<*>``) of each leaf with enough constants; stored."""
+    distinct_lines = lines.groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("n"))
     cells = distinct_lines.select("leaf", "n", F.posexplode("tokens").alias("p", "token"))
     votes = cells.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
     places = votes.groupBy("leaf", "p").agg(
@@ -91,8 +98,8 @@ def drop_template_lines(
     least_constant: float = 0.5,
 ) -> DataFrame:
     """The rows with ``n_lines``, ``n_dropped`` and ``clean_text``, the text without the lines of recurring templates."""
-    lines = _lines(docs, depth, key, text)
-    found = templates(lines, least_documents, share, least_constant)
+    lines = crowded_lines(_lines(docs, depth, key, text), least_documents)
+    found = templates(lines, share, least_constant)
     few = found.count() <= MOST_TEMPLATES
     fitting = (
         lines.join(F.broadcast(found) if few else found, "leaf")
