@@ -139,8 +139,14 @@ def _paragraphs(text: Column, repeated: Column, width: int, least: int, least_ru
                 if text:
                     reading = Reading(text, shingler)
                     known = {p["hash"]: p["holders"] for p in pairs} if pairs is not None else {}
-                    for a, b in reading.paragraphs(known, least, least_run) if reading.count else ():
-                        own = shingler.of_words(reading.hashes[a:b])
+                    spans = reading.paragraphs(known, least, least_run) if reading.count else []
+                    # shingles of the whole text, of which a paragraph's are a part
+                    whole_text = shingler.in_order(reading.hashes) if spans else None
+                    for a, b in spans:
+                        if b - a < width:
+                            own = shingler.of_words(reading.hashes[a:b])
+                        else:
+                            own = np.unique(whole_text[a : b - width + 1])
                         whole = mixed(reading.hashes[a:b] * _ODD + np.arange(b - a, dtype=np.uint64)).sum(dtype=np.uint64)
                         rows.append(
                             {

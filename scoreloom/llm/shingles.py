@@ -66,15 +66,19 @@ class Shingler:
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_LETTERS[data] * self.up[:n], dtype=np.uint64)))
         return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
-    def of_words(self, words: np.ndarray) -> np.ndarray:
-        """Sorted distinct hashes of the shingles of a row of words; fewer words than a shingle are one."""
+    def in_order(self, words: np.ndarray) -> np.ndarray:
+        """Hashes of the shingles of a row of words, in order; fewer words than a shingle are one."""
         if len(words) == 0:
             return words
         width = min(self.width, len(words))
         out = np.full(len(words) - width + 1, width, dtype=np.uint64)
         for i in range(width):
             out = mixed(out * np.uint64(_BASE) + words[i : len(words) - width + 1 + i])
-        return np.unique(out)
+        return out
+
+    def of_words(self, words: np.ndarray) -> np.ndarray:
+        """Sorted distinct hashes of the shingles of a row of words."""
+        return np.unique(self.in_order(words))
 
     def of_text(self, text: str | None) -> np.ndarray:
         """Shingles of a text; A-Z count as a-z, and blanks, tabs and line ends part words."""
