@@ -7,8 +7,9 @@ Equal paragraphs are one class. Classes get a MinHash signature of their word sh
 collide in a band are joined, confirmed by the exact Jaccard similarity of their shingle sets, and connected. Of a
 component that reaches over several documents the paragraphs of one document stay, all others are removals.
 
-With ``BANDS`` = 6 of 2 values a pair at the limit of 0.8 collides with a chance of 0.998, one at 0.9 of 0.99995. In a
-band value that more than ``CROWD`` classes share they are compared with the smallest and the next of them only.
+With ``BANDS`` = 6 of 2 values a pair at the limit of 0.8 collides with a chance of 0.998, one at 0.9 of 0.99995. Classes of a
+band value that more than ``CROWD`` share are linked to the smallest and the next of them first; then all classes of crowds
+are joined on their rarest shingles (``prefix_join``), which proposes every pair at the limit that these links left apart.
 
 Defined cases: a null or empty text has no paragraphs; texts of fewer than ``least_run`` words have none; equal rows
 (key and text) are one document; a passage that repeats inside one document only is left; of documents the one with the
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scoreloom.llm.components import components
+from scoreloom.llm.prefix_join import pairs_across
 from scoreloom.llm.shingles import Shingler, least_values, mixed, pairs_within, random_factors, shared_count
 from scoreloom.session import materialize
 
@@ -199,8 +201,9 @@ def find_paragraphs(docs: DataFrame, width: int, least: int, least_run: int, key
     return materialize(joined.select("doc", "key", F.explode(spans).alias("p")).select("doc", "key", "p.*"), "paragraphs")
 
 
-def _colliding(classes: DataFrame) -> DataFrame:
-    """Distinct pairs ``u`` < ``v`` of class ids that share a band."""
+def _colliding(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ``u`` < ``v`` of class ids that share a band, in crowds with two others only; and ``id`` of the classes in
+    crowds."""
     rows = classes.select("id", F.explode("bands").alias("region"))
     shared = materialize(
         rows.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("u"), F.max("id").alias("v")).filter("n > 1"),
@@ -218,7 +221,18 @@ def _colliding(classes: DataFrame) -> DataFrame:
         .unionByName(large.select(F.col("low").alias("u"), F.col("id").alias("v")))
         .unionByName(chain.filter(F.col("u").isNotNull()))
     )
-    return pairs.filter("u < v").distinct()
+    return pairs.filter("u < v").distinct(), large.select("id").distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u``, ``v`` with 100 * shared >= percent * union on the full sets; stored."""
+    both = pairs.select("u", "v").join(sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("set").alias("a")), "u").join(
+        sets.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("set").alias("b")), "v"
+    )
+    counted = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("sum"), shared_count(F.col("a"), F.col("b")).alias("shared"))
+    return materialize(
+        counted.filter(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("u", "v"), "passage-links"
+    )
 
 
 def repeated_passages(
@@ -242,28 +256,28 @@ def repeated_passages(
         "paragraph-classes",
     )
     sizes = classes.select("id", "n")
+    colliding, crowd = _colliding(classes)
+    crowd = materialize(crowd, "crowd-ids")
     pairs = materialize(
-        _colliding(classes)
-        .join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u")
+        colliding.join(sizes.select(F.col("id").alias("u"), F.col("n").alias("nu")), "u")
         .join(sizes.select(F.col("id").alias("v"), F.col("n").alias("nv")), "v")
         .filter(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")),
         "colliding",
     )
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    spans = materialize(classes.join(ids, "id").select("id", F.col("doc").alias("__doc"), "start", "end"), "named-spans")
+    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).unionByName(crowd).distinct()
+    spans = materialize(classes.join(ids, "id").select("id", "n", F.col("doc").alias("__doc"), "start", "end"), "named-spans")
     few = spans.count() <= MOST_IDS
     texts = docs.select(F.col(text).alias("text"), _document(key, text).alias("doc"))
     named = texts.join(F.broadcast(spans) if few else spans, F.col("doc") == F.col("__doc"))
     sets = materialize(
-        named.select("id", _span_sets(F.col("text"), F.col("start"), F.col("end"), width).alias("set")).dropDuplicates(["id"]),
+        named.select("id", "n", _span_sets(F.col("text"), F.col("start"), F.col("end"), width).alias("set")).dropDuplicates(["id"]),
         "paragraph-sets",
     )
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(
-        sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v"
-    )
-    counted = both.select("u", "v", (F.col("nu") + F.col("nv")).alias("sum"), shared_count(F.col("a"), F.col("b")).alias("shared"))
-    links = counted.filter(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("u", "v")
+    links = _links(pairs, sets, percent)
     part = components(links)
+    if not crowd.isEmpty():
+        rest = pairs_across(sets.join(crowd, "id", "left_semi"), part, percent)
+        part = components(links.unionByName(_links(rest, sets, percent)))
     cluster = classes.select("hash", "id").join(part, "id", "left").select(
         "hash", F.coalesce("component", "id").alias("cluster_id")
     )

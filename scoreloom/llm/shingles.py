@@ -90,7 +90,7 @@ class Shingler:
         return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def unpacked(data: bytes) -> np.ndarray:
     wide = np.zeros((len(data) // KEPT_BYTES, 8), dtype=np.uint8)
     wide[:, :KEPT_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEPT_BYTES)
     return wide.view(">u8").ravel().astype(np.uint64)
@@ -102,7 +102,7 @@ def shared_count(a: Column, b: Column) -> Column:
     @F.pandas_udf("int")
     def shared(left: pd.Series, right: pd.Series) -> pd.Series:
         counts = [
-            len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True)) for x, y in zip(left, right, strict=True)
+            len(np.intersect1d(unpacked(x), unpacked(y), assume_unique=True)) for x, y in zip(left, right, strict=True)
         ]
         return pd.Series(counts, dtype="int32")
 

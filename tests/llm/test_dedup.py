@@ -131,6 +131,25 @@ def test_passages_found_and_clean_documents_left(spark):
     assert cleaned[24] is None
 
 
+def test_passages_in_a_crowd_that_shares_a_template(spark):
+    rng = random.Random(21)
+    head, tail = prose(rng, 36).replace(".", ""), prose(rng, 36).replace(".", "")
+    texts = []
+    for i in range(300):
+        own = [f"{rng.choice('pqrs')}{rng.randrange(10**6)}" for _ in range(32)]
+        texts += [f"{head} {' '.join(own)} {tail}", f"{head} {' '.join([*own[:9], f'z{i}', *own[10:]])} {tail}"]
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [
+        (a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    assert len(links) == 300
+    rows = passages.repeated_passages(as_docs(spark, texts)).filter("n_words = 104").collect()
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r.cluster_id].add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(300)]
+
+
 def test_passages_repeat_in_one_document_only(spark):
     rng = random.Random(3)
     text = prose(rng, 63)
