@@ -3,16 +3,18 @@
 A document is its set of distinct word shingles; equal sets are one class from the start. A class has a MinHash signature that is
 read as several orders (trees): in each, classes are sorted by the values that belong to the tree, and
 neighbours with a long common prefix are candidates. How long is settled region by region: a region is all
-classes that share the first values of a tree, at depth 4 first. A region of at most ``CROWD`` classes is
-deep enough and its members are compared with one another, but for those that links to the region's first member have
-already brought together; a larger one is split by more values. Where a crowd remains at any
-depth, its classes are linked to the pivot of the crowd (of the classes on the most trodden path below it the one that is on such
-paths in most trees, which is the middle of a crowd of variants) and to their neighbours in sorted order, so the work in a crowd grows with its size, not with its pairs.
+classes that share the first values of a tree, at depth 4 first. In a region of at most ``CROWD`` classes the members
+are compared with one another, but for those that links to the region's first member have
+already brought together. A larger region is a crowd; there and in the crowds that more values leave of it,
+classes are first linked to the pivot of the crowd (of the classes on the most trodden path below it the one that is on such
+paths in most trees, which is the middle of a crowd of variants) and to their neighbours in order of hashed prefixes. Then all classes
+that are in a crowd of any tree are joined on their rarest shingles (``prefix_join``), which proposes every pair at the limit that
+the first links left apart.
 
 Signatures only propose. A proposed pair whose signatures agree so little that a similarity at the limit is out of
 the question (four deviations) is put aside; all others are confirmed on the full shingle sets. Links make
-components. A link is missed only where no tree proposes it: below 2 in 10,000 for a pair at the limit in no crowd, and
-in crowds a class is missed if its only links are to members that are neither pivots nor neighbours in any tree.
+components. A link is missed only where no tree brings its classes into one region of depth 4, or by the four deviations: below
+2 in 10,000 for a pair at the limit, in crowds or not.
 
 Defined cases: a text without words, or null, has an empty set and is linked with nothing; fewer words than a
 shingle are one shingle; a null key belongs to its component without ever naming it, and names none of its own; rows of equal key and text
@@ -31,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.llm.components import components
+from scoreloom.llm.prefix_join import pairs_across
 from scoreloom.llm.shingles import Shingler, least_values, random_factors, shared_count
 from scoreloom.session import materialize
 
@@ -125,9 +128,9 @@ def _crowd_pairs(rows: DataFrame, region: str, central: DataFrame) -> DataFrame:
     return stars.unionByName(chain.filter(F.col("u").isNotNull()))
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the forest proposes: distinct pairs ``u`` < ``v`` of class ids, at least one for every class that shares a region;
-    and ``region``, ``id`` of the regions in which all members are to be compared. Both are stored."""
+    ``region``, ``id`` of the regions in which all members are to be compared; and ``id`` of the classes in crowds. All are stored."""
     labels = _labels(classes)
     first = materialize(
         labels.groupBy("p4")
@@ -138,22 +141,19 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = materialize(labels.join(first.filter("n4 > 2").select("p4", "n4", F.col("u").alias("low")), "p4"), "crowds")
     small = shared.filter(F.col("n4") <= CROWD)
     pairs = [first.filter("n4 = 2").select("u", "v"), small.select(F.col("low").alias("u"), F.col("id").alias("v"))]
-    leaves = [small.select(F.col("p4").alias("region"), "id")]
     crowd = shared.filter(F.col("n4") > CROWD)
     for depth in LEVELS[1:]:
         sizes = crowd.groupBy(f"p{depth}").agg(F.count(F.lit(1)).alias(f"n{depth}"))
         crowd = crowd.join(sizes, f"p{depth}")
     crowd = materialize(crowd, "crowds")
-    for above, depth in zip(LEVELS, LEVELS[1:], strict=False):
-        deep_enough = crowd.filter((F.col(f"n{above}") > CROWD) & F.col(f"n{depth}").between(2, CROWD))
-        leaves.append(deep_enough.select(F.col(f"p{depth}").alias("region"), "id"))
     # the middle of a crowd keeps to the path in most trees, a variant leaves it in some
     central = materialize(_on_path(crowd, "p4").groupBy("id").agg(F.count(F.lit(1)).alias("trees")), "central")
     for depth in LEVELS:
         pairs.append(_crowd_pairs(crowd.filter(F.col(f"n{depth}") > CROWD), f"p{depth}", central))
     found = reduce(DataFrame.unionByName, pairs).filter(F.col("u") != F.col("v"))
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return materialize(found, "candidates"), materialize(reduce(DataFrame.unionByName, leaves), "leaves")
+    leaves = small.select(F.col("p4").alias("region"), "id")
+    return materialize(found, "candidates"), materialize(leaves, "leaves"), materialize(crowd.select("id").distinct(), "crowd-ids")
 
 
 def _across(leaves: DataFrame, part: DataFrame) -> DataFrame:
@@ -175,6 +175,12 @@ def _chosen(docs: DataFrame, names: DataFrame, key: str, text: str) -> DataFrame
     return rows.join(F.broadcast(ids) if few else ids, same).select("id", "text")
 
 
+def shingle_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """``id`` and packed ``set`` of the classes in ``ids``; stored."""
+    chosen = _chosen(docs, classes.join(ids, "id").select("id", "key", "text_hash"), key, text)
+    return materialize(chosen.dropDuplicates(["id"]).select("id", _full_sets(F.col("text"), width).alias("set")), "shingle-sets")
+
+
 def confirmed(
     docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, key: str, text: str
 ) -> DataFrame:
@@ -194,8 +200,7 @@ def confirmed(
         "likely-pairs",
     )
     named = likely.select(F.col("u").alias("id")).unionByName(likely.select(F.col("v").alias("id"))).distinct()
-    chosen = _chosen(docs, classes.join(named, "id").select("id", "key", "text_hash"), key, text)
-    sets = materialize(chosen.dropDuplicates(["id"]).select("id", _full_sets(F.col("text"), width).alias("set")), "shingle-sets")
+    sets = shingle_sets(docs, classes, named, width, key, text)
     both = likely.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v"
     )
@@ -223,10 +228,14 @@ def near_duplicates(
         .select("digest", "low", "name.*", "signature", "n", F.monotonically_increasing_id().alias("id")),
         "classes",
     )
-    first, leaves = candidates(classes)
+    first, leaves, crowd = candidates(classes)
     links = materialize(confirmed(docs, classes, first, width, percent, key, text), "links")
     # what the first links have brought together needs no more comparing; all other members of a region do
-    rest = _across(leaves, components(links))
+    part = components(links)
+    rest = _across(leaves, part)
+    if not crowd.isEmpty():
+        rest = rest.unionByName(pairs_across(shingle_sets(docs, classes, crowd, width, key, text), part, percent)).distinct()
+    rest = materialize(rest, "candidates")
     more = materialize(confirmed(docs, classes, rest, width, percent, key, text), "links")
     # a component's smallest member stands for it and is not listed as part of it
     part = components(links.unionByName(more))

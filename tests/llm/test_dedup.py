@@ -95,6 +95,27 @@ def test_near_components_equal_brute_force(spark, width):
     assert {i for i, r in rows.items() if r.kept} == {i for i, c in want.items() if i == c}
 
 
+def test_near_families_in_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    rng = random.Random(31)
+    common = prose(rng, 84).split()
+    texts = []
+    for i in range(150):
+        own = [f"{rng.choice('pqrs')}{rng.randrange(10**6)}" for _ in range(12)]
+        base = [*common[:42], *own, *common[42:]]
+        twin = list(base)
+        for at in (10, 80):
+            twin[at] = f"z{i}"
+        texts += [" ".join(base), " ".join(twin)]
+    sets = [shingle_set(t, 5) for t in texts]
+    links = [
+        (a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    assert len(links) == 150
+    rows = near_dedup.near_duplicates(as_docs(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(links, range(len(texts)))
+
+
 def test_near_awkward_rows(spark):
     docs = awkward(spark)
     rows = near_dedup.near_duplicates(docs).collect()
