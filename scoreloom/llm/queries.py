@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm import decontaminate, exact_dedup, html_text, line_templates, mixing, near_dedup, passages, secrets, token_counts, toxicity
+from scoreloom.llm import (
+    alignment,
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    line_templates,
+    mixing,
+    near_dedup,
+    passages,
+    prefix_bpe,
+    secrets,
+    token_counts,
+    toxicity,
+)
 from scoreloom.queries.frame import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +196,27 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@_query()
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    aligned = alignment.align_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return alignment.digest(aligned, "doc_id")
+
+
+@_query()
+def op12_prefix_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = prefix_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("text")
+    return prefix_bpe.decode_documents(encoded, ranks).select(
+        "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+@_query()
+def op13_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf, "conversations"))
