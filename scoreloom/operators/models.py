@@ -1,18 +1,14 @@
-"""Tree and logistic models on Spark ML, fitted twice with a feature cut in between."""
+"""Boosted, tree and logistic models, fitted twice with a feature cut in between."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
-    GBTClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -22,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreloom.functions.exprs import q
-from scoreloom.operators import metrics
+from scoreloom.operators import boosting, metrics
 from scoreloom.operators.encode import score_bands
 from scoreloom.operators.ordering import quantile_bin, quantile_edges
 from scoreloom.operators.stats import top_features
@@ -56,22 +52,14 @@ def _training_rows(df: DataFrame, features: Sequence[str], target: str) -> DataF
     return rows.select(
         q(target).cast("double").alias(LABEL),
         *[q(c).cast("double").alias(f"f{i}") for i, c in enumerate(features)],
-        *([q("_validation")] if "_validation" in df.columns else []),
     )
 
 
-def boosted(**settings) -> GBTClassifier:
+def boosted(**settings) -> boosting.Settings:
     base = dict(
-        featuresCol=VECTOR,
-        labelCol=LABEL,
-        maxIter=BOOST_ROUNDS,
-        maxDepth=BOOST_DEPTH,
-        stepSize=LEARNING_RATE,
-        subsamplingRate=ROW_SHARE,
-        featureSubsetStrategy=str(COLUMN_SHARE),
-        seed=SEED,
+        rounds=BOOST_ROUNDS, depth=BOOST_DEPTH, rate=LEARNING_RATE, row_share=ROW_SHARE, column_share=COLUMN_SHARE, seed=SEED
     )
-    return GBTClassifier(**{**base, **settings})
+    return boosting.Settings(**{**base, **settings})
 
 
 def forest(**settings) -> RandomForestClassifier:
@@ -101,9 +89,10 @@ class FittedModel:
     name: str
     features: list[str]
     models: list[PipelineModel]
-    classes: list[str] = field(default_factory=list)  # more than two: one model per class
+    classes: list[str] = field(default_factory=list)  # more than two
     importances: dict[str, float] = field(default_factory=dict)
     coefficients: list[dict] = field(default_factory=list)
+    trees: boosting.Boosted | None = None  # boosted trees stand for themselves, without ``models``
 
     # -- scoring -----------------------------------------------------------------------------
 
@@ -116,42 +105,41 @@ class FittedModel:
     def _without_inputs(self, df: DataFrame) -> DataFrame:
         return df.drop(*[f"f{i}" for i in range(len(self.features))])
 
-    def _probability(self, df: DataFrame, model: PipelineModel, out: str) -> DataFrame:
-        scored = model.transform(df)
+    def probability(self, df: DataFrame, out: str) -> DataFrame:
+        """Add the probability of class 1."""
+        if self.trees is not None:
+            return self.trees.score(df, {1: out})
+        scored = self.models[0].transform(self._with_inputs(df))
         if self.name == "lr":
-            return scored.withColumn(out, F.col("prediction")).drop(VECTOR, "prediction")
-        value = vector_to_array("probability")[1]
-        return scored.withColumn(out, value).drop(VECTOR, "rawPrediction", "probability", "prediction")
+            scored = scored.withColumn(out, F.col("prediction")).drop(VECTOR, "prediction")
+        else:
+            value = vector_to_array("probability")[1]
+            scored = scored.withColumn(out, value).drop(VECTOR, "rawPrediction", "probability", "prediction")
+        return self._without_inputs(scored)
 
     def score(self, df: DataFrame, prefix: str | None = None) -> DataFrame:
         """Add ``<m>_y_pred`` and ``<m>_y_pred_prob``."""
         if self.classes:
             raise ValueError(f"{self.name} knows {len(self.classes)} classes; use score_multiclass")
         m = prefix or self.name
-        scored = self._probability(self._with_inputs(df), self.models[0], f"{m}_y_pred_prob")
         guess = F.when(q(f"{m}_y_pred_prob") > 0.5, 1).otherwise(0)
-        return self._without_inputs(scored).withColumn(f"{m}_y_pred", guess)
+        return self.probability(df, f"{m}_y_pred_prob").withColumn(f"{m}_y_pred", guess)
 
     def probability_columns(self) -> dict[int, str]:
         return {i: f"proba_for_criterion_class_{c}" for i, c in enumerate(self.classes)}
 
     def score_multiclass(self, df: DataFrame) -> DataFrame:
         """Add one probability per class, summing to 1, and the code of the most likely class."""
-        scored = self._with_inputs(df)
-        raw = [f"_p{i}" for i in range(len(self.classes))]
-        for column, model in zip(raw, self.models):
-            scored = self._probability(scored, model, column)
-        total = sum((q(c) for c in raw[1:]), q(raw[0]))
-        shares = [(q(c) / total).alias(self.probability_columns()[i]) for i, c in enumerate(raw)]
-        best = F.array_position(F.array(*[q(c) for c in raw]), F.array_max(F.array(*[q(c) for c in raw]))) - 1
-        scored = self._without_inputs(scored)
-        kept = [q(c) for c in scored.columns if c not in raw]
-        return scored.select(*kept, *shares, best.cast("int").alias(f"{self.name}_y_pred"))
+        names = self.probability_columns()
+        scored = self.trees.score(df, names)
+        shares = F.array(*[q(names[i]) for i in range(len(self.classes))])
+        best = F.array_position(shares, F.array_max(shares)) - 1
+        return scored.withColumn(f"{self.name}_y_pred", best.cast("int"))
 
     # -- persistence -------------------------------------------------------------------------
 
-    def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
+    def save(self, path: str, spark: SparkSession | None = None) -> None:
+        spark = spark or SparkSession.active()
         for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/model-{i}")
         doc = json.dumps(
@@ -161,6 +149,8 @@ class FittedModel:
                 "classes": self.classes,
                 "importances": self.importances,
                 "coefficients": self.coefficients,
+                "trees": self.trees.to_json() if self.trees is not None else None,
+                "n_models": len(self.models),
             }
         )
         spark.createDataFrame([(doc,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
@@ -168,8 +158,9 @@ class FittedModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FittedModel":
         doc = json.loads(spark.read.text(f"{path}/about").first()[0])
-        count = max(1, len(doc["classes"]))
-        return cls(models=[PipelineModel.load(f"{path}/model-{i}") for i in range(count)], **doc)
+        trees, count = doc.pop("trees"), doc.pop("n_models")
+        models = [PipelineModel.load(f"{path}/model-{i}") for i in range(count)]
+        return cls(models=models, trees=boosting.Boosted.from_json(trees) if trees else None, **doc)
 
     def importance_table(self, spark: SparkSession) -> DataFrame:
         """(columns, importances), most important first."""
@@ -180,18 +171,14 @@ class FittedModel:
 def fit_model(
     df: DataFrame, features: Sequence[str], target: str, name: str, estimator=None
 ) -> FittedModel:
-    """Fit one binary classifier on 0/1 ``target``.
-
-    A column ``_validation`` in the frame marks rows on which boosting watches for over-fitting.
-    """
+    """Fit one classifier on 0/1 ``target``; ``estimator`` holds settings of boosting, or is a Spark ML classifier."""
     features = list(features)
+    settings = estimator or ESTIMATORS[name]()
+    if isinstance(settings, boosting.Settings):
+        return _of_trees(boosting.fit(df, features, target, 2, settings)[-1])
     assembler = _vector([f"f{i}" for i in range(len(features))])
-    classifier = estimator or ESTIMATORS[name]()
-    if name == "xgb" and "_validation" in df.columns:
-        classifier = classifier.copy().setValidationIndicatorCol("_validation")
     rows = assembler.transform(_training_rows(df, features, target))
-    keep = [VECTOR, LABEL, *(["_validation"] if "_validation" in df.columns else [])]
-    fitted = classifier.fit(rows.select(*keep))
+    fitted = settings.fit(rows.select(VECTOR, LABEL))
     weights = fitted.featureImportances.toArray()
     return FittedModel(
         name,
@@ -201,24 +188,15 @@ def fit_model(
     )
 
 
-def _at_once(spark: SparkSession, tasks: Sequence[Callable], parallelism: int = 4) -> list:
-    """Run independent fits side by side, so that the jobs of one fill the gaps of another."""
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(tasks)))) as pool:
-        return list(pool.map(lambda task: task(), [inheritable_thread_target(spark)(t) for t in tasks]))
+def _of_trees(trees: boosting.Boosted, classes: Sequence[str] = ()) -> FittedModel:
+    return FittedModel("xgb", trees.features, [], list(map(str, classes)), trees.importances(), trees=trees)
 
 
 def fit_multiclass(
-    df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str], estimator=None
+    df: DataFrame, features: Sequence[str], target: str, classes: Sequence[str], estimator: boosting.Settings | None = None
 ) -> FittedModel:
-    """Boosted trees for k encoded classes: one model per class against the rest."""
-
-    def against_rest(code: int) -> FittedModel:
-        one = df.withColumn("_is", (q(target) == code).cast("int"))
-        return fit_model(one, features, "_is", "xgb", estimator)
-
-    parts = _at_once(df.sparkSession, [partial(against_rest, code) for code in range(len(classes))])
-    weights = {c: sum(p.importances[c] for p in parts) / len(parts) for c in features}
-    return FittedModel("xgb", list(features), [p.models[0] for p in parts], list(map(str, classes)), weights)
+    """Boosted trees for k encoded classes, grown together."""
+    return _of_trees(boosting.fit(df, features, target, len(classes), estimator or boosted())[-1], classes)
 
 
 def two_pass_fit(
@@ -289,16 +267,9 @@ def fit_logistic(
     return fit(strong) if strong and strong != model.features else model
 
 
-def learning_curve(model: FittedModel, splits: dict[str, DataFrame], target: str) -> DataFrame:
-    """(dataset, round, loss): boosted loss after every round on each split."""
-    spark = next(iter(splits.values())).sparkSession
-    assembler, boosted_model = model.models[0].stages
-    rows = []
-    for name, df in splits.items():
-        data = assembler.transform(_training_rows(df, model.features, target)).select(VECTOR, LABEL)
-        losses = boosted_model.evaluateEachIteration(data)
-        rows += [(name, i + 1, float(loss)) for i, loss in enumerate(losses)]
-    return spark.createDataFrame(rows, "dataset string, round int, loss double")
+def learning_curve(df: DataFrame, model: FittedModel, target: str, dataset: str = "dataset") -> DataFrame:
+    """(dataset, round, loss, error): log loss and share of wrong classes after every round on each split, in one scan."""
+    return boosting.staged_losses(df, model.trees, target, dataset)
 
 
 # -- what is derived from scores ---------------------------------------------------------------
@@ -379,10 +350,7 @@ def batch_predict(df: DataFrame, models: Sequence[FittedModel], digits: int = 5)
                 q(f"{model.name}_y_pred").alias(out),
             )
             continue
-        scored = model._probability(model._with_inputs(df), model.models[0], "_p")
-        df = model._without_inputs(scored).select(
-            *[q(c) for c in df.columns], F.round("_p", digits).alias(out)
-        )
+        df = model.probability(df, "_p").select(*[q(c) for c in df.columns], F.round("_p", digits).alias(out))
     return df
 
 
@@ -394,43 +362,46 @@ def recursive_elimination(
     keep: int | None = None,
     folds: int = 5,
     rounds: int = 10,
+    classes: int = 2,
 ) -> DataFrame:
-    """(step, nb_features, f1_macro, features): halve the features by importance until ``keep`` are left.
+    """(step, nb_features, f1_macro, best, features): halve the features by importance until ``keep`` are left.
 
-    Each step is scored by macro F1 over folds taken from a hash of the row key.
+    Each step fits one model without each fold and one on all rows in the same passes, over groups that are cut once. It is
+    scored by macro F1 of the rows by the models that have not seen them; ``best`` marks the highest, the later step of equals.
     """
     least = keep or max(1, min(100, len(features) // 2))
-    rows = df.withColumn("_fold", F.pmod(fold, F.lit(folds)))
+    settings = boosted(rounds=rounds)
+    narrow = df.select(F.pmod(fold, F.lit(folds)).cast("int").alias("_fold"), q(target).alias("_target"), *[q(c) for c in features])
+    rows = materialize(narrow.filter("_target is not null"), "elimination")
+    cuts = boosting.feature_cuts(rows, list(features), settings)
     current, steps = list(features), []
     while True:
-
-        def held_out(k: int, columns: list[str]) -> DataFrame:
-            others, fold_rows = rows.filter(F.col("_fold") != k), rows.filter(F.col("_fold") == k)
-            fitted = fit_model(others, columns, target, "xgb", boosted(maxIter=rounds))
-            return fitted.score(fold_rows).select(q(target).alias("y"), "xgb_y_pred")
-
-        hits = _at_once(df.sparkSession, [partial(held_out, k, current) for k in range(folds)])
-        tested = hits[0]
-        for part in hits[1:]:
-            tested = tested.unionByName(part)
-        steps.append((len(steps), len(current), _macro_f1(tested), current))
+        kept = rows.select("_fold", "_target", *[q(c) for c in current])
+        *held_out, whole = boosting.fit(kept, current, "_target", classes, settings, F.col("_fold"), folds, cuts)
+        tested = boosting.out_of_fold(kept, held_out, "_target", F.col("_fold"))
+        steps.append([len(steps), len(current), _macro_f1(tested, classes), current])
         if len(current) <= least:
             break
-        whole = fit_model(rows, current, target, "xgb", boosted(maxIter=rounds))
-        order = sorted(current, key=lambda c: (-whole.importances[c], current.index(c)))
+        weights = whole.importances()
+        order = sorted(current, key=lambda c: (-weights[c], current.index(c)))
         current = order[: max(least, len(current) // 2)]
+    best = max(steps, key=lambda s: (s[2], s[0]))
     return df.sparkSession.createDataFrame(
-        steps, "step int, nb_features int, f1_macro double, features array<string>"
+        [(n, k, f1, s is best, names) for s in steps for n, k, f1, names in [s]],
+        "step int, nb_features int, f1_macro double, best boolean, features array<string>",
     )
 
 
-def _macro_f1(tested: DataFrame) -> float:
-    y, p = F.col("y"), F.col("xgb_y_pred")
-    r = tested.agg(
-        F.count_if((y == 1) & (p == 1)).alias("tp"),
-        F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 1) & (p == 0)).alias("fn"),
-        F.count_if((y == 0) & (p == 0)).alias("tn"),
-    ).first()
-    pairs = [(r["tp"], r["fp"] + r["fn"]), (r["tn"], r["fp"] + r["fn"])]
-    return sum(2 * hit / (2 * hit + wrong) if hit + wrong else 0.0 for hit, wrong in pairs) / 2
+def best_features(steps: DataFrame) -> list[str]:
+    """The features of the best step of an elimination."""
+    return list(steps.filter("best").first()["features"])
+
+
+def _macro_f1(tested: DataFrame, classes: int) -> float:
+    counts = {(r["y"], r["predicted"]): r["n"] for r in tested.collect()}
+    total = 0.0
+    for c in range(classes):
+        hit = counts.get((c, c), 0)
+        wrong = sum(n for (y, p), n in counts.items() if (y == c) != (p == c))
+        total += 2 * hit / (2 * hit + wrong) if hit + wrong else 0.0
+    return total / classes

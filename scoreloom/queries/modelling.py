@@ -100,7 +100,13 @@ def top_features(spark, sf):
 def learning_curve(spark, sf):
     rows = _rows(spark, sf)
     model = _fit(rows, "xgb")
-    return models.learning_curve(model, {"train": _train(rows), "test": rows.filter("dataset = 'test'")}, "y")
+    return models.learning_curve(rows.filter("dataset in ('train', 'test')"), model, "y")
+
+
+@query("learning_curve_multiclass")
+def learning_curve_multiclass(spark, sf):
+    rows = _three_levels(_rows(spark, sf))
+    return models.learning_curve(rows.filter("dataset in ('train', 'test')"), _fit_levels(rows), "level")
 
 
 @query("score")
@@ -137,6 +143,13 @@ def recursive_elimination(spark, sf):
     return steps.withColumn("features", F.array_join("features", ","))
 
 
+@query("recursive_elimination_multiclass")
+def recursive_elimination_multiclass(spark, sf):
+    rows = _train(_three_levels(_rows(spark, sf)))
+    steps = models.recursive_elimination(rows, NUMERIC_FEATURES, "level", F.col("bucket"), keep=3, classes=3)
+    return steps.withColumn("features", F.array_join("features", ","))
+
+
 # -- flows -------------------------------------------------------------------------------------
 
 PARAMS = ScoringParams(

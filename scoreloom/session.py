@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _local_scratch is None:
         _local_scratch = tempfile.TemporaryDirectory(prefix="scoreloom-")
@@ -50,8 +51,13 @@ def freed_tables(spark: SparkSession) -> Iterator[str]:
         yield run
     finally:
         _run.reset(token)
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{run}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(spark, f"{shared_folder(spark)}/{run}")
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -150,7 +150,7 @@ def test_logistic_drops_noise(rows):
 
 def test_multiclass_probabilities_sum_to_one(rows):
     three = rows.withColumn("k", F.when(F.col("y") == 0, 0).when(F.col("a") < 40, 1).otherwise(2))
-    model = models.fit_multiclass(three, ["a", "b"], "k", ["n", "s", "l"], models.boosted(maxIter=3, stepSize=0.3))
+    model = models.fit_multiclass(three, ["a", "b"], "k", ["n", "s", "l"], models.boosted(rounds=3, rate=0.3, depth=4, column_share=1.0))
     scored = model.score_multiclass(three)
     total = sum(F.col(c) for c in model.probability_columns().values())
     assert scored.filter(F.abs(total - 1) > 1e-9).count() == 0
