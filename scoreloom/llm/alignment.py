@@ -3,14 +3,15 @@
 Both token sequences of a text stand for the same bytes. Offsets where a token of each side ends cut them into groups, and
 every token of a group is linked with every token of the other side there. Counts are kept without a table of pairs:
 
-1. Texts are aligned and each text's distinct pairs are stored as numbers. Distinct pairs of the corpus are dealt into
+1. Texts are encoded and aligned; tokens and each text's distinct pairs are stored as numbers. Distinct pairs of the corpus are dealt into
    buckets, and tasks build a minimal perfect hash for each bucket: levels of bit arrays in which a pair that has a bit to
    itself is settled and the others go on to the next level. The rank of its bit is the pair's place.
 2. Tasks count texts in dense vectors indexed by the hash. Vectors travel in segments and are summed in a tree.
-3. Texts are aligned again, and each link looks its count up; the pair stored at its place must be the one asked for.
+3. Texts are aligned again from their stored tokens, and each link looks its count up; the pair stored at its place must be the
+   one asked for.
 
 Buckets are joined to shards of a bounded number of pairs, so whatever reaches the driver or is broadcast is bounded too;
-more pairs make more shards, each a pass over the stored pairs and one over the texts.
+more pairs make more shards, each a pass over the stored pairs and one over the stored tokens.
 
 Defined cases: texts that are null or empty, or whose tokens don't stand for the text's own bytes, have no tokens, groups
 or links, and an empty group text; repeated rows are documents of their own; ties of the highest count are all best;
@@ -32,7 +33,7 @@ import tiktoken
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from scoreloom.llm.token_counts import byte_letters
 from scoreloom.session import materialize
@@ -48,6 +49,8 @@ LINKS_AT_ONCE = 1 << 22
 #: Characters of texts that are aligned at a time.
 TEXT_AT_ONCE = 1 << 19
 
+#: Columns of stored tables.
+_OWN = ["__text", "__a", "__b", "__pairs"]
 ADDED = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -89,14 +92,17 @@ class Sides:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode("utf-8")
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        if not text:
-            return [], []
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        whole = (" " + text).encode("utf-8")
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        if text:
+            whole = " " + text
+            # the tokens of side a are the text's own bytes by their making, those of side b may be a normalised text's
+            b = self.b.encode(text)
+            if b"".join(map(self.bytes_b.__getitem__, b)) == whole.encode("utf-8"):
+                return self.a.encode_to_numpy(whole, disallowed_special=()), np.array(b, dtype=np.uint32)
+        return _NO_TOKENS, _NO_TOKENS
+
+
+_NO_TOKENS = np.zeros(0, dtype=np.uint32)
 
 
 @dataclass
@@ -144,20 +150,27 @@ class Aligned:
                 yield np.full(n, text[g]), np.repeat(some, len(ids_b)), np.tile(ids_b, len(some)), np.outer(times, times_b).ravel()
 
 
-def align(sides: Sides, texts: Sequence[str | None]) -> Aligned:
-    tokens = [sides.tokens(t) for t in texts]
+Lengths = tuple[np.ndarray, np.ndarray]
+
+
+def align(lengths: Lengths, tokens: Sequence[tuple[np.ndarray, np.ndarray]]) -> Aligned:
+    """Align the tokens of some texts, given the bytes of each token of both sides."""
     texts_a = np.cumsum([0, *(len(a) for a, _ in tokens)])
     texts_b = np.cumsum([0, *(len(b) for _, b in tokens)])
-    a = np.fromiter((i for x, _ in tokens for i in x), np.int64, texts_a[-1])
-    b = np.fromiter((i for _, x in tokens for i in x), np.int64, texts_b[-1])
-    ends_a, ends_b = np.cumsum(sides.length_a[a]), np.cumsum(sides.length_b[b])
+    a, b = (np.concatenate([_NO_TOKENS, *side]).astype(np.int64) for side in zip(*tokens))
+    ends_a, ends_b = np.cumsum(lengths[0][a]), np.cumsum(lengths[1][b])
     # the last tokens of a text end together, so no group reaches over two texts
     _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
     groups_a, groups_b = at_a + 1, at_b + 1
     return Aligned(a, b, texts_a, texts_b, groups_a, groups_b, np.searchsorted(groups_a, texts_a, "right"))
 
 
-def group_texts(sides: Sides, x: Aligned) -> list[str]:
+def id_words(size: int) -> list[np.ndarray]:
+    """Each id as text, with each mark that may follow it."""
+    return [np.array([f"{i}{c}" for i in range(size)], dtype=object) for c in ",|;"]
+
+
+def group_texts(marked: list[np.ndarray], x: Aligned) -> list[str]:
     """Each text's groups as ``a1,a2|b1;a3|b2,b3``."""
     marks_a, marks_b = np.zeros(len(x.a), dtype=bool), np.zeros(len(x.b), dtype=bool)
     marks_a[x.groups_a - 1], marks_b[x.groups_b - 1] = True, True
@@ -165,10 +178,7 @@ def group_texts(sides: Sides, x: Aligned) -> list[str]:
     place_a = np.arange(len(x.a)) + np.repeat(before_b, np.diff(x.groups_a, prepend=0))
     place_b = np.arange(len(x.b)) + np.repeat(after_a, np.diff(x.groups_b, prepend=0))
     words = np.empty(len(x.a) + len(x.b), dtype=object)
-    most = max(sides.size_a, sides.size_b)
-    if not hasattr(sides, "words"):
-        sides.words = [np.array([f"{i}{c}" for i in range(most)], dtype=object) for c in ",|;"]
-    comma, bar, semicolon = sides.words
+    comma, bar, semicolon = marked
     words[place_a] = np.where(marks_a, bar[x.a], comma[x.a])
     words[place_b] = np.where(marks_b, semicolon[x.b], comma[x.b])
     bounds = (x.texts_a + x.texts_b).tolist()
@@ -261,39 +271,58 @@ def _bucket(pair: str, dealt: int):
     return F.shiftright(((F.col(pair) * 2654435761).bitwiseAND(0xFFFFFFFF)) * F.lit(dealt), 32)
 
 
-def _chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of a bounded number of characters; a longer text is one of its own."""
+def _chunks(sizes: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of a bounded size; a larger text is one of its own."""
     begin, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
+    for i, n in enumerate(sizes):
         if i > begin and size + n > TEXT_AT_ONCE:
             yield begin, i
             begin, size = i, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _text_pairs(x: Aligned, size_b: int, texts: int) -> list[np.ndarray]:
     """The distinct pairs of each text, as numbers."""
-    parts = [np.unique((t << 32) | (a * size_b + b)) for t, a, b, _ in x.links()]
-    keyed = np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.int64)
+    parts = [np.unique((t << 32) | (a * size_b + b)) for t, a, b, _ in x.links()] or [np.zeros(0, dtype=np.int64)]
+    keyed = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
     cuts = np.searchsorted(keyed >> 32, np.arange(1, texts))
     return np.split((keyed & 0xFFFFFFFF).astype(np.int64), cuts)
 
 
-def text_pairs(docs: DataFrame, sides: Broadcast, text: str) -> DataFrame:
-    """One row per text with ``pairs``, the packed distinct pairs that it holds linked."""
+def _columns(batch: pa.RecordBatch, i: int, j: int) -> dict[str, pa.Array]:
+    part = batch.slice(i, j - i)
+    return dict(zip(part.schema.names, part.columns))
+
+
+def encoded_texts(docs: DataFrame, sides: Broadcast, text: str) -> DataFrame:
+    """The rows without their text, with ``__a`` and ``__b``, the packed tokens of both sides, and ``__pairs``, the packed distinct
+    pairs that they hold linked."""
+    kept = [f for f in docs.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Sides(*sides.value)
+        lengths = both.length_a, both.length_b
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for i, j in _chunks(texts):
-                found = _text_pairs(align(both, texts[i:j]), both.size_b, j - i)
-                yield pa.RecordBatch.from_arrays([pa.array([p.astype("<u4").tobytes() for p in found], pa.binary())], ["pairs"])
+            for i, j in _chunks([len(t or "") for t in texts]):
+                tokens = [both.tokens(t) for t in texts[i:j]]
+                found = _text_pairs(align(lengths, tokens), both.size_b, j - i)
+                rows = _columns(batch, i, j)
+                del rows["__text"]
+                for name, ids, size in zip(("__a", "__b"), zip(*tokens), (both.size_a, both.size_b)):
+                    rows[name] = pa.array([x.astype(_id_type(size)).tobytes() for x in ids], pa.binary())
+                rows["__pairs"] = pa.array([p.astype("<u4").tobytes() for p in found], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
+
+    added = [StructField(c, BinaryType()) for c in ("__a", "__b", "__pairs")]
+    read = docs.select(F.col(text).cast("string").alias("__text"), *[F.col(f.name) for f in kept])
+    return read.mapInArrow(run, StructType([*kept, *added]))
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "pairs binary")
+
+def _id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
 def distinct_pairs(stored: DataFrame) -> DataFrame:
@@ -318,7 +347,7 @@ def distinct_pairs(stored: DataFrame) -> DataFrame:
         for i in range(0, len(rest), SEGMENT):
             yield pa.RecordBatch.from_arrays([pa.array(rest[i : i + SEGMENT])], ["pair"])
 
-    return stored.mapInArrow(run, "pair long").distinct()
+    return stored.select("__pairs").mapInArrow(run, "pair long").distinct()
 
 
 def hash_buckets(pairs: DataFrame, dealt: int) -> DataFrame:
@@ -385,7 +414,7 @@ def count_vectors(stored: DataFrame, index: Broadcast) -> DataFrame:
                     [pa.array([i // SEGMENT], pa.int64()), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["segment", "counts"]
                 )
 
-    parts = stored.mapInArrow(run, "segment long, counts binary")
+    parts = stored.select("__pairs").mapInArrow(run, "segment long, counts binary")
     branches = parts.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(16)).cast("long"))
     return _summed(_summed(branches, "segment", "branch"), "segment")
 
@@ -398,57 +427,56 @@ def _vector(segments: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def look_up(docs: DataFrame, sides: Broadcast, counted: Broadcast, text: str, first: bool) -> DataFrame:
+def look_up(stored: DataFrame, lengths: Broadcast, counted: Broadcast, first: bool) -> DataFrame:
     """Align texts again and add up the counts of their links as far as the shard holds them."""
+    names = stored.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Sides(*sides.value)
+        sizes = [len(x) for x in lengths.value]
+        marked = id_words(max(sizes))
         index, counts, highest = counted.value
-        where = batch_schema.names.index(text)
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            for i, j in _chunks(texts):
-                x = align(both, texts[i:j])
+            packed = [batch.column(names.index(c)).to_pylist() for c in ("__a", "__b")]
+            tokens = list(zip(*([np.frombuffer(x, dtype=_id_type(size)) for x in side] for side, size in zip(packed, sizes))))
+            for i, j in _chunks([len(a) for a, _ in tokens]):
+                x = align(lengths.value, tokens[i:j])
                 links, best, total = (np.zeros(j - i, dtype=np.int64) for _ in range(3))
                 for t, a, b, times in x.links():
-                    at = index.places(a * both.size_b + b)
+                    at = index.places(a * sizes[1] + b)
                     count = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(at), dtype=np.int64)
                     edges = np.flatnonzero(np.diff(t, prepend=-1))
                     which = t[edges]
                     links[which] += np.add.reduceat(times, edges)
                     best[which] += np.add.reduceat(times * ((at >= 0) & (count == highest[a])), edges)
                     total[which] += np.add.reduceat(times * count, edges)
-                part = pa.Table.from_batches([batch.slice(i, j - i)])
-                rows = {name: part.column(name).combine_chunks() for name in batch_schema.names}
+                rows = _columns(batch, i, j)
                 if first:
-                    rows["n_a"], rows["n_b"] = pa.array(np.diff(x.texts_a)), pa.array(np.diff(x.texts_b))
-                    rows["n_groups"], rows["n_links"] = pa.array(np.diff(x.texts_g)), pa.array(links)
-                    rows["n_best"], rows["count_sum"] = pa.array(best), pa.array(total)
-                    rows["group_ids"] = pa.array(group_texts(both, x), pa.string())
+                    values = [np.diff(x.texts_a), np.diff(x.texts_b), np.diff(x.texts_g), links, best, total]
+                    rows |= {name: pa.array(v.astype(np.int64)) for name, v in zip(ADDED, values)}
+                    rows["group_ids"] = pa.array(group_texts(marked, x), pa.string())
                 else:
                     rows["n_best"] = pa.array(rows["n_best"].to_numpy() + best)
                     rows["count_sum"] = pa.array(rows["count_sum"].to_numpy() + total)
-                yield pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, (pa.Array, pa.ChunkedArray)) else v for v in rows.values()], list(rows))
+                yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
-    batch_schema = docs.schema
-    fields = [f for f in docs.schema.fields]
+    fields = list(stored.schema.fields)
     if first:
         fields += [StructField(c, LongType()) for c in ADDED] + [StructField("group_ids", StringType())]
-    return docs.mapInArrow(run, StructType(fields))
+    return stored.mapInArrow(run, StructType(fields))
 
 
 def align_documents(docs: DataFrame, vocabulary_a: str, pattern_a: str, model_b: str, text: str = "text", shard_pairs: int = SHARD_PAIRS) -> DataFrame:
-    """The rows with the numbers of tokens, groups and links, ``n_best``, ``count_sum`` and ``group_ids``.
+    """The rows without their text, with the numbers of tokens, groups and links, ``n_best``, ``count_sum`` and ``group_ids``.
 
     ``n_best``: links whose pair is held by as many documents as any pair of its token of side a; ``count_sum``: the
     numbers of documents that hold the pairs, added over the links.
     """
     spark = docs.sparkSession
-    docs = docs.drop(*ADDED, "group_ids")
-    ranks = read_byte_level(vocabulary_a)
-    sides = spark.sparkContext.broadcast((ranks, pattern_a, read_pieces(model_b)))
-    size_a = max(ranks.values()) + 1
-    stored = materialize(text_pairs(docs, sides, text), "text-pairs")
+    ranks, model = read_byte_level(vocabulary_a), read_pieces(model_b)
+    both = Sides(ranks, pattern_a, model)
+    sides = spark.sparkContext.broadcast((ranks, pattern_a, model))
+    lengths = spark.sparkContext.broadcast((both.length_a, both.length_b))
+    stored = materialize(encoded_texts(docs.drop(*ADDED, "group_ids", *_OWN), sides, text), "tokens")
     pairs = materialize(distinct_pairs(stored), "pairs")
     dealt = max(1, pairs.count() // BUCKET_PAIRS)
     built = materialize(hash_buckets(pairs, dealt), "hash-buckets")
@@ -463,26 +491,25 @@ def align_documents(docs: DataFrame, vocabulary_a: str, pattern_a: str, model_b:
         held += row["n"]
     shards = [s for s in shards if s]
 
-    highest, vectors = np.zeros(size_a, dtype=np.int64), []
-    size_b = sentencepiece.SentencePieceProcessor(model_file=model_b).get_piece_size()
+    highest, vectors = np.zeros(both.size_a, dtype=np.int64), []
     counting = stored.coalesce(2 * spark.sparkContext.defaultParallelism)
     for shard in shards:
         index = _index(built, shard, dealt)
         shared = spark.sparkContext.broadcast(index)
         vectors.append(materialize(count_vectors(counting, shared), "counts"))
-        np.maximum.at(highest, index.pairs.astype(np.int64) // size_b, _vector(vectors[-1], len(index.pairs)))
+        np.maximum.at(highest, index.pairs.astype(np.int64) // both.size_b, _vector(vectors[-1], len(index.pairs)))
         shared.unpersist()
-    out = docs
+    out = stored.drop("__pairs")
     for n, (shard, segments) in enumerate(zip(shards, vectors)):
         index = _index(built, shard, dealt)
         counted = spark.sparkContext.broadcast((index, _vector(segments, len(index.pairs)), highest))
-        out = look_up(out, sides, counted, text, n == 0)
+        out = look_up(out, lengths, counted, n == 0)
         if n + 1 < len(shards):
             out = materialize(out, "looked-up")
     if not shards:
-        nothing = PairIndex([], dealt)
-        out = look_up(docs, sides, spark.sparkContext.broadcast((nothing, np.zeros(0, dtype=np.int64), highest)), text, True)
-    return out
+        nothing = spark.sparkContext.broadcast((PairIndex([], dealt), np.zeros(0, dtype=np.int64), highest))
+        out = look_up(out, lengths, nothing, True)
+    return out.drop(*_OWN)
 
 
 def digest(aligned: DataFrame, *keys: str) -> DataFrame:
