@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import ahocorasick
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pieces and token pairs that a worker remembers before it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 class Vocabulary:
@@ -35,10 +36,6 @@ class Vocabulary:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
         self.size = max(self.tokens) + 1
-        self.tree = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            self.tree.add_word(token.decode("latin-1"), (len(token), rank))
-        self.tree.make_automaton()
         self._settled: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
@@ -47,6 +44,15 @@ class Vocabulary:
         """From the lines of a rank file: a token in base 64, a blank, its rank."""
         return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines() if content else [])})
 
+    @cached_property
+    def tree(self) -> ahocorasick.Automaton:
+        """The tokens as keywords, for those that only encode."""
+        tree = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            tree.add_word(token.decode("latin-1"), (len(token), rank))
+        tree.make_automaton()
+        return tree
+
     def merged(self, piece: bytes) -> list[bytes]:
         """The tokens of a short piece by plain merging."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -58,6 +64,10 @@ class Vocabulary:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def decode(self, packed: bytes | None) -> bytes:
+        """The bytes that packed token ids stand for."""
+        return b"".join(map(self.tokens.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed))) if packed else b""
+
     def whole(self, token: int) -> bool:
         """Whether the merges ever make this token of its own bytes."""
         known = self._whole.get(token)
@@ -245,11 +255,9 @@ def decoder_of(spark: SparkSession, vocabulary: str) -> Callable[[Column], Colum
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = Vocabulary.from_lines(shared.value).tokens
+        vocabulary = Vocabulary.from_lines(shared.value)
         for packed in batches:
-            yield pd.Series(
-                [b"".join(map(tokens.__getitem__, struct.unpack(f"<{len(p) // 4}I", p))) if p else b"" for p in packed], dtype=object
-            )
+            yield pd.Series([vocabulary.decode(p) for p in packed], dtype=object)
 
     return decode
 
@@ -263,3 +271,18 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, text: str =
 def decode_documents(encoded: DataFrame, vocabulary: str, token_ids: str = "token_ids") -> DataFrame:
     """The rows with ``decoded``, the bytes of their token ids; null ids count as none."""
     return encoded.withColumn("decoded", decoder_of(encoded.sparkSession, vocabulary)(F.col(token_ids)))
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+    """The rows with ``token_ids``, ``n_tokens`` and ``decoded``, encoded and decoded by the same worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+
+    @F.pandas_udf("token_ids binary, decoded binary")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = TextEncoder(Vocabulary.from_lines(shared.value), pattern)
+        for texts in batches:
+            ids = [encoder.encode(t) if t else b"" for t in texts]
+            yield pd.DataFrame({"token_ids": ids, "decoded": map(encoder.vocabulary.decode, ids)}, dtype=object)
+
+    told = docs.drop("token_ids", "n_tokens", "decoded").withColumn("__both", both(F.coalesce(F.col(text), F.lit(""))))
+    return told.select("*", "__both.*").drop("__both").withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))

@@ -211,8 +211,7 @@ def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
 def op12_prefix_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = prefix_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN).drop("text")
-    return prefix_bpe.decode_documents(encoded, ranks).select(
+    return prefix_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from corpus import awkward, prose
 
-from scoreloom.llm.prefix_bpe import EditableText, PrefixTable, TextEncoder, Vocabulary, decode_documents, encode_documents, read_ranks
+from scoreloom.llm.prefix_bpe import EditableText, PrefixTable, TextEncoder, Vocabulary, decode_documents, encode_documents, read_ranks, round_trip
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BITS = ["a", "b", "e", "th", " ", "  ", "\n", "'s", "'", "1", "22", "é", "ß", "中", "!", "?!", "　", "😀", "x" * 30, "<|endoftext|>"]
@@ -71,6 +71,9 @@ def test_documents_round_trip(spark, library):
         ids = library.encode_ordinary(r.text or "")
         assert bytes(r.token_ids) == struct.pack(f"<{len(ids)}I", *ids)
         assert r.n_tokens == len(ids) and bytes(r.decoded) == (r.text or "").encode()
+    assert {tuple(r) for r in round_trip(docs, RANKS, public_tokenizers.PATTERN).select("token_ids", "n_tokens", "decoded").collect()} == {
+        tuple(r) for r in encoded.select("token_ids", "n_tokens", "decoded").collect()
+    }
     assert encode_documents(docs.limit(0), RANKS, public_tokenizers.PATTERN).columns == [c for c in docs.columns if c != "n_tokens"][:3] + [
         "n_tokens", *[c for c in docs.columns[4:]], "token_ids"
     ]
