@@ -23,9 +23,9 @@ from scoreloom.functions.exprs import (
     ratio,
     right_closed_index,
 )
+from scoreloom.operators.gram import ratio_means
 
 MAX_CATEGORIES = 20
-RATIOS_PER_PASS = 500
 
 # Accepted date texts, tried in this order (shape of the text, then its pattern).
 DATE_FORMATS = (
@@ -286,19 +286,11 @@ class Ratios:
 
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> "Ratios":
-        """Means over finite quotients; a pair without any is left out."""
-        from scoreloom.operators.profile import per_item
-
+        """Means over finite quotients, in one scan for all pairs; a pair without any is left out."""
         pairs = ratio_pairs(columns, keep)
-        means: dict[int, float | None] = {}
-        if 0 < len(pairs) <= 12:
-            row = df.agg(*[F.avg(ratio(a, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-            means = dict(enumerate(row))
-        for start in range(0, len(pairs) if len(pairs) > 12 else 0, RATIOS_PER_PASS):
-            part = pairs[start : start + RATIOS_PER_PASS]
-            found = per_item(df, [(ratio(a, b),) for a, b in part], [F.avg("x0").alias("m")]).collect()
-            means.update({start + r["i"]: r["m"] for r in found})
-        return cls({pair: means[i] for i, pair in enumerate(pairs) if means.get(i) is not None})
+        used = names.unique([c for pair in pairs for c in pair])
+        means = ratio_means(df, used, pairs)
+        return cls({pair: means[pair] for pair in pairs if pair in means})
 
     def names(self) -> list[str]:
         return [f"{a}{names.DIV_RATIO}{b}" for a, b in self.fills]

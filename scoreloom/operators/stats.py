@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import names
 from scoreloom.functions.exprs import flag, pearson, q
+from scoreloom.operators.gram import cross_correlations
 from scoreloom.operators.ordering import quantile_bin, quantile_edges, running_totals
-from scoreloom.operators.profile import per_item
 from scoreloom.session import materialize
 
 CORR_LOW, CORR_HIGH, CORR_TOP = 0.05, 0.4, 100
-NARROW = 12  # up to here one aggregate list is the cheaper plan, beyond it items are rows
-PER_PASS = 500  # items per scan
+NARROW = 12  # up to here one aggregate list is the cheaper plan, beyond it blocks are multiplied
 
 
 def _unfold(row: DataFrame, labels: Sequence[Sequence[str]], fields: Sequence[str], value: str) -> DataFrame:
@@ -26,32 +25,17 @@ def _unfold(row: DataFrame, labels: Sequence[Sequence[str]], fields: Sequence[st
     return row.select(F.inline(F.array(*pairs)))
 
 
-def _correlations(
-    df: DataFrame, pairs: Sequence[tuple[Column, Column]], labels: Sequence[Sequence[str]], fields: Sequence[str]
-) -> DataFrame:
-    """(fields..., r) for each pair of columns."""
-    if len(pairs) <= NARROW:
-        row = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-        return _unfold(row, labels, fields, "r")
-    tables = []
-    for start in range(0, len(pairs), PER_PASS):
-        part = pairs[start : start + PER_PASS]
-        r = per_item(df, part, [pearson(F.col("x0"), F.col("x1")).alias("r")])
-        texts = F.array(
-            *[F.struct(*[F.lit(t).alias(f) for t, f in zip(t, fields)]) for t in labels[start : start + PER_PASS]]
-        )
-        named = F.element_at(texts, F.col("i") + 1)
-        tables.append(r.select(*[named.getField(f).alias(f) for f in fields], "r"))
-    out = tables[0]
-    for table in tables[1:]:
-        out = out.unionByName(table)
-    return out
+def _named(numbers: str, labels: Sequence[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(t) for t in labels]), F.col(numbers).cast("int") + 1)
 
 
 def corr_with_target(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(feature, r): Pearson correlation with the target over complete pairs, NULL if constant."""
-    pairs = [(q(c), q(target)) for c in features]
-    return _correlations(df, pairs, [(c,) for c in features], ["feature"])
+    """(feature, r): Pearson correlation with the target over complete pairs, NULL if constant; one scan."""
+    if len(features) <= NARROW:
+        row = df.agg(*[pearson(q(c), q(target)).alias(f"r{i}") for i, c in enumerate(features)])
+        return _unfold(row, [(c,) for c in features], ["feature"], "r")
+    found = cross_correlations(df, list(features), [target])
+    return found.select(_named("i", features).alias("feature"), "r")
 
 
 def top_correlated(correlations: DataFrame, k: int = CORR_TOP) -> DataFrame:
@@ -99,9 +83,10 @@ def select_by_correlation(
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every ordered pair; each unordered pair is computed once."""
-    names_ = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    half = _correlations(df, [(q(a), q(b)) for a, b in names_], names_, ["a", "b"])
+    """(a, b, r) for every ordered pair; each unordered pair is computed once, all of them in one scan."""
+    features = list(features)
+    found = cross_correlations(df, features, features)
+    half = found.select(_named("i", features).alias("a"), _named("j", features).alias("b"), "r")
     both = F.when(
         F.col("a") == F.col("b"), F.array(F.struct("a", "b", "r"))
     ).otherwise(
