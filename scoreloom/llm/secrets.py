@@ -2,8 +2,8 @@
 
 Three fixed patterns give the base spans of a text; a broader pattern adds candidates that look random. Every
 candidate value is hashed in the scan and nothing but the hash leaves it. Across the corpus a value is counted by
-distinct repositories and distinct owners: what many owners share is an example that was copied, what one
-owner alone holds and looks random is live.
+distinct repositories and distinct owners: what many owners share, or a great many repositories, is an example that
+was copied; what few hold and looks random is live.
 
 Defined cases: a null text counts as empty and has no spans; a null owner or repository is an owner of its own; repeated
 rows are reported row by row and count once as repository; an empty table gives an empty result; input
@@ -122,16 +122,17 @@ def find_secrets(
     repository: str = "doc_id",
     text: str = "text",
     copied_owners: int = 3,
+    copied_repositories: int = 20,
 ) -> DataFrame:
     """One row per document with its spans and verdicts.
 
     ``found``: base spans and those candidates that ownership confirms, each with owners, repositories and
-    verdict: ``example`` (held by ``copied_owners`` owners or more), ``live`` (fewer, and random), ``weak``
-    (fewer, not random). A ``bare`` candidate is a span only where it is live.
+    verdict: ``example`` (held by ``copied_owners`` owners or more, or by ``copied_repositories`` repositories of fewer owners),
+    ``live`` (held by fewer, and random), ``weak`` (by fewer, not random). A ``bare`` candidate is a span only where it is live.
     """
     scanned = scan(docs, key, owner, repository, text)
     verdict = (
-        F.when(F.col("n_owners") >= copied_owners, "example").when(F.col("s.random"), "live").otherwise("weak")
+        F.when((F.col("n_owners") >= copied_owners) | (F.col("n_repositories") >= copied_repositories), "example").when(F.col("s.random"), "live").otherwise("weak")
     )
     judged = (
         scanned.filter(F.size("found") > 0)
