@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,39 +46,91 @@ CUES = frozenset(
     "recommendations comment comments disqus reply replies respond response responses widget pagination pager form search "
     "skip hidden sr".split()
 )
+#: A class name with one of these words says how its element is laid out, not what it is.
+STATES = frozenset("has no with without is not layout open closed enabled disabled active hide show".split())
+#: Words at the end of a class name that leave its meaning to the word before.
+HOLDERS = frozenset(
+    "wrap wrapper container inner outer area box block section region row column col list item items group bar button buttons link "
+    "links post posts article articles story stories news slot unit panel pane zone top bottom left right main site page "
+    "global primary secondary desktop mobile".split()
+)
+#: Class names that end so, or are so called, name what is read.
+READ = frozenset("article content contents post entry hentry story text body main prose".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 #: Inside an article its own header is text.
 KEPT_IN_ARTICLE = frozenset(("header",))
 #: Most that a tag within running text can cost, in words.
 INLINE_MOST = 0.5
+#: What a cue adds to the cost of the tag of an element that is not left out for it, in words.
+CUE_COST = 5.0
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+ARTICLE_TAG = re.compile(r"<(?:article|main)(?=[\s/>])", re.IGNORECASE)
+#: Marks a tag that a cue makes dearer.
+CUE = "cue"
 CUE_WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def left_out(name: str, attributes: str) -> bool:
-    """Whether an element is page furniture by its name, class, id, role or because it is hidden."""
+def _says(name: str) -> str:
+    """What a class or id says of its element: "furniture", "read", "hint" (a cue among other words) or ""."""
+    words = CUE_WORDS.findall(CAMEL.sub("-", name).lower())
+    if not words or CUES.isdisjoint(words):
+        return "read" if words and words[-1] in READ else ""
+    if not STATES.isdisjoint(words):
+        return "hint"
+    if words[-1] in READ and len(words) > 1:
+        # the last word says what it is, unless it is what the furniture is about: related posts
+        return "hint" if words[-1] in ("article", "content", "text", "body", "story", "entry") else "furniture"
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return "furniture" if words[-1] in CUES else "hint"
+
+
+def element_kind(name: str, attributes: str) -> str:
+    """"out" for page furniture by its name, role or because it is hidden; "cue" where class or id say so and nothing speaks
+    against it; "hint" where they only hold such a word; else ""."""
     if name in LEFT_OUT:
-        return True
+        return "out"
     if not attributes or name in ("body", "html"):
-        return False
+        return ""
+    said: set[str] = set()
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and not CUES.isdisjoint(CUE_WORDS.findall(CAMEL.sub("-", value).lower())):
-            return True
+        if key in ("class", "id"):
+            said.update(map(_says, value.split()))
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "out"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return "out"
+    if "furniture" in said and "read" not in said and name not in ARTICLE:
+        return "cue"
+    return "hint" if {"furniture", "hint"} & said else ""
+
+
+def _holds_article(page: str, name: str, at: int, articles: list[int]) -> bool:
+    """Whether an element that begins before ``at`` is still open where the next article or main begins."""
+    i = bisect_left(articles, at)
+    if i == len(articles):
+        return False
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])", re.IGNORECASE).finditer(page, at, articles[i]):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return False
+    return True
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
-    """The page as (tag name or "", text, in an article); text of page furniture is not given, its tags are."""
+    """The page as (tag name or "", text, in an article); text of page furniture is not given, its tags are.
+
+    An element is left out for its class or id only if it is no article or main and holds none. A tag whose class or id holds
+    such a word without deciding comes with the text ``CUE``.
+    """
     at, stack, out_depth, article_depth = 0, [], 0, 0
+    articles = [m.start() for m in ARTICLE_TAG.finditer(page)]
     n = len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -100,7 +153,8 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
                         break
             yield name, "", article_depth > 0 and name not in ARTICLE
             continue
-        yield name, "", article_depth > 0
+        kind = element_kind(name, m[3]) if name in NESTED else ""
+        yield name, CUE if kind == "hint" else "", article_depth > 0
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
@@ -108,7 +162,8 @@ def pieces(page: str) -> Iterator[tuple[str, str, bool]]:
         if name in NESTED and name not in VOID and not m[3].endswith("/"):
             if name == "p" or name == "li":
                 continue  # their ends are often missing; nothing hangs on them
-            out = left_out(name, m[3]) and not (article_depth and name in KEPT_IN_ARTICLE)
+            out = kind == "out" and not (article_depth and name in KEPT_IN_ARTICLE)
+            out = out or kind == "cue" and not _holds_article(page, name, at, articles)
             art = name in ARTICLE and not out_depth and not out
             stack.append((name, out, art))
             out_depth += out
@@ -145,7 +200,7 @@ def main_text(page: str | None, cost: dict[str, float]) -> str:
     begin = 0
     for name, text, _ in pieces(page):
         if name:
-            total -= cost.get(name, 1.0 if name in BLOCKS else INLINE_MOST)
+            total -= cost.get(name, 1.0 if name in BLOCKS else INLINE_MOST) + (CUE_COST if text is CUE else 0.0)
             parts.append(" " if name in BLOCKS else "")
         else:
             parts.append(text)

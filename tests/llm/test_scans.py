@@ -57,6 +57,32 @@ def test_secret_kinds_owners_and_awkward_rows(spark):
     assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_values_of_many_repositories_of_one_owner_are_examples(spark):
+    value = "token = c0ffee12c0ffee34c0ffee56"
+    docs = as_docs(spark, [f"{value} {i}" for i in range(20)] + ["token = 9f8e7d6c5b4a39281706f5e4"] * 19)
+    rows = {r.doc_id: r for r in secrets.secret_report(secrets.find_secrets(docs)).collect()}
+    assert all(rows[i].n_example == 2 and rows[i].n_live == 0 for i in range(20))
+    assert all(rows[i].n_example == 0 and rows[i].n_live > 0 for i in range(20, 39))
+    assert rows[0].spans == "assign:0:32,hex:8:32"
+
+
+def test_articles_stay_whatever_their_class():
+    article = " ".join(f"word{i}" for i in range(120))
+    wrappers = {
+        '<article class="post hentry comments-open">': "</article>", '<main class="site-main has-sidebar">': "</main>",
+        '<div class="content response-article">': "</div>", '<article class="article with-header">': "</article>",
+        '<div class="layout-sidebar-right"><div>': "</div></div>", '<div class="elementor-widget-text">': "</div>",
+        '<div class="sidebar-wrapper"><article>': "</article></div>",
+    }
+    for begin, end in wrappers.items():
+        page = (
+            f'<html><body><div class="site-header">menu</div>{begin}<p>{article}</p><div class="comments-area">first!</div>{end}'
+            f"<footer>{'foot ' * 15}</footer><div>{'small ' * 15}</div></body></html>"
+        )
+        assert html_text.main_text(page, {}).startswith(article), begin
+        assert "first!" not in html_text.main_text(page, {})
+
+
 def test_html_query_equals_articles(spark):
     from scoreloom.llm.queries import QUERIES
 
