@@ -7,7 +7,7 @@ classes that share the first values of a tree, at depth 4 first. In a region of
 are compared with one another, but for those that links to the region's first member have
 already brought together. A larger region is a crowd; there and in the crowds that more values leave of it,
 classes are first linked to the pivot of the crowd (of the classes on the most trodden path below it the one that is on such
-paths in most trees, which is the middle of a crowd of variants) and to their neighbours in order of hashed prefixes. Then all classes
+paths in most trees, which is the middle of a crowd of variants) and to their neighbours in the sorted order. Then all classes
 that are in a crowd of any tree are joined on their rarest shingles (``prefix_join``), which proposes every pair at the limit that
 the first links left apart.
 
@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,8 @@ TREES, DEPTH = 16, 8
 LEVELS = (4, 6, 8)
 #: Classes that are compared with one another in a region.
 CROWD = 64
-#: Rows of a crowd that one window puts in order.
-IN_ORDER = 1000
-#: Ids that may be broadcast, at 24 bytes each.
-MOST_IDS = 1_000_000
+#: Rows of ids and hashes that may be broadcast, at some 60 bytes each.
+MOST_IDS = 100_000
 _FACTORS, _SHIFTS = random_factors(TREES * DEPTH, 20240228)
 
 
@@ -95,37 +94,73 @@ def _agreement(a: Column, b: Column) -> Column:
 
 
 def _labels(classes: DataFrame) -> DataFrame:
-    """One row per class and tree: ``id`` and the region at each depth, ``p4``, ``p6``, ``p8``."""
+    """One row per class and tree: ``id``, ``tree``, its values ``path``, and the region at the first depth, ``p4``."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = classes.select("id", "signature", tree.alias("tree"))
-    start = F.col("tree") * (2 * DEPTH) + 1
-    return rows.select(
-        "id", *[F.xxhash64("tree", F.substring("signature", start, F.lit(2 * d))).alias(f"p{d}") for d in LEVELS]
-    )
-
-
-def _on_path(rows: DataFrame, region: str) -> DataFrame:
-    """``region`` and ``id`` of the ids on each region's most trodden path: those with its most frequent ``p8``."""
-    named = rows.select(F.col(region).alias("region"), F.col("p8").alias("path"), "id")
-    paths = named.groupBy("region", "path").agg(F.count(F.lit(1)).alias("n"))
-    modal = paths.groupBy("region").agg(F.max_by("path", F.struct("n", "path")).alias("path"))
-    return named.join(modal, ["region", "path"]).select("region", "id")
-
-
-def _crowd_pairs(rows: DataFrame, region: str, central: DataFrame) -> DataFrame:
-    """Pairs of a crowd's ids with its pivot, and with the next ids in sorted order."""
-    pivots = (
-        _on_path(rows, region)
-        .join(central, "id", "left")
-        .groupBy("region")
-        .agg(F.max_by("id", F.struct(F.coalesce("trees", F.lit(0)), -F.col("id"))).alias("pivot"))
-    )
-    stars = rows.select(F.col(region).alias("region"), "id").join(pivots, "region").select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-    deep = F.col("n8") > IN_ORDER
-    bucket = F.pmod(F.xxhash64(F.when(deep, F.col("id")).otherwise(F.col("p8"))), F.ceil(F.col(f"n{region[1:]}") / IN_ORDER))
-    order = Window.partitionBy(region, "bucket").orderBy("p6", "p8", "id")
-    chain = rows.withColumn("bucket", bucket).select(F.lag("id").over(order).alias("u"), F.col("id").alias("v"))
-    return stars.unionByName(chain.filter(F.col("u").isNotNull()))
+    rows = rows.select("id", "tree", F.substring("signature", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("path"))
+    return rows.withColumn("p4", _region("tree", "path", LEVELS[0]))
+
+
+def _region(tree: str, path: str, depth: int) -> Column:
+    return F.xxhash64(tree, F.substring(path, 1, 2 * depth))
+
+
+def _small(stored: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast where it is small."""
+    return F.broadcast(stored) if stored.count() <= MOST_IDS else stored
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Pairs of ids that are neighbours when each tree's classes are sorted by the values of the tree.
+
+    Rows are dealt out by ranges; the last row of a range and the first of the next come together apart.
+    """
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, ends = None, []
+
+        def out(pairs: list, edges: list) -> pa.RecordBatch:
+            columns = zip(*pairs, *((None, None, *e) for e in edges))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))],
+                ["u", "v", "tree", "path", "id"],
+            )
+
+        for batch in batches:
+            pairs = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if before is None:
+                    ends.append(row)
+                elif before[0] == row[0]:
+                    pairs.append((before[2], row[2], None, None, None))
+                before = row
+            if pairs:
+                yield out(pairs, [])
+        if before is not None:
+            yield out([], [*ends, before])
+
+    by = ["tree", "path", "id"]
+    dealt = rows.select(*by).repartitionByRange(*by).sortWithinPartitions(*by)
+    found = materialize(dealt.mapInArrow(neighbours, "u long, v long, tree int, path binary, id long"), "neighbours")
+    # two rows of each range
+    order = Window.partitionBy("tree").orderBy("path", "id")
+    edges = found.filter("u is null").select(F.lag("id").over(order).alias("u"), F.col("id").alias("v")).filter("u is not null")
+    return found.filter("u is not null").select("u", "v").unionByName(edges)
+
+
+def _stars(crowd: DataFrame) -> DataFrame:
+    """Pairs of the ids of each crowd, at every depth, with the crowd's pivot."""
+    regions = [F.struct(F.lit(d).alias("depth"), _region("tree", "path", d).alias("region")) for d in LEVELS]
+    rows = crowd.select("id", "path", F.inline(F.array(*regions)))
+    paths = rows.groupBy("depth", "region", "path").agg(F.count(F.lit(1)).alias("n"))
+    crowds = paths.groupBy("depth", "region").agg(F.sum("n").alias("size"), F.max_by("path", F.struct("n", "path")).alias("path"))
+    crowds = materialize(crowds.filter(F.col("size") > CROWD).drop("size"), "crowds")
+    few = _small(crowds)
+    on_path = rows.join(few, ["depth", "region", "path"]).select("depth", "region", "id")
+    # the middle of a crowd keeps to the path in most trees, a variant leaves it in some
+    trees = on_path.withColumn("trees", F.count_if(F.col("depth") == LEVELS[0]).over(Window.partitionBy("id")))
+    pivots = materialize(trees.groupBy("depth", "region").agg(F.max_by("id", F.struct("trees", -F.col("id"))).alias("pivot")), "pivots")
+    return rows.select("depth", "region", "id").join(_small(pivots), ["depth", "region"]).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -138,22 +173,15 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .filter("n4 > 1"),
         "regions",
     )
-    shared = materialize(labels.join(first.filter("n4 > 2").select("p4", "n4", F.col("u").alias("low")), "p4"), "crowds")
-    small = shared.filter(F.col("n4") <= CROWD)
+    shared = materialize(labels.join(first.filter("n4 > 2").select("p4", "n4", F.col("u").alias("low")), "p4"), "shared-regions")
+    small, crowd = shared.filter(F.col("n4") <= CROWD), shared.filter(F.col("n4") > CROWD)
     pairs = [first.filter("n4 = 2").select("u", "v"), small.select(F.col("low").alias("u"), F.col("id").alias("v"))]
-    crowd = shared.filter(F.col("n4") > CROWD)
-    for depth in LEVELS[1:]:
-        sizes = crowd.groupBy(f"p{depth}").agg(F.count(F.lit(1)).alias(f"n{depth}"))
-        crowd = crowd.join(sizes, f"p{depth}")
-    crowd = materialize(crowd, "crowds")
-    # the middle of a crowd keeps to the path in most trees, a variant leaves it in some
-    central = materialize(_on_path(crowd, "p4").groupBy("id").agg(F.count(F.lit(1)).alias("trees")), "central")
-    for depth in LEVELS:
-        pairs.append(_crowd_pairs(crowd.filter(F.col(f"n{depth}") > CROWD), f"p{depth}", central))
+    ids = materialize(crowd.select("id").distinct(), "crowd-ids")
+    if not ids.isEmpty():
+        pairs += [_stars(crowd), _in_order(crowd)]
     found = reduce(DataFrame.unionByName, pairs).filter(F.col("u") != F.col("v"))
     found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    leaves = small.select(F.col("p4").alias("region"), "id")
-    return materialize(found, "candidates"), materialize(leaves, "leaves"), materialize(crowd.select("id").distinct(), "crowd-ids")
+    return materialize(found, "candidates"), small.select(F.col("p4").alias("region"), "id"), ids
 
 
 def _across(leaves: DataFrame, part: DataFrame) -> DataFrame:
@@ -237,8 +265,8 @@ def near_duplicates(
         rest = rest.unionByName(pairs_across(shingle_sets(docs, classes, crowd, width, key, text), part, percent)).distinct()
     rest = materialize(rest, "candidates")
     more = materialize(confirmed(docs, classes, rest, width, percent, key, text), "links")
-    # a component's smallest member stands for it and is not listed as part of it
-    part = components(links.unionByName(more))
+    # what is known of components stands for its links; a component's smallest member is not listed as part of it
+    part = components(part.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
     grouped = classes.select("id", "digest", "low").join(part, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )

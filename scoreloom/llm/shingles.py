@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of a shingle's hash that are compared when links are confirmed.
-KEPT_BYTES = 5
+KEPT_BYTES = 8
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -76,6 +76,14 @@ class Shingler:
             out = mixed(out * np.uint64(_BASE) + words[i : len(words) - width + 1 + i])
         return out
 
+    def range_hashes(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of the words of each range, in order."""
+        n = len(words)
+        if n > len(self.up):
+            self.up, self.down = _powers(_BASE, 2 * n), _powers(_BASE_INVERSE, 2 * n)
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(words * self.up[:n], dtype=np.uint64)))
+        return mixed((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
     def of_words(self, words: np.ndarray) -> np.ndarray:
         """Sorted distinct hashes of the shingles of a row of words."""
         return np.unique(self.in_order(words))
