@@ -38,7 +38,8 @@ SENTENCE = 8
 #: Sentences beyond so many words are also cut after one word in eight, chosen by hash; their pieces may be shorter.
 LONG_SENTENCE = 48
 PIECE = 4
-MOST_IDS = 1_000_000
+#: Spans that may be broadcast, at some 40 bytes each.
+MOST_IDS = 100_000
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -119,12 +120,41 @@ def _sentence_hashes(text: Column) -> Column:
     return hashes(text)
 
 
-def band_keys(shingles: np.ndarray) -> list[int]:
-    least = least_values(shingles, _FACTORS, _SHIFTS)
-    keys = np.arange(BANDS, dtype=np.uint64)
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A value per band from the least values of sets (sets x hash functions)."""
+    keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(least), BANDS))
     for i in range(ROWS):
-        keys = mixed(keys * _ODD + least[i::ROWS])
-    return keys.view(np.int64).tolist()
+        keys = mixed(keys * _ODD + least[:, i::ROWS])
+    return keys.view(np.int64)
+
+
+def _least_in_ranges(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each range of a text's shingles the least value under each hash function; ranges may overlap."""
+    between = np.stack([starts, ends], axis=1).ravel()
+    padded = np.append(shingles, shingles[-1:])  # a range may end with the text
+    out = np.empty((len(starts), len(_FACTORS)), dtype=np.uint64)
+    for i, (factor, shift) in enumerate(zip(_FACTORS, _SHIFTS, strict=True)):
+        out[:, i] = np.minimum.reduceat(padded * factor + shift, between)[::2]
+    return out
+
+
+def described(words: np.ndarray, spans: list[tuple[int, int]], shingler: Shingler) -> tuple[list[int], list[int], list[list[int]]]:
+    """Number of distinct shingles, hash of the words in order, and band values of spans of a text's words."""
+    a, b = (np.array(x) for x in zip(*spans, strict=True))
+    hashes = shingler.range_hashes(words, a, b).view(np.int64).tolist()
+    width = shingler.width
+    if (b - a < width).any():
+        own = [shingler.of_words(words[i:j]) for i, j in spans]
+        least = np.stack([least_values(x, _FACTORS, _SHIFTS) for x in own])
+        return list(map(len, own)), hashes, band_keys(least).tolist()
+    # shingles of the whole text, of which a span's are a part
+    whole = shingler.in_order(words)
+    ends = b - width + 1
+    if len(np.unique(whole)) == len(whole):
+        counts = (ends - a).tolist()
+    else:
+        counts = [len(np.unique(whole[i:j])) for i, j in zip(a.tolist(), ends.tolist(), strict=True)]
+    return counts, hashes, band_keys(_least_in_ranges(whole, a, ends)).tolist()
 
 
 PARAGRAPHS = "array<struct<start:int,end:int,words:int,shingles:int,hash:long,bands:array<long>>>"
@@ -142,24 +172,15 @@ def _paragraphs(text: Column, repeated: Column, width: int, least: int, least_ru
                     reading = Reading(text, shingler)
                     known = {p["hash"]: p["holders"] for p in pairs} if pairs is not None else {}
                     spans = reading.paragraphs(known, least, least_run) if reading.count else []
-                    # shingles of the whole text, of which a paragraph's are a part
-                    whole_text = shingler.in_order(reading.hashes) if spans else None
-                    for a, b in spans:
-                        if b - a < width:
-                            own = shingler.of_words(reading.hashes[a:b])
-                        else:
-                            own = np.unique(whole_text[a : b - width + 1])
-                        whole = mixed(reading.hashes[a:b] * _ODD + np.arange(b - a, dtype=np.uint64)).sum(dtype=np.uint64)
-                        rows.append(
-                            {
-                                "start": int(reading.starts[a]),
-                                "end": int(reading.ends[b - 1]),
-                                "words": b - a,
-                                "shingles": len(own),
-                                "hash": int(whole.view(np.int64)),
-                                "bands": band_keys(own),
-                            }
-                        )
+                    if spans:
+                        starts, ends = reading.starts, reading.ends
+                        for (a, b), n, hashed, bands in zip(spans, *described(reading.hashes, spans, shingler), strict=True):
+                            rows.append(
+                                {
+                                    "start": int(starts[a]), "end": int(ends[b - 1]), "words": b - a, "shingles": n, "hash": hashed,
+                                    "bands": bands,
+                                }
+                            )
                 out.append(rows)
             yield pd.Series(out, dtype=object)
 
