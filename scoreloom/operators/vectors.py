@@ -98,7 +98,7 @@ def thinned(values: np.ndarray, weights: np.ndarray, points: int = SUMMARY_POINT
     upto = np.cumsum(weights)
     slot = np.minimum((upto - weights / 2) * points / upto[-1], points - 1).astype(np.int64)
     starts = np.flatnonzero(np.diff(slot, prepend=-1))
-    # a slot is known by its largest value; the first value stays too, as the smallest of all
+    # a slot is known by its largest value
     ends = np.append(starts[1:], len(values)) - 1
     return values[ends], np.add.reduceat(weights, starts)
 
@@ -110,7 +110,7 @@ class Summary:
         self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, values: np.ndarray) -> None:
-        values = values[~np.isnan(values)]
+        values = values[np.isfinite(values)]
         if len(values):
             self._put(0, thinned(values, np.ones(len(values))))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import binning, metrics, models, stats
+from scoreloom.operators import binning, metrics, models, prebins, stats
 from scoreloom.params import ScoringParams
 from scoreloom.plans import predict, prepare, report, train
 
@@ -89,21 +89,84 @@ def test_stump_equals_exhaustive_search(spark, rows):
 # -- binning -----------------------------------------------------------------------------------
 
 
-def test_best_grouping_equals_brute_force():
+def _trend(rates):
+    up = [b > a for a, b in zip(rates, rates[1:])]
+    if any(a == b for a, b in zip(rates, rates[1:])):
+        return None
+    if all(up) or not any(up):
+        return "ascending" if up[0] else "descending"
+    if sum(a != b for a, b in zip(up, up[1:])) == 1:
+        return "peak" if up[0] else "valley"
+    return None
+
+
+@pytest.mark.parametrize("trend", ["ascending", "descending", "peak", "valley", "auto"])
+@pytest.mark.parametrize("classes", [2, 3])
+def test_best_grouping_equals_brute_force(trend, classes):
     rng = np.random.default_rng(5)
+    hits = 0
     for _ in range(20):
-        counts = rng.integers(5, 60, size=(8, 2)).astype(float)
+        counts = rng.integers(5, 60, size=(8, classes)).astype(float)
         best = 0.0
         for k in range(1, 4):
             for inner in combinations(range(1, 8), k):
                 cells = np.array([part.sum(axis=0) for part in np.split(counts, inner)])
                 size = cells.sum(axis=1)
-                rates = np.diff(cells[:, 1] / size)
-                if (size < 0.1 * counts.sum()).any() or not ((rates > 0).all() or (rates < 0).all()):
+                judged = [1] if classes == 2 else range(classes)
+                trends = [_trend((cells[:, c] / size).tolist()) for c in judged]
+                if (size < 0.1 * counts.sum()).any() or any(t is None or trend not in ("auto", t) for t in trends):
                     continue
-                share = cells / cells.sum(axis=0)
-                best = max(best, ((share[:, 0] - share[:, 1]) * np.log(share[:, 0] / share[:, 1])).sum())
-        assert binning.best_grouping(counts)[1] == pytest.approx(best)
+                value = 0.0
+                for c in [0] if classes == 2 else range(classes):
+                    inside, outside = cells[:, c] / cells[:, c].sum(), (size - cells[:, c]) / (size - cells[:, c]).sum()
+                    value += ((outside - inside) * np.log(outside / inside)).sum()
+                best = max(best, value)
+        assert binning.best_grouping(counts, trend=trend)[1] == pytest.approx(best)
+        hits += best > 0
+    assert hits > 5 or classes == 3 and trend != "auto"
+
+
+def _gini(part):
+    return len(part) - sum(n * n for n in np.unique(part, return_counts=True)[1]) / len(part)
+
+
+def test_prebins_are_the_leaves_of_a_plain_tree(spark):
+    rng = np.random.default_rng(9)
+    x, z = rng.integers(0, 40, 500).astype(float), rng.normal(size=500).round(2)
+    y = (x > 12).astype(int) + ((x > 25) & (rng.random(500) > 0.3))
+    rows = [(None if i % 50 == 0 else float(x[i]), float(z[i]), int(y[i])) for i in range(500)]
+    df = spark.createDataFrame(rows, "x double, z double, y int").repartition(5)
+    found = prebins.supervised_prebins(df, ["x", "z"], "y", [0, 1, 2], leaves=6, leaf_share=0.05)
+    for name, values in (("x", x[np.arange(500) % 50 != 0]), ("z", z)):
+        target = y[np.arange(500) % 50 != 0] if name == "x" else y
+        leaves, cuts = [np.arange(len(values))], []
+        while len(leaves) < 6:
+            options = []
+            for n, rows_ in enumerate(leaves):
+                distinct = np.unique(values[rows_])
+                for low, high in zip(distinct, distinct[1:]):
+                    left, right = rows_[values[rows_] <= low], rows_[values[rows_] > low]
+                    fall = _gini(target[rows_]) - _gini(target[left]) - _gini(target[right])
+                    if min(len(left), len(right)) >= 0.05 * len(values) and fall > 1e-9:
+                        options.append((fall, -n, (low + high) / 2, left, right))
+            if not options:
+                break
+            top = max(o[0] for o in options)
+            _, n, cut, left, right = next(o for o in options if o[0] > top - 1e-9)
+            cuts.append(cut)
+            leaves[-n : -n + 1] = [left, right]
+        assert found[name].cuts == pytest.approx(sorted(cuts))
+        index = np.searchsorted(sorted(cuts), values, "right")
+        want = np.zeros((len(cuts) + 1, 3))
+        np.add.at(want, (index, target), 1)
+        assert (found[name].counts == want).all()
+
+
+def test_prebins_of_awkward_columns(spark):
+    df = spark.createDataFrame([(None, 1.0, 0), (None, 1.0, 1), (None, float("inf"), 1), (None, float("nan"), None)], "a double, b double, y int")
+    assert {c: p.cuts for c, p in prebins.supervised_prebins(df, ["a", "b"], "y", [0, 1]).items() if c == "b"} == {"b": []}
+    assert binning.OptimalBins.fit(df, ["a", "b"], "y").splits == {}
+    assert binning.OptimalBins.fit(df.filter("y = 1"), ["a", "b"], "y").splits == {}
 
 
 def test_bins_cover_every_row_once(rows):
