@@ -202,10 +202,14 @@ def flow_prepare(spark, sf):
     return stats.corr_with_target(prepared.working, prepared.features, "y")
 
 
+#: In the flows the boosted model takes fewer, longer steps; ``train_boosted`` fits it at full length.
+FLOW_ESTIMATORS = {"xgb": models.boosted(rounds=10, rate=0.1, column_share=0.5), "rf": models.forest(numTrees=30), "dt": models.single_tree()}
+
+
 def _trained(spark, sf):
-    prepared = prepare_flow.prepare(_main(spark, sf), PARAMS, KEY, None, F.col("bucket"))
+    prepared = prepare_flow.prepare(_main(spark, sf), PARAMS, KEY, _sides(spark, sf), F.col("bucket"))
     trained = train_flow.train(
-        prepared.full, prepared.features, PARAMS, F.col("bucket"), ["dt"], prepared.working
+        prepared.full, prepared.features, PARAMS, F.col("bucket"), list(FLOW_ESTIMATORS), prepared.working, estimators=FLOW_ESTIMATORS
     )
     return prepared, trained
 
@@ -218,17 +222,19 @@ def flow_train(spark, sf):
 @query("flow_predict")
 def flow_predict(spark, sf):
     prepared, trained = _trained(spark, sf)
+    joined = prepare_flow.join_side_tables(_main(spark, sf), _sides(spark, sf), PARAMS.observation_date_column)
+    fitted = list(trained.models.values())
     result = predict_flow.predict(
-        _main(spark, sf),
+        joined,
         prepared.plan,
-        [trained.models["dt"]],
+        fitted,
         PARAMS,
         trained.labelled.filter("dataset = 'train'"),
         {"tp": 10, "sl": 5, "period": 3},
         "obs",
         3,
     )
-    scores = ["predict_dt", "signal_trade", "mean_data_drift", "mean_w_data_drift", "symbol", "version"]
+    scores = [*(f"predict_{m.name}" for m in fitted), "signal_trade", "mean_data_drift", "mean_w_data_drift", "symbol", "version"]
     return result.predictions.select(*KEY, "obs", *scores)
 
 
