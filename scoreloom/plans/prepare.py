@@ -49,14 +49,10 @@ class PreparationPlan:
     fills: dict[str, float] | None = None
 
     def clean(self, df: DataFrame) -> DataFrame:
-        """Outliers treated, dates parsed and spread into hours and parts.
-
-        Outliers are those of the frame at hand, by its own mean and deviation; all else is as it was learned.
-        """
+        """Outliers treated, dates parsed and spread into hours and parts, all as it was learned."""
         known = set(df.columns)
-        rule = cleaning.OutlierRule({c: a for c, a in self.outliers.action.items() if c in known})
         df = encode.add_parsed_dates(
-            rule.transform(df), {c: f for c, f in self.date_formats.items() if c in known}
+            self.outliers.only(known).transform(df), {c: f for c, f in self.date_formats.items() if c in known}
         )
         dates = [d for d in self.dates if d in df.columns]
         return encode.date_parts(encode.date_diff_hours(df, dates, always=True), dates)
@@ -94,7 +90,7 @@ class PreparationPlan:
         """Write the plan as one JSON document, to any path that Spark writes."""
         document = {
             "missing_treatment": self.missing_treatment,
-            "outliers": {"action": self.outliers.action, "limit": self.outliers.limit},
+            "outliers": {"action": self.outliers.action, "limit": self.outliers.limit, "moments": self.outliers.moments},
             "date_formats": self.date_formats,
             "dates": self.dates,
             "one_hot": self.one_hot.levels,
@@ -111,7 +107,9 @@ class PreparationPlan:
         d = json.loads(spark.read.text(path, wholetext=True).filter("trim(value) <> ''").first()["value"])
         return cls(
             d["missing_treatment"],
-            cleaning.OutlierRule(d["outliers"]["action"], d["outliers"]["limit"]),
+            cleaning.OutlierRule(
+                d["outliers"]["action"], d["outliers"]["limit"], {c: tuple(m) for c, m in d["outliers"]["moments"].items()}
+            ),
             d["date_formats"],
             d["dates"],
             encode.OneHot(d["one_hot"]),

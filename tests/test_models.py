@@ -280,6 +280,34 @@ def test_stored_plan_gives_a_row_the_same_features_in_any_batch(spark, rows, tmp
     batch = plan.transform(new.filter("id < 40"))
     alone = plan.transform(new.filter("id = 14"))
     assert batch.count() == 40 and alone.count() == 1
-    # whether a value is an outlier is decided in its frame; all other inputs and the features are the plan's
-    inputs = [F.col(f"`{c}`") for c in ("a", "b", *plan.features) if c in alone.columns]
+    inputs = [F.col(f"`{c}`") for c in ("a", "b", "c", *plan.features) if c in alone.columns]
     assert batch.filter("id = 14").select(inputs).collect() == alone.select(inputs).collect()
+
+
+def test_a_row_scores_alike_alone_in_a_batch_and_on_a_stream(spark, rows, tmp_path):
+    params = ScoringParams.from_dict(
+        {
+            "criterion_column": "y", "observation_date_column": "obs", "columns_to_exclude": ["obs"], "t1df": "2020-04", "t2df": "2020-05",
+            "t3df": "2020-06", "missing_treatment": "median", "symbol": "p", "signal_trade": {"col1_name": "predict_xgb", "col1_value": 0.4},
+        }
+    )
+    prepared = prepare.prepare(rows, params, ["id"], bucket=F.col("id") * 7919)
+    assert "blank" in prepared.plan.outliers.action.values()  # c is normal: some values are beyond three deviations
+    features = prepared.features
+    fitted = [
+        models.fit_model(prepared.working, features, "y", "xgb", models.boosted(rounds=3, rate=0.3)),
+        models.fit_model(prepared.working, features, "y", "dt"),
+    ]
+    new = rows.filter("id < 600")
+    batch = predict.scored_rows(new, prepared.plan, fitted, params).drop("y")
+    alone = predict.scored_rows(new.filter("id = 77"), prepared.plan, fitted, params).drop("y")
+    assert batch.filter("id = 77").collect() == alone.collect()
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (new.filter("id < 250"), new.filter("id >= 250")):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(new.schema).parquet(source)
+        predict.score_stream(stream, prepared.plan, fitted, params, sink, str(tmp_path / "checkpoint")).awaitTermination()
+    streamed = spark.read.parquet(sink)
+    assert streamed.count() == 600
+    order = lambda df: sorted(map(str, df.select(*[F.col(f"`{c}`") for c in batch.columns]).collect()))
+    assert order(streamed) == order(batch)
