@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions import names
-from scoreloom.functions.exprs import flag, pearson, q
+from scoreloom.functions.exprs import NUMERIC, flag, pearson, q
 from scoreloom.operators.gram import cross_correlations
 from scoreloom.operators.ordering import quantile_bin, quantile_edges, running_totals
+from scoreloom.operators.prebins import FINE, fine_counts, met_counts
+from scoreloom.operators.vectors import COLUMNS_PER_PASS, Batches, merged, vector_rows
 from scoreloom.session import materialize
 
 CORR_LOW, CORR_HIGH, CORR_TOP = 0.05, 0.4, 100
@@ -190,6 +195,116 @@ def _weighted_f1(confusion: DataFrame) -> DataFrame:
     )
 
 
+def _naive_f1(counts: np.ndarray) -> float:
+    """The better weighted F1 of two guesses: always the most frequent class, or classes drawn at their own rates."""
+    share = counts / counts.sum()
+    top = share.max()
+    return float(max(2 * top * top / (1 + top), (share**2).sum()))
+
+
+def _fold_f1(confusion: np.ndarray) -> float:
+    """F1 weighted by class size, from a confusion matrix (class x guess)."""
+    support, given, hit = confusion.sum(axis=1), confusion.sum(axis=0), np.diag(confusion)
+    f1 = np.divide(2 * hit, support + given, out=np.zeros(len(hit)), where=support + given > 0)
+    return float((f1 * support).sum() / support.sum())
+
+
+def _value_votes(counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """Confusion matrix of each fold for one feature; ``counts`` has shape (values, folds, classes).
+
+    The tree of a fold is grown on the other folds until its leaves hold one class or one value, so a value is guessed by the
+    class that is most frequent there (the first of equals), one that the others lack by its neighbour on the same side of the
+    middle between two.
+    """
+    total, out = counts.sum(axis=1), []
+    for f in range(counts.shape[1]):
+        own = counts[:, f]
+        rest = total - own
+        known = np.flatnonzero(rest.sum(axis=1) > 0)
+        if not len(known) or not own.sum():
+            continue
+        middles = (high[known[:-1]] + low[known[1:]]) / 2
+        guess = rest[known].argmax(axis=1)[np.searchsorted(middles, low, "left")]
+        confusion = np.zeros((counts.shape[2],) * 2)
+        np.add.at(confusion.T, guess, own)
+        out.append(confusion)
+    return out
+
+
+def _power_row(confusions: Sequence[np.ndarray], classes: np.ndarray) -> tuple[float, float, float]:
+    """(baseline, f1, score) from each fold's confusion matrix and the sizes of the classes."""
+    f1, baseline = float(np.mean([_fold_f1(c) for c in confusions])), _naive_f1(classes)
+    return baseline, f1, max(0.0, (f1 - baseline) / (1 - baseline)) if baseline < 1 else 0.0
+
+
+def tree_power(df: DataFrame, features: Sequence[str], target: str, fold: Column, folds: int = 4, fine: int = FINE) -> DataFrame:
+    """(feature, baseline, f1, score): how far a tree on one feature alone lifts cross-validated weighted F1 above naive guesses.
+
+    Trees of all features and folds come from one table of counts by (feature, value, fold, class): a fold's training counts are
+    the total less its own. Numbers of more than ``fine`` values are counted in that many quantile groups; texts and flags are
+    counted by value, and a text that the other folds lack is guessed by their most frequent class. Rows lacking the feature take no part.
+    """
+    seen = df.select(q(target)).filter(q(target).isNotNull()).distinct().collect()
+    classes = sorted(r[0] for r in seen)
+    numbers = [c for c in features if isinstance(df.schema[c].dataType, (*NUMERIC, T.ByteType, T.DecimalType))]
+    texts = [c for c in features if c not in numbers]
+    k = len(classes)
+    place = F.array_position(F.array(*[F.lit(c) for c in classes]), q(target)) - 1
+    code = (F.pmod(fold, F.lit(folds)) * k + place).cast("int")
+    narrow = df.filter(q(target).isNotNull()).select(code.alias("_code"), *[q(c) for c in features])
+    narrow = materialize(narrow, "power")
+    tables = [_text_power(narrow, texts, folds, k)] if texts else []
+    for start in range(0, len(numbers), COLUMNS_PER_PASS):
+        part = numbers[start : start + COLUMNS_PER_PASS]
+
+        def finish(key: tuple, vector: np.ndarray) -> Iterator[tuple]:
+            n = len(vector) // (folds * k + 2)
+            counts = vector[: n * folds * k].reshape(n, folds, k)
+            low, high = vector[n * folds * k : -n], vector[-n:]
+            used = counts.sum(axis=(1, 2)) > 0
+            confusions = _value_votes(counts[used], low[used], high[used])
+            if confusions:
+                yield key[0], *_power_row(confusions, counts.sum(axis=(0, 1)))
+
+        counted = fine_counts(narrow, part, "_code", list(range(folds * k)), fine)
+        found = merged(counted, ["i"], met_counts(folds * k), finish, "i long, baseline double, f1 double, score double")
+        tables.append(found.select(_named("i", part).alias("feature"), "baseline", "f1", "score"))
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _text_power(narrow: DataFrame, texts: Sequence[str], folds: int, k: int) -> DataFrame:
+    pairs = [F.struct(F.lit(i).alias("i"), q(c).cast("string").alias("value")) for i, c in enumerate(texts)]
+    cells = narrow.select("_code", F.inline(F.array(*pairs))).filter("value is not null")
+    counts = materialize(cells.groupBy("i", "value", "_code").agg(F.count(F.lit(1)).alias("n")), "text-counts")
+    totals = np.zeros((len(texts), folds, k))
+    for r in counts.groupBy("i", "_code").agg(F.sum("n").alias("n")).collect():
+        totals[r["i"], r["_code"] // k, r["_code"] % k] = r["n"]
+    common = (totals.sum(axis=1, keepdims=True) - totals).argmax(axis=2)
+    per_value = counts.groupBy("i", "value").agg(F.collect_list(F.struct("_code", "n")).alias("cells"))
+
+    def vote(batches: Batches) -> Batches:
+        sums = np.zeros((len(texts), folds, k, k))
+        for batch in batches:
+            for i, found in zip(*(batch.column(c).to_pylist() for c in (0, 1))):
+                own = np.zeros((folds, k))
+                for cell in found:
+                    own[cell["_code"] // k, cell["_code"] % k] = cell["n"]
+                rest = own.sum(axis=0) - own
+                guess = np.where(rest.sum(axis=1) > 0, rest.argmax(axis=1), common[i])
+                for f in range(folds):
+                    sums[i, f, :, guess[f]] += own[f]
+        yield vector_rows([(i,) for i in range(len(texts))], list(sums.reshape(len(texts), -1)), ["i"])
+
+    def finish(key: tuple, total: np.ndarray) -> Iterator[tuple]:
+        confusions = [c for c in total.reshape(folds, k, k) if c.sum()]
+        if confusions:
+            yield key[0], *_power_row(confusions, np.sum(confusions, axis=(0, 2)))
+
+    parts = per_value.select("i", "cells").mapInArrow(vote, "i long, vector binary")
+    found = merged(parts, ["i"], np.add, finish, "i long, baseline double, f1 double, score double")
+    return found.select(_named("i", texts).alias("feature"), "baseline", "f1", "score")
+
+
 def select_by_predictive_power(
     power: DataFrame, threshold: float = 0.05, top: int = 100
 ) -> DataFrame:

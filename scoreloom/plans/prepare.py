@@ -248,7 +248,7 @@ def _select(
     """Correlation for a two-class target, predictive power for more classes."""
     if not multiclass:
         return stats.select_by_correlation(df, features, target, keep)
-    power = stats.predictive_power(df, features, target, bucket)
+    power = stats.tree_power(df, features, target, bucket)
     found = {r["feature"] for r in stats.select_by_predictive_power(power).collect()}
     if not found:
         raise ValueError("no feature has predictive power for the target")

@@ -202,14 +202,18 @@ def flow_prepare(spark, sf):
     return stats.corr_with_target(prepared.working, prepared.features, "y")
 
 
-#: In the flows the boosted model takes fewer, longer steps; ``train_boosted`` fits it at full length.
-FLOW_ESTIMATORS = {"xgb": models.boosted(rounds=10, rate=0.1, column_share=0.5), "rf": models.forest(numTrees=30), "dt": models.single_tree()}
+def _flow_estimators() -> dict:
+    """In the flows the boosted model takes fewer, longer steps and the forest fewer trees; ``train_boosted`` and ``train_forest``
+    fit them at full length."""
+    boosted = models.boosted(rounds=10, rate=0.1, column_share=0.5)
+    return {"xgb": boosted, "rf": models.forest(numTrees=30), "dt": models.single_tree()}
 
 
 def _trained(spark, sf):
     prepared = prepare_flow.prepare(_main(spark, sf), PARAMS, KEY, _sides(spark, sf), F.col("bucket"))
+    kinds = _flow_estimators()
     trained = train_flow.train(
-        prepared.full, prepared.features, PARAMS, F.col("bucket"), list(FLOW_ESTIMATORS), prepared.working, estimators=FLOW_ESTIMATORS
+        prepared.full, prepared.features, PARAMS, F.col("bucket"), list(kinds), prepared.working, estimators=kinds
     )
     return prepared, trained
 

@@ -115,6 +115,48 @@ def stump_feature(spark, sf):
     return out.select(*KEY, F.col(f"`{name}`").alias("sc_tree"), F.lit(name).alias("feature"))
 
 
+def _tree_power_sql() -> str:
+    numbers, texts = ["qty", "disc100", "p_size", "l_tax"], ["l_returnflag", "o_orderpriority"]
+    cells = " UNION ALL ".join(
+        [f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS v, CAST({c} AS DOUBLE) AS x, bucket % 4 AS fold, y FROM frame" for c in numbers]
+        + [f"SELECT '{c}', {c}, NULL, bucket % 4, y FROM frame" for c in texts]
+    )
+    return f""", cells AS ({cells}),
+      cnt AS (SELECT feature, v, x, fold, y, count(*) AS n FROM cells GROUP BY ALL),
+      tot AS (SELECT feature, v, x, y, sum(n) AS t FROM cnt GROUP BY ALL),
+      train AS (SELECT tot.feature, tot.v, tot.x, f.fold, tot.y, t - coalesce(n, 0) AS m
+                FROM tot CROSS JOIN (SELECT unnest(range(4)) AS fold) f
+                LEFT JOIN cnt ON cnt.feature = tot.feature AND cnt.v = tot.v AND cnt.y = tot.y AND cnt.fold = f.fold),
+      vote AS (SELECT feature, v, x, fold, y AS pred FROM train WHERE m > 0
+               QUALIFY row_number() OVER (PARTITION BY feature, v, fold ORDER BY m DESC, y) = 1),
+      common AS (SELECT feature, fold, y AS pred FROM (SELECT feature, fold, y, sum(m) AS m FROM train GROUP BY ALL)
+                 QUALIFY row_number() OVER (PARTITION BY feature, fold ORDER BY m DESC, y) = 1),
+      lacking AS (SELECT c.feature, c.v, c.fold, w.pred FROM (SELECT DISTINCT feature, v, x, fold FROM cnt WHERE x IS NOT NULL) c
+                  JOIN vote w ON w.feature = c.feature AND w.fold = c.fold
+                  WHERE NOT EXISTS (SELECT 1 FROM vote o WHERE o.feature = c.feature AND o.fold = c.fold AND o.v = c.v)
+                  QUALIFY row_number() OVER (PARTITION BY c.feature, c.v, c.fold ORDER BY abs(w.x - c.x), w.x) = 1),
+      guess AS (SELECT cnt.feature, cnt.fold, cnt.y, coalesce(vote.pred, lacking.pred, common.pred) AS pred, sum(n) AS n FROM cnt
+                LEFT JOIN vote ON vote.feature = cnt.feature AND vote.v = cnt.v AND vote.fold = cnt.fold
+                LEFT JOIN lacking ON lacking.feature = cnt.feature AND lacking.v = cnt.v AND lacking.fold = cnt.fold
+                LEFT JOIN common ON common.feature = cnt.feature AND common.fold = cnt.fold GROUP BY ALL),
+      sup AS (SELECT feature, fold, y AS c, sum(n) AS support, sum(n) FILTER (y = pred) AS hit FROM guess GROUP BY ALL),
+      giv AS (SELECT feature, fold, pred AS c, sum(n) AS given FROM guess GROUP BY ALL),
+      f1 AS (SELECT feature, fold, sum(2.0 * coalesce(hit, 0) / (support + coalesce(given, 0)) * support) / sum(support) AS f1
+             FROM sup LEFT JOIN giv USING (feature, fold, c) GROUP BY ALL),
+      sizes AS (SELECT feature, y, sum(n) AS n FROM cnt GROUP BY ALL),
+      base AS (SELECT feature, max(n) / sum(n) AS top, sum(CAST(n AS DOUBLE) * n) / (CAST(sum(n) AS DOUBLE) * sum(n)) AS drawn FROM sizes GROUP BY feature),
+      lifts AS (SELECT feature, greatest(2 * top * top / (1 + top), drawn) AS baseline, (SELECT avg(f1) FROM f1 WHERE f1.feature = base.feature) AS f1 FROM base)
+      SELECT feature, round(baseline, 6) AS baseline, round(f1, 6) AS f1,
+        round(greatest((f1 - baseline) / (1 - baseline), 0), 6) AS score FROM lifts"""
+
+
+@query("predictive_power_trees", with_frame(_tree_power_sql()))
+def predictive_power_trees(spark, sf):
+    columns = ["qty", "disc100", "p_size", "l_tax", "l_returnflag", "o_orderpriority"]
+    found = stats.tree_power(frame(spark, sf).select("y", "bucket", *columns), columns, "y", F.col("bucket"))
+    return rounded(found, "baseline", "f1", "score")
+
+
 def _train(spark, sf):
     rows = frame(spark, sf).filter("dataset = 'train'").select("y", "sc", *NUMERIC_FEATURES)
     return materialize(rows, "train")  # binning reads it twice
