@@ -1,14 +1,16 @@
 """Lines that only fill in a template, found by a tree of fixed depth and dropped where they recur.
 
 A line is cut into tokens; tokens with a digit are variable fields. The tree has one level for the number of tokens and one
-for each of the first ``depth`` tokens; its leaves hold lines of one shape. In a leaf a position is constant if one token
-holds it in nearly all lines, any other position is a variable field: that is the leaf's template. A line belongs to the
-template if it has every constant. Templates of enough documents and with enough constants recur, and their lines are dropped.
+for each of the first ``depth`` tokens; its leaves hold lines of one shape. In a leaf a token is constant at its position if
+enough lines hold it there, any other token is a variable field; a line with its variable fields generalised is a template, so
+a leaf may have several, whatever else it holds. Templates of enough documents and with enough constants recur, and their lines are
+dropped.
 
 Defined cases: a null text has no lines; blank lines are kept and belong to no template; lines shorter than the tree is deep
 are their own leaf; repeated rows of equal key and text are one document; a line that occurs often in one document counts
 once for it; an empty table gives an empty result; input columns that clash with added ones are replaced.
-Hot leaves are counted by distinct (leaf, document) and (leaf, line) first, so no task holds a leaf.
+Hot leaves are counted by distinct (leaf, document) and (leaf, line) first, so no task holds a leaf; lines meet their
+template by the hash of the line, broadcast where templates are few.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ VARIABLE = "<*>"
 # Fixed patterns: what ends a token, and a token with a digit.
 TOKEN = r"[^ \t\r]+"
 WITH_DIGIT = r"[^ \t\r]*[0-9][^ \t\r]*"
-#: Templates that may be broadcast; their lines are as long as lines of the corpus.
-MOST_TEMPLATES = 100_000
+#: Rows of hashes that may be broadcast, at some 50 bytes each.
+MOST_ROWS = 100_000
 
 
 def lines_of(text: Column) -> Column:
@@ -49,43 +51,41 @@ def _lines(docs: DataFrame, depth: int, key: str, text: str) -> DataFrame:
     return exploded.filter(F.col("line").rlike(TOKEN)).withColumn("leaf", leaf_of(F.col("line"), depth))
 
 
+def _small(stored: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast where it is small."""
+    return F.broadcast(stored) if stored.count() <= MOST_ROWS else stored
+
+
 def crowded_lines(lines: DataFrame, least_documents: int) -> DataFrame:
-    """``key``, ``text_hash``, ``i``, ``leaf`` and ``tokens`` of lines whose leaf is met in enough documents; stored."""
+    """``key``, ``text_hash``, ``i``, ``leaf``, ``tokens`` and their hash ``shape`` of lines whose leaf is met in enough
+    documents; stored."""
+    lines = lines.withColumn("leaf_hash", F.xxhash64("leaf"))
     crowded = (
-        lines.groupBy("leaf", "key", "text_hash")
+        lines.groupBy("leaf_hash", "key", "text_hash")
         .agg(F.lit(1).alias("one"))
-        .groupBy("leaf")
+        .groupBy("leaf_hash")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= least_documents)
-        .select("leaf")
-    )
-    crowded = materialize(crowded, "leaves")
-    few = crowded.count() <= MOST_TEMPLATES
-    inside = lines.join(F.broadcast(crowded) if few else crowded, "leaf", "left_semi")
-    return materialize(inside.select("key", "text_hash", "i", "leaf", tokens_of(F.col("line")).alias("tokens")), "crowded-lines")
-
-
-def templates(lines: DataFrame, share: float, least_constant: float) -> DataFrame:
-    """``leaf`` and ``template`` (tokens, variable fields as ``<*>``) of each leaf with enough constants; stored."""
-    distinct_lines = lines.groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("n"))
-    cells = distinct_lines.select("leaf", "n", F.posexplode("tokens").alias("p", "token"))
-    votes = cells.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n"))
-    places = votes.groupBy("leaf", "p").agg(
-        F.max_by("token", F.struct("n", "token")).alias("token"), (F.max("n") / F.sum("n")).alias("held")
-    )
-    token = F.when((F.col("held") >= share) & (F.col("token") != VARIABLE), F.col("token")).otherwise(VARIABLE)
-    built = places.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("p", token.alias("t")))).alias("cells"))
-    constants = F.size(F.filter("template", lambda t: t != VARIABLE))
-    return materialize(
-        built.select("leaf", F.col("cells.t").alias("template")).filter(constants >= least_constant * F.size("template")),
-        "templates",
-    )
-
-
-def _fits(tokens: Column, template: Column) -> Column:
-    return F.forall(
-        F.zip_with(tokens, template, lambda a, b: (b == VARIABLE) | (a == b)), lambda same: same
+        .select("leaf_hash")
     )
+    inside = lines.join(_small(materialize(crowded, "leaves")), "leaf_hash", "left_semi")
+    tokens = inside.select("key", "text_hash", "i", F.col("leaf_hash").alias("leaf"), tokens_of(F.col("line")).alias("tokens"))
+    return materialize(tokens.withColumn("shape", F.xxhash64("leaf", "tokens")), "crowded-lines")
+
+
+def templates(lines: DataFrame, least_lines: int, least_constant: float) -> DataFrame:
+    """``shape`` of each distinct line whose template has enough constants, with its ``template`` (a hash) and ``text``; stored."""
+    shapes = materialize(lines.groupBy("shape").agg(F.any_value("leaf").alias("leaf"), F.any_value("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "shapes")
+    cells = shapes.select("shape", "leaf", "n", F.posexplode("tokens").alias("p", "token")).filter(F.col("token") != VARIABLE)
+    votes = cells.groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_lines)
+    constant = materialize(votes.select(F.xxhash64("leaf", "p", "token").alias("cell")), "constants")
+    held = cells.select("shape", "p", F.xxhash64("leaf", "p", "token").alias("cell")).join(_small(constant), "cell", "left_semi")
+    places = held.groupBy("shape").agg(F.collect_set("p").alias("places"))
+    built = shapes.join(places, "shape").filter(F.size("places") >= least_constant * F.size("tokens"))
+    kept = F.map_from_arrays("places", F.array_repeat(F.lit(True), F.size("places")))
+    text = F.transform("tokens", lambda t, p: F.when(F.map_contains_key(kept, p), t).otherwise(VARIABLE))
+    built = built.select("shape", "leaf", text.alias("text"))
+    return materialize(built.select("shape", F.xxhash64("leaf", "text").alias("template"), "text"), "templates")
 
 
 def drop_template_lines(
@@ -94,41 +94,38 @@ def drop_template_lines(
     text: str = "text",
     depth: int = 3,
     least_documents: int = 10,
-    share: float = 0.9,
     least_constant: float = 0.5,
 ) -> DataFrame:
     """The rows with ``n_lines``, ``n_dropped`` and ``clean_text``, the text without the lines of recurring templates."""
     lines = crowded_lines(_lines(docs, depth, key, text), least_documents)
-    found = templates(lines, share, least_constant)
-    few = found.count() <= MOST_TEMPLATES
-    fitting = (
-        lines.join(F.broadcast(found) if few else found, "leaf")
-        .filter(_fits(F.col("tokens"), F.col("template")))
-        .select("key", "text_hash", "i", "leaf")
-    )
-    fitting = materialize(fitting, "template-lines")
+    found = templates(lines, least_documents, least_constant).select("shape", "template")
+    fitting = materialize(lines.select("key", "text_hash", "i", "shape").join(_small(found), "shape").drop("shape"), "template-lines")
     recurring = (
-        fitting.select("leaf", "key", "text_hash")
+        fitting.select("template", "key", "text_hash")
         .distinct()
-        .groupBy("leaf")
+        .groupBy("template")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= least_documents)
     )
     dropped = (
-        fitting.join(recurring.select("leaf"), "leaf", "left_semi")
+        fitting.join(_small(materialize(recurring.select("template"), "recurring")), "template", "left_semi")
         .groupBy("key", "text_hash")
         .agg(F.collect_set("i").alias("__dropped"))
         .withColumnsRenamed({"key": "__key", "text_hash": "__hash"})
     )
-    same = (F.xxhash64(F.col(text)) == F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))
-    joined = docs.join(dropped, same, "left")
+    # a text crosses the join as its lines, which are then taken by their places; so very many lines cost their number
+    split = docs.withColumns({"__text_hash": F.xxhash64(F.col(text)), "__lines": F.when(F.col(text).isNotNull(), lines_of(F.col(text)))})
+    same = (F.col("__text_hash") == F.col("__hash")) & F.col(key).eqNullSafe(F.col("__key"))
+    joined = split.drop(text).join(dropped, same, "left")
     gone = F.coalesce("__dropped", F.array().cast("array<int>"))
-    all_lines = lines_of(F.col(text))
-    kept = F.filter(F.transform(all_lines, lambda line, i: F.when(~F.array_contains(gone, i), line)), lambda line: line.isNotNull())
-    return joined.withColumns(
-        {
-            "n_lines": F.size(all_lines).cast("long"),
-            "n_dropped": F.size(gone).cast("long"),
-            "clean_text": F.when(F.size(gone) == 0, F.coalesce(F.col(text), F.lit(""))).otherwise(F.array_join(kept, "\n")),
-        }
-    ).drop("__key", "__hash", "__dropped")
+    n = F.coalesce(F.size("__lines"), F.lit(0))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), gone), lambda i: F.get("__lines", i))
+    whole = F.array_join("__lines", "\n")
+    told = {
+        text: whole,
+        "n_lines": n.cast("long"),
+        "n_dropped": F.size(gone).cast("long"),
+        "clean_text": F.coalesce(F.when(F.size(gone) == 0, whole).otherwise(F.array_join(kept, "\n")), F.lit("")),
+    }
+    names = [*docs.columns, *(c for c in told if c not in docs.columns)]
+    return joined.select(*[told[c].alias(c) if c in told else F.col(c) for c in names])

@@ -73,13 +73,13 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     crowded AS (SELECT leaf FROM lines GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
     cells AS (SELECT leaf, toks, unnest(range(1, len(toks) + 1)) AS p FROM lines SEMI JOIN crowded USING (leaf)),
     votes AS (SELECT leaf, p, toks[p] AS tok, count(*) AS n FROM cells GROUP BY ALL),
-    places AS (SELECT leaf, p, max_by(tok, n) AS tok, max(n) / sum(n) AS held FROM votes GROUP BY ALL),
-    tree AS (SELECT leaf, list(CASE WHEN held >= 0.9 THEN tok ELSE '<*>' END ORDER BY p) AS tpl FROM places GROUP BY leaf),
-    tpls AS (SELECT * FROM tree WHERE len([t FOR t IN tpl IF t <> '<*>']) >= 0.5 * len(tpl)),
-    fits AS (SELECT doc_id, i, leaf FROM lines JOIN tpls USING (leaf)
-             WHERE len([p FOR p IN range(1, len(tpl) + 1) IF tpl[p] <> '<*>' AND tpl[p] <> toks[p]]) = 0),
-    gone AS (SELECT doc_id, list(i) AS xs FROM fits
-             WHERE leaf IN (SELECT leaf FROM fits GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10) GROUP BY doc_id),
+    shapes AS (SELECT c.leaf, c.toks, list(CASE WHEN c.toks[c.p] <> '<*>' AND v.n >= 10 THEN c.toks[c.p] ELSE '<*>' END ORDER BY c.p) AS tpl
+               FROM (SELECT DISTINCT leaf, toks, p FROM cells) c JOIN votes v ON v.leaf = c.leaf AND v.p = c.p AND v.tok = c.toks[c.p]
+               GROUP BY c.leaf, c.toks),
+    fits AS (SELECT doc_id, i, leaf, tpl FROM lines JOIN shapes USING (leaf, toks)
+             WHERE len([t FOR t IN tpl IF t <> '<*>']) >= 0.5 * len(tpl)),
+    gone AS (SELECT doc_id, list(i) AS xs FROM fits JOIN (SELECT leaf, tpl FROM fits GROUP BY leaf, tpl HAVING count(DISTINCT doc_id) >= 10)
+               USING (leaf, tpl) GROUP BY doc_id),
     kept AS (SELECT doc_id, coalesce(len(ls), 0) AS n, coalesce(len(xs), 0) AS g,
                CASE WHEN xs IS NULL THEN coalesce(text, '')
                     ELSE array_to_string([ls[i] FOR i IN range(1, len(ls) + 1) IF NOT list_contains(xs, i)], chr(10)) END AS t

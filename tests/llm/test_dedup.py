@@ -181,6 +181,24 @@ def test_passages_repeat_in_one_document_only(spark):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_several_templates_share_a_leaf(spark):
+    """Two templates of one leaf, and an identical line among prose of its leaf."""
+    rng, texts = random.Random(3), []
+    for i in range(100):
+        at = f"2024-01-{i % 28:02d} 10:{i % 60:02d}:00 INFO"
+        texts += [f"{at} Connection from 10.0.{i}.1 closed\n{prose(rng, 9)}", f"{at} Worker w{i} has stopped\n{prose(rng, 9)}"]
+    rows = {r.doc_id: r for r in line_templates.drop_template_lines(as_docs(spark, texts)).collect()}
+    assert all(r.n_dropped == 1 and r.clean_text == texts[i].split("\n")[1] for i, r in rows.items())
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    same = "one two three all rights are reserved here"
+    texts = [f"{same}\n{prose(rng, 9)}" for i in range(200)] + [f"one two three {' '.join(rng.sample(words, 5))}" for i in range(200)]
+    rows = {r.doc_id: r for r in line_templates.drop_template_lines(as_docs(spark, texts)).collect()}
+    assert all(same not in rows[i].clean_text for i in range(200)) and all(rows[i].n_dropped == 0 for i in range(200, 400))
+    long = as_docs(spark, ["\n".join(["same line of a text", "x"] * 30000)] + ["same line of a text"] * 10)
+    first = line_templates.drop_template_lines(long).filter("doc_id = 0").first()
+    assert (first.n_lines, first.n_dropped, first.text == long.first().text) == (60000, 30000, True)
+
+
 def test_template_lines(spark):
     rng = random.Random(9)
     texts = [f"{prose(rng, 12)}\nat 10:{i:02d} the server answered in {i} ms to user u{i}\n\n{prose(rng, 11)}" for i in range(14)]
