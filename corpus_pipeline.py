@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm import decontaminate, exact_dedup, mixing, near_dedup, toxicity
 from scoreloom.queries.frame import table
-from scoreloom.session import materialize
+from scoreloom.session import delete_path, freed_tables, new_path
 
 #: Documents scored so high or higher are rejected.
 TOXIC = 0.3
@@ -47,13 +47,22 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The toxicity stage learns from labels, which SQL can't express; tests hold the rows against a brute-force version.
+#: The toxicity stage learns from labels, which SQL can't express; tests hold planted cases and awkward rows against what each
+#: stage is to keep.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own tables are freed once its result is written, and that result after the next stage."""
+    docs, before = table(spark, sf_dir, "documents"), None
     *firsts, (_, last) = STAGES
     for name, stage in firsts:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = new_path(spark, name.replace(" ", "-"))
+        with freed_tables(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(path)
+        docs = spark.read.schema(result.schema).parquet(path)
+        if before is not None:
+            delete_path(spark, before)
+        before = path
     return last(spark, docs, sf_dir)
