@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from corpus import as_docs, awkward, prose
 
 import corpus_pipeline
@@ -154,6 +155,26 @@ def test_pipeline_stages_against_planted_cases(spark, tmp_path):
     assert max(r.epoch for r in rows) <= 2
 
 
+def test_pipeline_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns: what differs stays, once."""
+    sf = str(tmp_path)
+    docs = awkward(spark).withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.length("text")})
+    docs.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 0), (8, 0), (None, None)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "one two"), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    frame, texts = spark.read.parquet(f"{sf}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame, sf)
+        assert frame.columns == docs.columns
+        texts.append([r.text or "" for r in frame.collect()])
+    every = {r.text or "" for r in docs.collect()}
+    assert len(texts[0]) == docs.count()  # nothing toxic was there to learn from
+    assert sorted(texts[1]) == sorted(every)
+    assert set(texts[2]) == set(texts[1]) == set(texts[3]) and len(texts[3]) == len(set(texts[3]))
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r.text or "" for r in rows} == set(texts[3])
+
+
 def test_pipeline_on_empty_documents(spark, tmp_path):
     sf = str(tmp_path)
     empty = as_docs(spark, ["x"]).limit(0)
