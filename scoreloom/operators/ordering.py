@@ -169,6 +169,17 @@ def quantile_bins(
     return df.withColumn(out or f"{column}_bin", quantile_bin(column, edges))
 
 
+def several_quantile_bins(df: DataFrame, wanted: Mapping[str, tuple[int, str]]) -> DataFrame:
+    """Add the equal-share bins of several columns, whose edges come from one stored table; ``wanted``: column to (bins, name)."""
+    grid = sorted({i / n for n, _ in wanted.values() for i in range(n + 1)})
+    found = exact_quantiles(df, list(wanted), grid)
+    added = {}
+    for column, (n, out) in wanted.items():
+        at = dict(zip(grid, found[column]))
+        added[out] = quantile_bin(column, sorted({at[i / n] for i in range(n + 1)} if at else []))
+    return df.withColumns(added)
+
+
 def running_totals(
     df: DataFrame,
     order_by: str,

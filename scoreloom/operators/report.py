@@ -9,14 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.exprs import q, ratio
-from scoreloom.operators.ordering import quantile_bin, quantile_edges
+from scoreloom.operators.ordering import quantile_bin, quantile_edges, running_totals
 from scoreloom.operators.profile import long_form, with_total
 from scoreloom.session import materialize
 
 
-MAX_DATASETS = 100
-
-
 def union_splits(*splits: DataFrame) -> DataFrame:
     out = splits[0]
     for split in splits[1:]:
@@ -209,33 +206,47 @@ def secondary_rate(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
 
 def decile_rates(df: DataFrame, x: str, y: str, by: str | None = None, bins: int = 10) -> DataFrame:
     """Rows and target rate per quantile bin; with ``by`` each listed dataset has its own edges."""
-    columns = [q(x).cast("double").alias("x"), q(y).alias("y"), *([q(by)] if by else [])]
-    narrow = materialize(df.select(*columns), "deciles")  # edges and rates both read it
-    if by is None:
-        edges = quantile_edges(narrow, ["x"], bins, stored=True)["x"]
-        binned = narrow.select(quantile_bin("x", edges).alias("decile"), "y")
-        keys = ["decile"]
-    else:
-        # one column per dataset, so that all edges come from the same pass
-        groups = [r[0] for r in narrow.select(by).distinct().limit(MAX_DATASETS + 1).collect()]
-        if len(groups) > MAX_DATASETS:
-            raise ValueError(f"{by} has more than {MAX_DATASETS} values; it does not name datasets")
-        wide = narrow.select(by, "y", *[
-            F.when(q(by) == F.lit(g), F.col("x")).alias(f"_x{i}") for i, g in enumerate(groups)
-        ])
-        edges = quantile_edges(wide, [f"_x{i}" for i in range(len(groups))], bins, stored=True)
-        bin_of = F.lit(None).cast("int")
-        for i, g in enumerate(groups):
-            bin_of = F.when(q(by) == F.lit(g), quantile_bin(f"_x{i}", edges[f"_x{i}"])).otherwise(bin_of)
-        binned = wide.select(by, bin_of.alias("decile"), "y")
-        keys = [by, "decile"]
+    if by is not None:
+        return _decile_rates_by(df, x, y, by, bins)
+    narrow = materialize(df.select(q(x).cast("double").alias("x"), q(y).alias("y")), "deciles")  # edges and rates both read it
+    edges = quantile_edges(narrow, ["x"], bins, stored=True)["x"]
+    binned = narrow.select(quantile_bin("x", edges).alias("decile"), "y")
     return (
         binned.filter("decile is not null")
-        .groupBy(*keys)
+        .groupBy("decile")
         .agg(F.count("y").alias("volume"), F.avg("y").alias("rate"))
     )
 
 
+def _decile_rates_by(df: DataFrame, x: str, y: str, by: str, bins: int) -> DataFrame:
+    """Edges and rates of any number of datasets, both from one table of counts by (dataset, value)."""
+    rows = df.filter(q(by).isNotNull()).select(q(by).alias("by"), (q(x).cast("double") + F.lit(0.0)).alias("x"), q(y).cast("double").alias("y"))
+    sums = {"n": F.count("*"), "volume": F.count("y"), "hits": F.sum("y")}
+    values = materialize(running_totals(rows, "x", sums, ["by"], cumulate=["n"]), "values")
+    # ranks on both sides of each quantile, and the value that stands at each
+    places = [F.lit(i / bins) * (F.col("all_n") - 1) for i in range(bins + 1)]
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.least(F.floor(p) + 1, F.col("all_n") - 1)) for p in places])))
+    here = F.filter(ranks, lambda r: (r >= F.col("cum_n") - F.col("n")) & (r < F.col("cum_n")))
+    at = values.select("by", "x", "all_n", F.explode(here).alias("rank"))
+    found = at.groupBy("by").agg(F.max("all_n").alias("all_n"), F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("at"))
+
+    def quantile(place: Column) -> Column:
+        low, high = F.element_at("at", F.floor(place)), F.element_at("at", F.least(F.floor(place) + 1, F.col("all_n") - 1))
+        part = place - F.floor(place)
+        return F.when((part == 0) | (low == high), low).otherwise((1 - part) * low + part * high)
+
+    edges = found.select(F.col("by").alias("of"), F.array_sort(F.array_distinct(F.array(*[quantile(p) for p in places]))).alias("edges"))
+    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
+    inside = (F.size("edges") > 1) & (F.col("x") >= F.element_at("edges", 1)) & (F.col("x") <= F.element_at("edges", -1))
+    decile = F.when(inside, F.size(F.filter(inner, lambda e: F.col("x") > e)))
+    binned = values.join(edges, F.col("by") == F.col("of")).select("by", decile.alias("decile"), "volume", "hits").filter("decile is not null")
+    return (
+        binned.groupBy(F.col("by").alias(by), "decile")
+        .agg(F.sum("volume").alias("volume"), F.sum("hits").alias("hits"))
+        .select(by, "decile", "volume", (F.try_divide("hits", F.col("volume"))).alias("rate"))
+    )
+
+
 def accumulation_points(df: DataFrame, score: str, top: int = 5) -> DataFrame:
     """Most frequent scores (3 decimals) with their share of all rows (2 decimals)."""
     counts = (

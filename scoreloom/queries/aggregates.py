@@ -569,8 +569,9 @@ def scope_summary(spark, sf):
     ),
 )
 def quantile_bins(spark, sf):
-    rows = ordering.quantile_bins(frame(spark, sf), "l_extendedprice", 10, "price_bin")
-    return ordering.quantile_bins(rows, "sc", 20, "sc_bin").select(*KEY, "price_bin", "sc_bin")
+    rows = frame(spark, sf).select(*KEY, "l_extendedprice", "sc")
+    binned = ordering.several_quantile_bins(rows, {"l_extendedprice": (10, "price_bin"), "sc": (20, "sc_bin")})
+    return binned.select(*KEY, "price_bin", "sc_bin")
 
 
 @query(
