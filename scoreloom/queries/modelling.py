@@ -12,7 +12,7 @@ from scoreloom.plans import prepare as prepare_flow
 from scoreloom.plans import report as report_flow
 from scoreloom.plans import train as train_flow
 from scoreloom.queries.catalog import query
-from scoreloom.queries.frame import KEY, NUMERIC_FEATURES, PERIODS, frame, table
+from scoreloom.queries.frame import KEY, NUMERIC_FEATURES, PERIODS, frame, rounded, table, with_frame
 from scoreloom.queries.rows import CUT_OFFS
 from scoreloom.session import materialize
 
@@ -39,6 +39,89 @@ def train_boosted(spark, sf):
     return models.validate_splits(rows, _fit(rows, "xgb"), "y")
 
 
+#: One round of one-level trees on columns of few values, which SQL can follow; 0.3 of each step is taken.
+STEP_FEATURES = ("qty", "disc100", "p_size", "l_tax")
+LEVEL_SQL = "CASE WHEN y = 0 THEN 0 WHEN qty < 40 THEN 1 ELSE 2 END"
+
+
+def _one_step(label: str, classes: int) -> str:
+    """Common tables: ``lv`` (the frame with ``label``) and ``step`` (each class's cut and the margins on both sides)."""
+    p, outputs = 1 / classes, (1,) if classes == 2 else range(classes)
+    h = p * (1 - p) * (1 if classes == 2 else 2)
+    cells = " UNION ALL ".join(
+        f"SELECT {k} AS k, {i} AS i, CAST({c} AS DOUBLE) AS x, sum(CAST({p!r} AS DOUBLE) - CAST(label = {k} AS INTEGER)) AS g, sum(CAST({h!r} AS DOUBLE)) AS h "
+        f"FROM lv WHERE dataset = 'train' GROUP BY {c}"
+        for k in outputs for i, c in enumerate(STEP_FEATURES)
+    )
+    return f""", lv AS (SELECT *, {label} AS label FROM frame),
+      cells AS ({cells}),
+      cum AS (SELECT k, i, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY k, i) AS ga, sum(h) OVER (PARTITION BY k, i) AS ha
+              FROM cells WINDOW w AS (PARTITION BY k, i ORDER BY x)),
+      gains AS (SELECT *, gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1) AS gain FROM cum
+                WHERE hl >= 1 AND ha - hl >= 1),
+      step AS (SELECT k, i, x AS cut, -0.3 * gl / (hl + 1) AS lo, -0.3 * (ga - gl) / (ha - hl + 1) AS hi FROM gains
+               QUALIFY row_number() OVER (PARTITION BY k ORDER BY gain DESC, i, x) = 1)"""
+
+
+def _margin(k: int) -> str:
+    value = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(STEP_FEATURES))
+    return f"(SELECT CASE WHEN CASE i {value} END <= cut THEN lo ELSE hi END FROM step WHERE k = {k})"
+
+
+_THREE = ", m AS (SELECT *, {}, {}, {} FROM lv), e AS (SELECT *, exp(m0) + exp(m1) + exp(m2) AS z FROM m)".format(
+    *(f"{_margin(k)} AS m{k}" for k in range(3))
+)
+
+
+def _step_settings():
+    return models.boosted(rounds=1, depth=1, rate=0.3, row_share=1.1, column_share=1.0)
+
+
+@query(
+    "boosted_first_round",
+    with_frame(
+        f"""{_one_step("y", 2)} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+          round(1 / (1 + exp(-{_margin(1)})), 5) AS predict_xgb, 0.0 AS predict_rf FROM lv"""
+    ),
+)
+def boosted_first_round(spark, sf):
+    rows = _rows(spark, sf)
+    model = models.fit_model(_train(rows), STEP_FEATURES, "y", "xgb", _step_settings())
+    lacking = models.FittedModel("rf", ["not_there"], [])
+    return models.batch_predict(rows, [model, lacking]).select(*KEY, "predict_xgb", "predict_rf")
+
+
+@query(
+    "boosted_first_round_multiclass",
+    with_frame(
+        f"""{_one_step(LEVEL_SQL, 3)}{_THREE} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+          round(exp(m0) / z, 6) AS none, round(exp(m1) / z, 6) AS small, round(exp(m2) / z, 6) AS large,
+          CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS guess FROM e"""
+    ),
+)
+def boosted_first_round_multiclass(spark, sf):
+    rows = _three_levels(_rows(spark, sf))
+    model = models.fit_multiclass(_train(rows), STEP_FEATURES, "level", ["none", "small", "large"], _step_settings())
+    names = model.probability_columns()
+    scored = model.score_multiclass(rows)
+    return scored.select(*KEY, *[F.round(names[i], 6).alias(c) for i, c in enumerate(model.classes)], F.col("xgb_y_pred").alias("guess"))
+
+
+@query(
+    "learning_curve_first_round",
+    with_frame(
+        f"""{_one_step(LEVEL_SQL, 3)}{_THREE} SELECT dataset, 1 AS round,
+          round(avg(-ln(CASE label WHEN 0 THEN exp(m0) WHEN 1 THEN exp(m1) ELSE exp(m2) END / z)), 6) AS loss,
+          round(avg(CAST(label <> CASE WHEN m0 >= m1 AND m0 >= m2 THEN 0 WHEN m1 >= m2 THEN 1 ELSE 2 END AS INTEGER)), 6) AS error
+          FROM e GROUP BY dataset"""
+    ),
+)
+def learning_curve_first_round(spark, sf):
+    rows = _three_levels(_rows(spark, sf))
+    model = models.fit_multiclass(_train(rows), STEP_FEATURES, "level", ["none", "small", "large"], _step_settings())
+    return rounded(models.learning_curve(rows, model, "level"), "loss", "error")
+
+
 @query("train_forest")
 def train_forest(spark, sf):
     rows = _rows(spark, sf)

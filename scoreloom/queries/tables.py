@@ -150,7 +150,8 @@ def _tree(df: DataFrame) -> models.FittedModel:
     return models.fit_model(df.filter("dataset = 'train'"), ["qty", "disc100", "p_size"], "y", "dt")
 
 
-@query("model_roundtrip")
+# a stored model scores exactly as before, whatever it has learned
+@query("model_roundtrip", with_frame("SELECT dataset, count(*) AS n, 0.0 AS max_difference FROM frame GROUP BY dataset"))
 def model_roundtrip(spark, sf):
     rows = frame(spark, sf)
     path = new_path(spark, "model")
