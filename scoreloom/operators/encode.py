@@ -318,6 +318,7 @@ def _rule(spec: Mapping[str, Any]) -> Column:
         return ratio(spec["raw_col_left"], spec["raw_col_right"])
     x, cut = q(spec["raw_col"]), spec["cutpoint"]
     low, high = cut if isinstance(cut, (list, tuple)) else (cut, cut)
+    # Names of the rule types.
     conditions = {
         "single": x == F.lit(low),
         "less_than": x < F.lit(low),
@@ -361,6 +362,7 @@ def feature_labels(df: DataFrame, feature: str) -> DataFrame:
     prefix = F.when(dummy, head(names.DUMMY)).when(stump, head(tree)).otherwise(name)
     suffix = F.when(dummy, tail(names.DUMMY)).when(stump, F.concat(F.lit("> "), tail(tree))).otherwise("")
     readable = F.replace(F.replace(prefix, F.lit(names.BINNED), F.lit("")), F.lit(names.DIV_RATIO), F.lit(" / "))
+    # Names of the added columns.
     return df.select(
         "*",
         readable.alias("mouchard_name"),

@@ -59,3 +59,20 @@ def test_codes_of_many_values_in_order(spark):
     df = spark.range(3000).select(F.concat(F.lit("v"), F.col("id")).alias("s"))
     codes = {r.label: r.code for r in encode.code_table(df, "s", "code", "label").collect()}
     assert codes == {s: i for i, s in enumerate(sorted(f"v{i}" for i in range(3000)))}
+
+
+def test_deciles_of_more_datasets_than_columns_could_hold(spark):
+    rows = [(f"d{d}" if d else None, float((i * 7 + d) % 23) if i % 9 else None, i % 2) for d in range(151) for i in range(40)]
+    df = spark.createDataFrame(rows, "d string, x double, y int")
+    got = {(r["d"], r["decile"]): (r["volume"], r["rate"]) for r in report.decile_rates(df, "x", "y", "d").collect()}
+    assert {d for d, _ in got} == {f"d{d}" for d in range(1, 151)}
+    for name in ("d1", "d77", "d150"):
+        alone = {r["decile"]: (r["volume"], r["rate"]) for r in report.decile_rates(df.filter(F.col("d") == name), "x", "y").collect()}
+        assert {k: v for (d, k), v in got.items() if d == name} == alone
+
+
+def test_bins_of_several_columns_equal_those_of_one(spark):
+    df = spark.range(300).select("id", (F.col("id") * 37 % 101).alias("a"), F.lit(None).cast("double").alias("b"))
+    both = ordering.several_quantile_bins(df, {"a": (10, "p"), "b": (4, "z")})
+    assert both.select("id", "p").exceptAll(ordering.quantile_bins(df, "a", 10, "p").select("id", "p")).count() == 0
+    assert both.filter("z is not null").count() == 0
