@@ -251,15 +251,11 @@ def row_number_both(
 ) -> DataFrame:
     """Row number per group from both ends.
 
-    A hot group is numbered in parallel: each range of the leading order column is numbered on
-    its own and shifted by the sizes of the ranges before it. ``order_by`` must identify a row
-    within its group. Rows with a null key belong to no group and get no number.
+    Rows are dealt out by ranges of keys and all order columns, so a hot group, and one of equal leading values too, is
+    numbered in parallel: each range on its own, shifted by the sizes of the group's ranges before it. ``order_by`` must
+    identify a row within its group. Rows with a null key belong to no group and get no number.
     """
-    lead = order_by[0]
-    numeric = F.unix_micros(q(lead).cast("timestamp")) if _is_time(df, lead) else q(lead)
-    rows = df.withColumn("_lead", numeric.cast("double"))
-    ranged = with_range(rows, "_lead", range_splits(rows, "_lead", ranges))
-    ranged = ranged.withColumn("_range", F.coalesce(F.col("_range"), F.lit(-1)))
+    ranged = _dealt_by_range(df, [*keys, *order_by], ranges)
     sizes = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*keys)
     sizes = sizes.select(
@@ -279,8 +275,11 @@ def row_number_both(
     )
 
 
-def _is_time(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() in ("date", "timestamp", "timestamp_ntz")
+def _dealt_by_range(df: DataFrame, columns: Sequence[str], ranges: int | None = None) -> DataFrame:
+    """The rows with the number of their range of all the columns; stored, as a range is cut by a sample of this run."""
+    cut = [q(c) for c in columns]
+    dealt = df.repartitionByRange(ranges, *cut) if ranges else df.repartitionByRange(*cut)
+    return materialize(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def first_rows(

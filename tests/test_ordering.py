@@ -83,6 +83,14 @@ def test_row_numbers_of_a_hot_group_and_null_keys(spark):
     assert got[999] == (None, None)
 
 
+def test_one_key_and_one_date_are_numbered_by_many_tasks(spark):
+    df = spark.range(8000).select(F.lit("k").alias("k"), F.lit("2024-01-01").alias("t"), (F.col("id") * 7919 % 8009).alias("id"))
+    dealt = ordering._dealt_by_range(df, ["k", "t", "id"], 8).groupBy("_range").count().collect()
+    assert len(dealt) == 8 and max(r["count"] for r in dealt) <= 2000
+    got = ordering.row_number_both(df, ["k"], ["t", "id"], ranges=8).orderBy("id").collect()
+    assert [(r["RN1"], r["RN_1"]) for r in got] == [(i + 1, 8000 - i) for i in range(8000)]
+
+
 @pytest.mark.parametrize("small_rows", [7, 10**9])
 def test_first_rows_takes_exactly_n(values, small_rows):
     df, rows = values
