@@ -33,10 +33,22 @@ def _fit(rows: DataFrame, kind: str, **settings) -> models.FittedModel:
     return models.fit_model(_train(rows), NUMERIC_FEATURES, "y", kind, estimator)
 
 
+#: Boosted models at full length by session, data and target; several queries show what one fit gives.
+_fitted: dict[tuple[str, str, str], models.FittedModel] = {}
+
+
+def _boosted(spark, sf: str, target: str) -> tuple[DataFrame, models.FittedModel]:
+    """The rows and the boosted model of ``y`` or of the three levels, fitted once in a session."""
+    rows = _rows(spark, sf) if target == "y" else _three_levels(_rows(spark, sf))
+    key = spark.sparkContext.applicationId, sf, target
+    if key not in _fitted:
+        _fitted[key] = _fit(rows, "xgb") if target == "y" else _fit_levels(rows)
+    return rows, _fitted[key]
+
+
 @query("train_boosted")
 def train_boosted(spark, sf):
-    rows = _rows(spark, sf)
-    return models.validate_splits(rows, _fit(rows, "xgb"), "y")
+    return models.validate_splits(*_boosted(spark, sf, "y"), "y")
 
 
 #: One round of one-level trees on columns of few values, which SQL can follow; 0.3 of each step is taken.
@@ -153,14 +165,12 @@ def _fit_levels(rows: DataFrame, **settings) -> models.FittedModel:
 
 @query("train_boosted_multiclass")
 def train_boosted_multiclass(spark, sf):
-    rows = _three_levels(_rows(spark, sf))
-    return models.validate_splits(rows, _fit_levels(rows), "level")
+    return models.validate_splits(*_boosted(spark, sf, "level"), "level")
 
 
 @query("score_multiclass")
 def score_multiclass(spark, sf):
-    rows = _three_levels(_rows(spark, sf))
-    model = _fit_levels(rows)
+    rows, model = _boosted(spark, sf, "level")
     scored = materialize(model.score_multiclass(rows), "scores")
     columns = {c: c.replace("proba_for_criterion_class", "criterion_decil_class") for c in model.probability_columns().values()}
     return models.score_deciles(scored, columns).select(*KEY, "xgb_y_pred", *columns, *columns.values())
@@ -181,15 +191,14 @@ def top_features(spark, sf):
 
 @query("learning_curve")
 def learning_curve(spark, sf):
-    rows = _rows(spark, sf)
-    model = _fit(rows, "xgb")
+    rows, model = _boosted(spark, sf, "y")
     return models.learning_curve(rows.filter("dataset in ('train', 'test')"), model, "y")
 
 
 @query("learning_curve_multiclass")
 def learning_curve_multiclass(spark, sf):
-    rows = _three_levels(_rows(spark, sf))
-    return models.learning_curve(rows.filter("dataset in ('train', 'test')"), _fit_levels(rows), "level")
+    rows, model = _boosted(spark, sf, "level")
+    return models.learning_curve(rows.filter("dataset in ('train', 'test')"), model, "level")
 
 
 @query("score")
