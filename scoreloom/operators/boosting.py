@@ -1,9 +1,11 @@
 """Boosted trees for two or more classes: second-order histograms, all classes of a round grown together.
 
-Features are cut into quantile groups once and stored as one byte each. A level of all trees of a round is one pass: tasks add up
-gradients and curvatures by (tree, column, node, group), vectors of one tree and column are summed behind one shuffle,
-where their best cuts are found too, and the driver takes the best column of each node. Several models can be fitted in
-the same passes, each on all rows but one fold. Margins are stored every few rounds, so a pass evaluates few trees.
+Features are cut into quantile groups once and stored as one byte each, in blocks of an Arrow batch of rows that stay in the
+executors' memory or on their disks. A level of all trees of a round is one pass: tasks add up gradients and curvatures by
+(tree, column, node, group), vectors of one tree and column are summed behind one shuffle, where their best cuts are found
+too, and the driver takes the best column of each node. Where each tree has drawn one column, the sums of its groups hold
+those of all its nodes, and a round is one pass. Several models can be fitted in the same passes, each on all rows but one
+fold. Margins are stored every few rounds, so a pass evaluates few trees.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ from scoreloom.session import delete_path, new_path
 STORED_EVERY = 10
 #: A gain must be larger than this.
 LEAST_GAIN = 1e-6
+#: A group is stored in one byte.
+MOST_GROUPS = 256
 
 
 @dataclass(frozen=True)
@@ -69,7 +74,14 @@ class Tree:
         return at
 
     def values(self, groups: np.ndarray) -> np.ndarray:
-        return self.value[self.nodes(groups, int(np.log2(len(self.value) + 1)) - 1)]
+        levels = int(np.log2(len(self.value) + 1)) - 1
+        used = np.unique(self.column[self.column >= 0])
+        if len(used) > 1:
+            return self.value[self.nodes(groups, levels)]
+        # one column decides, so a group's value is looked up
+        own = int(used[0]) if len(used) else 0
+        each = np.arange(MOST_GROUPS)
+        return self.value[self.nodes(np.broadcast_to(each, (own + 1, len(each))), levels)][groups[own]]
 
 
 @dataclass
@@ -197,18 +209,17 @@ def best_cuts(sums: np.ndarray, settings: Settings) -> Iterator[tuple[int, float
 
 @dataclass(frozen=True)
 class _Layout:
-    """How rows are stored: label, fold, hash, groups (a byte each) and margins (models x outputs)."""
+    """How a block of rows is stored: labels, folds, hashes, groups (a byte each; columns x rows) and margins (models x outputs x rows),
+    which are empty before the first trees are added."""
 
     width: int
     models: int
     outputs: int
 
-    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        n = batch.num_rows
-        y, fold, draw = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        groups = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(n, self.width).T
-        margins = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<f8").reshape(n, self.models, self.outputs)
-        return y, fold, draw, groups, margins.transpose(1, 2, 0)
+    def read(self, block: Sequence[bytes]) -> tuple[np.ndarray, ...]:
+        y, fold, draw, groups, margins = (np.frombuffer(part, dtype=kind) for part, kind in zip(block, _KINDS))
+        shape = self.models, self.outputs, len(y)
+        return y, fold, draw, groups.reshape(self.width, -1), margins.reshape(shape) if len(margins) else np.zeros(shape)
 
 
 @dataclass(frozen=True)
@@ -216,35 +227,46 @@ class _Rows:
     path: str
     table: DataFrame
     layout: _Layout
+    blocks: RDD
 
+    def free(self) -> None:
+        self.blocks.unpersist()
+        delete_path(self.table.sparkSession, self.path)
 
-_STORED = "y int, fold int, draw long, groups binary, margins binary"
+
+_STORED = "y binary, fold binary, draw binary, groups binary, margins binary"
+_NAMES = [f.split()[0] for f in _STORED.split(", ")]
+_KINDS = ("<i4", "<i4", "<i8", "u1", "<f8")
+
+
+def _block(parts: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """One row that holds a block."""
+    packed = [pa.array([part.astype(kind).tobytes()], pa.binary()) for part, kind in zip(parts, _KINDS)]
+    return pa.RecordBatch.from_arrays(packed, _NAMES)
 
 
-def _stored(df: DataFrame) -> tuple[str, DataFrame]:
+def _stored(df: DataFrame, layout: _Layout) -> _Rows:
     path = new_path(df.sparkSession, "boosting")
     df.write.parquet(path)
-    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    blocks = table.rdd.map(lambda row: tuple(bytes(part) for part in row))
+    return _Rows(path, table, layout, blocks.persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def _prepared(df: DataFrame, cuts: list[list[float]], features: Sequence[str], target: str, fold: Column, models: int, outputs: int) -> _Rows:
     edges = [np.array(c) for c in cuts]
-    start = np.zeros(models * outputs, dtype="<f8").tobytes()
     # rows are hashed with all their columns, so that keys tell equal features apart
-    carry = {"y": q(target).cast("int"), "fold": fold.cast("int"), "draw": F.xxhash64(*[q(c) for c in df.columns])}
+    carry = {"y": q(target).cast("int"), "fold": F.coalesce(fold.cast("int"), F.lit(-1)), "draw": F.xxhash64(*[q(c) for c in df.columns])}
     rows = doubles(df.filter(q(target).isNotNull()), features, carry)
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            groups = np.stack([group_of(x, e) for x, e in zip(matrix(batch, 3), edges)]).astype(np.uint8).T.copy()
-            packed = pa.array([row.tobytes() for row in groups], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed, pa.array([start] * len(groups), pa.binary())], _NAMES)
+            if batch.num_rows:
+                carried = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                groups = np.stack([group_of(x, e) for x, e in zip(matrix(batch, 3), edges)])
+                yield _block([*carried, groups, np.zeros(0)])
 
-    path, table = _stored(rows.mapInArrow(run, _STORED))
-    return _Rows(path, table, _Layout(len(features), models, outputs))
-
-
-_NAMES = [f.split()[0] for f in _STORED.split(", ")]
+    return _stored(rows.mapInArrow(run, _STORED), _Layout(len(features), models, outputs))
 
 
 def _advanced(margins: np.ndarray, groups: np.ndarray, pending: Sequence[Sequence[Sequence[Tree]]]) -> np.ndarray:
@@ -264,24 +286,24 @@ def _with_margins(rows: _Rows, pending: list) -> _Rows:
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            _, _, _, groups, margins = layout.read(batch)
-            packed = _advanced(margins, groups, pending).transpose(2, 0, 1).reshape(batch.num_rows, -1).astype("<f8")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([r.tobytes() for r in packed], pa.binary())], _NAMES)
+            for block in zip(*(c.to_pylist() for c in batch.columns)):
+                *kept, groups, margins = layout.read(block)
+                yield _block([*kept, groups, _advanced(margins, groups, pending)])
 
-    path, table = _stored(rows.table.mapInArrow(run, _STORED))
-    delete_path(table.sparkSession, rows.path)
-    return _Rows(path, table, layout)
+    out = _stored(rows.table.mapInArrow(run, _STORED), layout)
+    rows.free()
+    return out
 
 
-def _level(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[np.ndarray], level: int, round_: int, settings: Settings) -> list:
-    """One pass: for each tree (model, output) and node of a level the best cut over the drawn columns."""
+def _passed(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[np.ndarray], level: int, round_: int, settings: Settings, found) -> list:
+    """One pass: what ``found(sums)`` yields for the sums (nodes, 2, groups) of each tree (model, output) and drawn column."""
     nodes, first, groups_n, layout = 2**level, 2**level - 1, settings.groups, rows.layout
 
-    def run(batches: Batches) -> Batches:
+    def run(blocks: Iterator[Sequence[bytes]]) -> Iterator[tuple]:
         sums: dict[tuple[int, int, int], np.ndarray] = {}
-        for batch in batches:
-            y, fold, draw, groups, margins = layout.read(batch)
-            drawn = _drawn_rows(draw, settings, round_)
+        for block in blocks:
+            y, fold, draw, groups, margins = layout.read(block)
+            drawn = np.flatnonzero(_drawn_rows(draw, settings, round_))
             y, fold, groups, margins = y[drawn], fold[drawn], groups[:, drawn], margins[:, :, drawn]
             margins = _advanced(margins, groups, pending)
             for m in range(layout.models):
@@ -295,20 +317,47 @@ def _level(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[np
                         both = np.stack([np.bincount(cell, s[k, used], nodes * groups_n) for s in (g, h)])
                         key = m, k, c
                         sums[key] = sums[key] + both if key in sums else both
-        if sums:
-            vectors = [s.reshape(2, nodes, groups_n).transpose(1, 0, 2).ravel() for s in sums.values()]
-            yield vector_rows(list(sums), vectors, ["m", "k", "c"])
+        for key, both in sums.items():
+            yield key, both.reshape(2, nodes, groups_n).transpose(1, 0, 2)
+
+    def finish(item: tuple) -> list[tuple]:
+        return [(*item[0], *rest) for rest in found(item[1])]
+
+    tasks = min(layout.models * sum(map(len, columns)), rows.blocks.getNumPartitions())
+    return rows.blocks.mapPartitions(run).reduceByKey(np.add, max(1, tasks)).flatMap(finish).collect()
 
-    def finish(key: tuple, vector: np.ndarray) -> Iterator[tuple]:
-        for node, *best in best_cuts(vector.reshape(nodes, 2, groups_n), settings):
+
+def _level(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[np.ndarray], level: int, round_: int, settings: Settings) -> list:
+    """One pass: for each tree (model, output) and node of a level the best cut over the drawn columns, as (m, k, c, level, node, cut)."""
+
+    def found(sums: np.ndarray) -> Iterator[tuple]:
+        for node, *best in best_cuts(sums, settings):
+            if best[-1] > 0:
+                yield level, node, best
+
+    return _passed(rows, pending, trees, columns, level, round_, settings, found)
+
+
+def column_cuts(sums: np.ndarray, settings: Settings) -> Iterator[tuple[int, int, list]]:
+    """All cuts of a tree over one column, as (level, node, cut), from its sums (1, 2, groups)."""
+    groups = np.arange(settings.groups)
+    held = {0: np.ones(settings.groups, dtype=bool)}
+    for level in range(settings.depth):
+        below: dict[int, np.ndarray] = {}
+        for node, inside in held.items():
+            ((_, *best),) = best_cuts(np.where(inside, sums, 0), settings)
             if best[-1] > 0:
-                yield *key, node, *best
+                yield level, node, best
+            gain, group, missing_left, *_ = best
+            if gain > 0:
+                left = np.where(groups == 0, missing_left, groups <= group)
+                below |= {2 * node: inside & left, 2 * node + 1: inside & ~left}
+        held = below
 
-    parts = rows.table.mapInArrow(run, "m long, k long, c long, vector binary")
-    schema = (
-        "m long, k long, c long, node long, gain double, group long, missing_left boolean, left_g double, left_h double, g double, h double"
-    )
-    return merged(parts, ["m", "k", "c"], np.add, finish, schema).collect()
+
+def _whole(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[np.ndarray], round_: int, settings: Settings) -> list:
+    """One pass for all levels of trees that have drawn one column each."""
+    return _passed(rows, pending, trees, columns, 0, round_, settings, lambda sums: column_cuts(sums, settings))
 
 
 def _grown(rows: _Rows, pending: list, round_: int, settings: Settings, gains: list[dict[int, list[float]]]) -> list[list[Tree]]:
@@ -318,25 +367,29 @@ def _grown(rows: _Rows, pending: list, round_: int, settings: Settings, gains: l
     def leaf(g: float, h: float) -> float:
         return -settings.rate * g / (h + settings.penalty)
 
-    for level in range(settings.depth):
-        best: dict[tuple[int, int, int], tuple] = {}
-        for r in _level(rows, pending, trees, columns, level, round_, settings):
-            key = r["m"], r["k"], r["node"]
-            found = (r["gain"], -r["c"], r)
-            if key not in best or found[:2] > best[key][:2]:
-                best[key] = found
-        cut = False
-        for (m, k, node), (gain, _, r) in best.items():
+    def add(cuts: list) -> bool:
+        """Enter the best cuts of nodes whose parents are known; whether there was one."""
+        best: dict[tuple[int, int, int, int], tuple] = {}
+        for m, k, c, level, node, cut in cuts:
+            key = level, m, k, node
+            if key not in best or (cut[0], -c) > best[key][:2]:
+                best[key] = (cut[0], -c, cut)
+        for (level, m, k, node), (_, c, (gain, group, missing_left, left_g, left_h, g, h)) in sorted(best.items(), key=lambda x: x[0]):
             tree, at = trees[m][k], 2**level - 1 + node
             if level == 0:
-                tree.value[at] = leaf(r["g"], r["h"])
+                tree.value[at] = leaf(g, h)
             if gain > 0:
-                cut = True
-                tree.column[at], tree.group[at], tree.missing_left[at] = r["c"], r["group"], r["missing_left"]
-                tree.value[2 * at + 1] = leaf(r["left_g"], r["left_h"])
-                tree.value[2 * at + 2] = leaf(r["g"] - r["left_g"], r["h"] - r["left_h"])
-                gains[m].setdefault(int(r["c"]), []).append(gain)
-        if not cut:
+                tree.column[at], tree.group[at], tree.missing_left[at] = -c, group, missing_left
+                tree.value[2 * at + 1] = leaf(left_g, left_h)
+                tree.value[2 * at + 2] = leaf(g - left_g, h - left_h)
+                gains[m].setdefault(-c, []).append(gain)
+        return any(found[0] > 0 for found in best.values())
+
+    if all(len(c) == 1 for c in columns):
+        add(_whole(rows, pending, trees, columns, round_, settings))
+        return trees
+    for level in range(settings.depth):
+        if not add(_level(rows, pending, trees, columns, level, round_, settings)):
             break
     return trees
 
@@ -354,7 +407,7 @@ def fit(
     """Models for classes coded from 0: with ``folds``, one on all rows but those of each fold, and last one on all rows.
 
     ``fold`` numbers the folds from 0. ``cuts`` may come from ``feature_cuts``. A round takes one pass per level, whatever the
-    number of classes and folds.
+    number of classes and folds, and one in all where a tree draws a single column.
     """
     features = list(features)
     found = cuts or feature_cuts(df.filter(q(target).isNotNull()), features, settings)
@@ -370,7 +423,7 @@ def fit(
         pending.append(trees)
         for model, own in zip(models, trees):
             model.rounds.append(own)
-    delete_path(df.sparkSession, rows.path)
+    rows.free()
     return models
 
 

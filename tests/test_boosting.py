@@ -86,6 +86,22 @@ def test_a_level_is_one_pass_whatever_the_classes(spark, monkeypatch):
         assert len(passes) == PLAIN.rounds * PLAIN.depth
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_a_tree_of_one_column_takes_one_pass(spark, classes):
+    x, y = table()
+    y = np.minimum(y, classes - 1)
+    deep = boosting.Settings(rounds=3, depth=4, rate=0.3, row_share=1.1, column_share=0.1)
+    df = frame(spark, x, y).select("id", "a", "y")
+    cuts = boosting.feature_cuts(df, ["a"])
+    spark.sparkContext.setJobGroup(f"one-column-{classes}", "boosting")
+    model = boosting.fit(df, ["a"], "y", classes, deep, cuts=cuts)[-1]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"one-column-{classes}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= deep.rounds + 2
+    want = boosting.probabilities(plain_margins(x[:1], y, classes, deep))
+    assert np.allclose(model.probabilities(x[:1]), want, atol=1e-9)
+
+
 def test_stored_margins_change_nothing(spark, monkeypatch):
     x, y = table()
     df = frame(spark, x, y).repartition(1).sortWithinPartitions("id")
