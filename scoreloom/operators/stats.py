@@ -352,7 +352,7 @@ def stump_split(df: DataFrame, column: str, target: str) -> dict | None:
     if not best:
         return None
     left = best[0]
-    above = df.filter(y.isNotNull() & (q(column) > F.lit(left["x"]))).agg(
+    above = curve.filter(q(column) > F.lit(left["x"])).agg(
         F.min(q(column)).alias("lo"), F.max(q(column)).alias("hi")
     ).first()
     left_class = int(2 * left["p"] > left["n"])
@@ -371,8 +371,9 @@ def stump_feature(df: DataFrame, columns: Sequence[str], target: str) -> DataFra
     A column whose two sides have the same majority gets none.
     """
     added = []
+    narrow = materialize(df.select(*[q(c) for c in names.unique([target, *columns])]), "stumps")
     for c in columns:
-        split = stump_split(df, c, target)
+        split = stump_split(narrow, c, target)
         if split is None or split["left"] == split["right"]:
             continue
         low = q(c) <= F.lit(split["cut"])
