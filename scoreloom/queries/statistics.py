@@ -311,7 +311,7 @@ def multiclass_metrics(spark, sf):
     ),
 )
 def data_drift(spark, sf):
-    rows = frame(spark, sf)
+    rows = materialize(frame(spark, sf).select("dataset", "y", *NUMERIC_FEATURES), "frame")
     weights = stats.corr_with_target(rows, NUMERIC_FEATURES, "y").select(
         F.col("feature").alias("columns"), F.abs("r").alias("importances")
     )
