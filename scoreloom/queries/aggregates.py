@@ -8,6 +8,7 @@ from scoreloom.operators import aggregates, encode, models, ordering, profile, r
 from scoreloom.queries.catalog import query
 from scoreloom.queries.frame import KEY, NUMERIC_FEATURES, frame, r6, rounded, table, with_frame
 from scoreloom.queries.rows import BANDS_SQL, CUT_OFFS
+from scoreloom.session import materialize
 
 BANDS = ["(-0.001, 0.2]", "(0.2, 0.35]", "(0.35, 0.5]", "(0.5, 1.0]"]
 
@@ -316,7 +317,7 @@ _EDA2 = {"qty": "int", "l_returnflag": "string"}
     ),
 )
 def eda_compare(spark, sf):
-    rows = frame(spark, sf)
+    rows = materialize(frame(spark, sf).select("dataset", *_EDA2), "frame")
     both = profile.eda_compare(rows.filter("dataset = 'train'"), rows, list(_EDA2))
     return rounded(both, *[f"{p}_{s}" for p in ("processed", "full") for s in _STATS])
 
