@@ -64,7 +64,11 @@ def _vectors(df: DataFrame, features: Sequence[str], target: str, assembler: Vec
     ``even`` deals the rows evenly to the tasks: stored tables of few files leave most tasks without rows.
     """
     rows = _training_rows(df, features, target)
-    held = (rows.hint("rebalance") if even else rows).persist(StorageLevel.MEMORY_AND_DISK)
+    if even:
+        # stored, because Spark joins small partitions of a shuffle for a written table, but not for a cached one
+        yield assembler.transform(materialize(rows.hint("rebalance"), "training")).select(VECTOR, LABEL)
+        return
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield assembler.transform(held).select(VECTOR, LABEL)
     finally:

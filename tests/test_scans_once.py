@@ -42,11 +42,11 @@ def test_a_fit_computes_its_rows_once(counted, kind):
 
 
 def test_a_forest_gets_its_rows_dealt_evenly(spark):
-    rows = spark.range(0, 3000, 1, 1).select((F.col("id") % 7).alias("x"), (F.col("id") % 2).alias("y"))
-    lopsided = rows.union(rows.filter("x < 0")).union(rows.filter("x < 0"))
+    rows = spark.range(0, 600_000, 1, 1).select(F.xxhash64("id").cast("double").alias("x"), (F.col("id") % 2).alias("y"))
+    lopsided = rows.union(rows.filter("x is null"))
     with models._vectors(lopsided, ["x"], "y", models._vector(["f0"]), even=True) as even:
         sizes = even.rdd.glom().map(len).collect()
-    assert sum(sizes) == 3000 and max(sizes) < 1500
+    assert sum(sizes) == 600_000 and max(sizes) < 400_000 and len(sizes) <= 8
 
 
 def test_bands_and_stumps_compute_their_rows_once(counted):
