@@ -4,8 +4,9 @@ Features are cut into quantile groups once and stored as one byte each, in block
 executors' memory or on their disks. A level of all trees of a round is one pass: tasks add up gradients and curvatures by
 (tree, column, node, group), vectors of one tree and column are summed behind one shuffle, where their best cuts are found
 too, and the driver takes the best column of each node. Where each tree has drawn one column, the sums of its groups hold
-those of all its nodes, and a round is one pass. Several models can be fitted in the same passes, each on all rows but one
-fold. Margins are stored every few rounds, so a pass evaluates few trees.
+those of all its nodes, and a round is one pass; margins are then sums of one value per column and group, which are looked up.
+Several models can be fitted in the same passes, each on all rows but one fold. Other margins are stored every few rounds, so
+a pass evaluates few trees.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -73,15 +75,25 @@ class Tree:
             at = np.where(column >= 0, 2 * at + 2 - left, at)
         return at
 
-    def values(self, groups: np.ndarray) -> np.ndarray:
-        levels = int(np.log2(len(self.value) + 1)) - 1
+    @property
+    def levels(self) -> int:
+        return int(np.log2(len(self.value) + 1)) - 1
+
+    @cached_property
+    def by_group(self) -> tuple[int, np.ndarray] | None:
+        """Where one column decides: that column and the value of each of its groups. Ask for it once the tree is grown."""
         used = np.unique(self.column[self.column >= 0])
         if len(used) > 1:
-            return self.value[self.nodes(groups, levels)]
-        # one column decides, so a group's value is looked up
+            return None
         own = int(used[0]) if len(used) else 0
         each = np.arange(MOST_GROUPS)
-        return self.value[self.nodes(np.broadcast_to(each, (own + 1, len(each))), levels)][groups[own]]
+        return own, self.value[self.nodes(np.broadcast_to(each, (own + 1, len(each))), self.levels)]
+
+    def values(self, groups: np.ndarray) -> np.ndarray:
+        if self.by_group is None:
+            return self.value[self.nodes(groups, self.levels)]
+        own, value = self.by_group
+        return value[groups[own]]
 
 
 @dataclass
@@ -93,6 +105,7 @@ class Boosted:
     classes: int
     rounds: list[list[Tree]] = field(default_factory=list)
     gains: dict[int, list[float]] = field(default_factory=dict)
+    _parts: tuple[int, np.ndarray] | None = field(default=None, init=False, repr=False, compare=False)
 
     @property
     def outputs(self) -> int:
@@ -117,11 +130,24 @@ class Boosted:
 
     def probabilities(self, values: np.ndarray) -> np.ndarray:
         """Classes x rows."""
+        if (shares := self._shares()) is not None:
+            return probabilities(_of_shares(shares, self.groups(values)).T)
         margins = np.zeros((self.outputs, values.shape[1]))
         for margins in self.staged(values):
             pass
         return probabilities(margins)
 
+    def _shares(self) -> np.ndarray | None:
+        """The margins' parts by column, group and output, where one column decides each tree."""
+        if any(tree.by_group is None for trees in self.rounds for tree in trees):
+            return None
+        if self._parts is None or self._parts[0] != len(self.rounds):
+            shares = np.zeros((len(self.features), MOST_GROUPS, self.outputs))
+            for trees in self.rounds:
+                _add_shares(shares, trees)
+            self._parts = len(self.rounds), shares
+        return self._parts[1]
+
     def to_json(self) -> str:
         trees = [
             [[t.column.tolist(), t.group.tolist(), t.missing_left.tolist(), t.value.tolist()] for t in round_] for round_ in self.rounds
@@ -151,6 +177,22 @@ class Boosted:
         return scored.withColumns({name: F.col("_probabilities")[i] for i, name in out.items()}).drop("_probabilities")
 
 
+def _add_shares(shares: np.ndarray, trees: Sequence[Tree]) -> None:
+    """Add trees of one column each, one per output, to the margins' parts (columns, groups, outputs)."""
+    for k, tree in enumerate(trees):
+        own, value = tree.by_group
+        shares[own, :, k] += value[: shares.shape[1]]
+
+
+def _of_shares(shares: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """Margins (rows x outputs) as the sum of each column's part."""
+    out = np.zeros((groups.shape[1], shares.shape[2]))
+    for part, group in zip(shares, groups):
+        if part.any():
+            out += np.take(part, group, axis=0)
+    return out
+
+
 def probabilities(margins: np.ndarray) -> np.ndarray:
     if len(margins) == 1:
         p = 1 / (1 + np.exp(-margins))
@@ -177,8 +219,12 @@ def _drawn_rows(draw: np.ndarray, settings: Settings, round_: int) -> np.ndarray
     return (x ^ (x >> np.uint64(33))) / 2.0**64 < settings.row_share
 
 
+def _drawn_number(width: int, settings: Settings) -> int:
+    return max(1, int(settings.column_share * width))
+
+
 def _drawn_columns(width: int, settings: Settings, round_: int, output: int) -> np.ndarray:
-    n = max(1, int(settings.column_share * width))
+    n = _drawn_number(width, settings)
     return np.sort(np.random.default_rng([settings.seed, round_, output]).choice(width, n, replace=False))
 
 
@@ -216,10 +262,14 @@ class _Layout:
     models: int
     outputs: int
 
+    def rows(self, block: Sequence[bytes]) -> tuple[np.ndarray, ...]:
+        *kept, groups = (np.frombuffer(part, dtype=kind) for part, kind in zip(block[:4], _KINDS))
+        return *kept, groups.reshape(self.width, -1)
+
     def read(self, block: Sequence[bytes]) -> tuple[np.ndarray, ...]:
-        y, fold, draw, groups, margins = (np.frombuffer(part, dtype=kind) for part, kind in zip(block, _KINDS))
-        shape = self.models, self.outputs, len(y)
-        return y, fold, draw, groups.reshape(self.width, -1), margins.reshape(shape) if len(margins) else np.zeros(shape)
+        y, *rest = self.rows(block)
+        margins, shape = np.frombuffer(block[4], dtype=_KINDS[4]), (self.models, self.outputs, len(y))
+        return y, *rest, margins.reshape(shape) if len(margins) else np.zeros(shape)
 
 
 @dataclass(frozen=True)
@@ -321,10 +371,16 @@ def _passed(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[n
         for key, both in sums.items():
             yield key, both.reshape(2, nodes, groups_n).transpose(1, 0, 2)
 
+    return _summed(rows, run, columns, found)
+
+
+def _summed(rows: _Rows, run, columns: list[np.ndarray], found) -> list:
+    """What ``found`` yields for the sums of equal keys (model, output, column) that ``run`` yields for blocks."""
+
     def finish(item: tuple) -> list[tuple]:
         return [(*item[0], *rest) for rest in found(item[1])]
 
-    tasks = min(layout.models * sum(map(len, columns)), rows.blocks.getNumPartitions())
+    tasks = min(rows.layout.models * sum(map(len, columns)), rows.blocks.getNumPartitions())
     return rows.blocks.mapPartitions(run).reduceByKey(np.add, max(1, tasks)).flatMap(finish).collect()
 
 
@@ -356,12 +412,33 @@ def column_cuts(sums: np.ndarray, settings: Settings) -> Iterator[tuple[int, int
         held = below
 
 
-def _whole(rows: _Rows, pending: list, trees: list[list[Tree]], columns: list[np.ndarray], round_: int, settings: Settings) -> list:
-    """One pass for all levels of trees that have drawn one column each."""
-    return _passed(rows, pending, trees, columns, 0, round_, settings, lambda sums: column_cuts(sums, settings))
+def _whole(rows: _Rows, shares: np.ndarray, columns: list[np.ndarray], round_: int, settings: Settings) -> list:
+    """One pass for all levels of trees that have drawn one column each; ``shares`` holds the margins' parts of all models and outputs."""
+    layout = rows.layout
+
+    def run(blocks: Iterator[Sequence[bytes]]) -> Iterator[tuple]:
+        sums = np.zeros((layout.models, layout.outputs, 2, settings.groups))
+        for block in blocks:
+            y, fold, draw, groups = layout.rows(block)
+            drawn = np.flatnonzero(_drawn_rows(draw, settings, round_))
+            y, fold, groups = y[drawn], fold[drawn], groups[:, drawn]
+            margins = np.ascontiguousarray(_of_shares(shares, groups).T).reshape(layout.models, layout.outputs, -1)
+            cells = [groups[c].astype(np.intp) for (c,) in columns]
+            for m in range(layout.models):
+                learns = fold != m
+                for i, slopes in enumerate(_slopes(margins[m], y)):
+                    for k, cell in enumerate(cells):
+                        sums[m, k, i] += np.bincount(cell, slopes[k] * learns, settings.groups)
+        for m in range(layout.models):
+            for k, (c,) in enumerate(columns):
+                yield (m, k, int(c)), sums[m, k][None]
+
+    return _summed(rows, run, columns, lambda found: column_cuts(found, settings))
 
 
-def _grown(rows: _Rows, pending: list, round_: int, settings: Settings, gains: list[dict[int, list[float]]]) -> list[list[Tree]]:
+def _grown(
+    rows: _Rows, pending: list, shares: np.ndarray | None, round_: int, settings: Settings, gains: list[dict[int, list[float]]]
+) -> list[list[Tree]]:
     trees = [[Tree.empty(settings.depth) for _ in range(rows.layout.outputs)] for _ in range(rows.layout.models)]
     columns = [_drawn_columns(rows.layout.width, settings, round_, k) for k in range(rows.layout.outputs)]
 
@@ -386,8 +463,8 @@ def _grown(rows: _Rows, pending: list, round_: int, settings: Settings, gains: l
                 gains[m].setdefault(-c, []).append(gain)
         return any(found[0] > 0 for found in best.values())
 
-    if all(len(c) == 1 for c in columns):
-        add(_whole(rows, pending, trees, columns, round_, settings))
+    if shares is not None:
+        add(_whole(rows, shares, columns, round_, settings))
         return trees
     for level in range(settings.depth):
         if not add(_level(rows, pending, trees, columns, level, round_, settings)):
@@ -417,11 +494,15 @@ def fit(
     rows = _prepared(df, edges, features, target, fold if fold is not None else F.lit(-1), folds + 1, outputs)
     models = [Boosted(features, edges, classes) for _ in range(folds + 1)]
     pending: list[list[list[Tree]]] = []
+    shares = np.zeros((len(features), settings.groups, (folds + 1) * outputs)) if _drawn_number(len(features), settings) == 1 else None
     for round_ in range(settings.rounds):
         if len(pending) >= STORED_EVERY:
             rows, pending = _with_margins(rows, pending), []
-        trees = _grown(rows, pending, round_, settings, [m.gains for m in models])
-        pending.append(trees)
+        trees = _grown(rows, pending, shares, round_, settings, [m.gains for m in models])
+        if shares is None:
+            pending.append(trees)
+        else:
+            _add_shares(shares, [tree for own in trees for tree in own])
         for model, own in zip(models, trees):
             model.rounds.append(own)
     rows.free()
@@ -438,7 +519,7 @@ def staged_losses(df: DataFrame, model: Boosted, target: str, dataset: str) -> D
     names = sorted(r[0] for r in named.select(F.col(dataset)).distinct().collect() if r[0] is not None)
     code = F.array_position(F.array(*[F.lit(n) for n in names]), q(dataset)) - 1
     shared = df.sparkSession.sparkContext.broadcast(model.to_json())
-    rows = doubles(named.filter(q(dataset).isNotNull()), model.features, {"d": code.cast("int"), "y": q(target).cast("int")})
+    rows = doubles(named.filter(q(dataset).isNotNull()), model.features, {"d": code.cast("int"), "y": q(target).cast("int")}).hint("rebalance")
     n = len(model.rounds)
 
     def run(batches: Batches) -> Batches:
@@ -467,7 +548,7 @@ def out_of_fold(df: DataFrame, models: Sequence[Boosted], target: str, fold: Col
     """(y, predicted, n): each row's class by the model that has not seen its fold, counted."""
     shared = df.sparkSession.sparkContext.broadcast([m.to_json() for m in models])
     classes = models[0].classes
-    rows = doubles(df.filter(q(target).isNotNull()), models[0].features, {"fold": fold.cast("int"), "y": q(target).cast("int")})
+    rows = doubles(df.filter(q(target).isNotNull()), models[0].features, {"fold": fold.cast("int"), "y": q(target).cast("int")}).hint("rebalance")
 
     def run(batches: Batches) -> Batches:
         scorers = [Boosted.from_json(m) for m in shared.value]

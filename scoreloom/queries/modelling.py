@@ -171,7 +171,8 @@ def train_boosted_multiclass(spark, sf):
 @query("score_multiclass")
 def score_multiclass(spark, sf):
     rows, model = _boosted(spark, sf, "level")
-    scored = materialize(model.score_multiclass(rows), "scores")
+    # a stored table of few files would leave most tasks without rows
+    scored = materialize(model.score_multiclass(rows.hint("rebalance")), "scores")
     columns = {c: c.replace("proba_for_criterion_class", "criterion_decil_class") for c in model.probability_columns().values()}
     return models.score_deciles(scored, columns).select(*KEY, "xgb_y_pred", *columns, *columns.values())
 

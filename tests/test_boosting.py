@@ -102,6 +102,32 @@ def test_a_tree_of_one_column_takes_one_pass(spark, classes):
     assert np.allclose(model.probabilities(x[:1]), want, atol=1e-9)
 
 
+def test_trees_of_one_column_store_no_margins(spark, monkeypatch):
+    x, y = table()
+    one = boosting.Settings(rounds=12, depth=3, rate=0.3, row_share=1.1, column_share=0.1)
+    stored = []
+    advance = boosting._with_margins
+    monkeypatch.setattr(boosting, "_with_margins", lambda *a: stored.append(1) or advance(*a))
+    df = frame(spark, x, y)
+    cuts = boosting.feature_cuts(df, ["a", "b", "c"])
+    *held_out, whole = boosting.fit(df, ["a", "b", "c"], "y", 3, one, F.col("id") % 2, 2, cuts)
+    assert not stored
+    *_, staged = whole.staged(x)
+    assert np.allclose(whole.probabilities(x), boosting.probabilities(staged), atol=1e-12)
+    # the model of a fold is the one fitted on the other rows
+    for k, model in enumerate(held_out):
+        (rest,) = boosting.fit(df.filter(F.col("id") % 2 != k), ["a", "b", "c"], "y", 3, one, cuts=cuts)
+        assert np.allclose(model.probabilities(x), rest.probabilities(x), atol=1e-9)
+
+
+def test_scans_by_a_model_deal_their_rows(spark):
+    x, y = table()
+    df = frame(spark, x, y).withColumn("d", F.lit("train"))
+    model = boosting.fit(df, ["a", "b", "c"], "y", 3, PLAIN)[-1]
+    for scan in (boosting.staged_losses(df, model, "y", "d"), boosting.out_of_fold(df, [model], "y", F.lit(0))):
+        assert "RebalancePartitions" in scan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_stored_margins_change_nothing(spark, monkeypatch):
     x, y = table()
     df = frame(spark, x, y).repartition(1).sortWithinPartitions("id")
