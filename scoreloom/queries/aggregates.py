@@ -608,7 +608,8 @@ def top_correlated(spark, sf):
     with_frame("SELECT l_orderkey, y, CASE WHEN dataset = 'train' THEN score END AS score FROM frame"),
 )
 def union_splits(spark, sf):
-    rows = frame(spark, sf)
+    # stored, because each split of a joined frame would join again, and Spark gives a union of such joins to the same tasks
+    rows = materialize(frame(spark, sf).select("l_orderkey", "y", "score", "dataset"), "splits")
     train = rows.filter("dataset = 'train'").select("l_orderkey", "y", "score")
     others = [rows.filter(F.col("dataset") == d).select("y", "l_orderkey") for d in ("test", "t1", "t2", "t3")]
     return report.union_splits(train, *others)
@@ -622,7 +623,7 @@ def union_splits(spark, sf):
     ),
 )
 def labelled_union(spark, sf):
-    rows = frame(spark, sf)
+    rows = materialize(frame(spark, sf).select("l_orderkey", "y", "dataset").filter("dataset in ('train', 'test')"), "splits")
     parts = {n: rows.filter(F.col("dataset") == n.lower()).select("l_orderkey", "y") for n in ("Train", "Test")}
     return report.labelled_union(parts)
 

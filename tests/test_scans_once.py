@@ -66,3 +66,13 @@ def test_queries_compute_their_frame_once(spark, counted, monkeypatch, module, n
     monkeypatch.setattr(module, "frame", lambda *_: rows)
     assert getattr(module, name)(spark, "").collect()
     assert computed.value == N
+
+
+@pytest.mark.parametrize("name", ["labelled_union", "union_splits"])
+def test_unions_of_splits_compute_their_frame_once(spark, counted, monkeypatch, name):
+    rows, computed = counted
+    split = F.when(F.col("id") % 3 == 0, "test").otherwise("train")
+    rows = rows.withColumns({"l_orderkey": F.col("id"), "score": F.col("id") / N, "dataset": split})
+    monkeypatch.setattr(aggregates, "frame", lambda *_: rows)
+    assert len(getattr(aggregates, name)(spark, "").collect()) == N
+    assert computed.value == N
