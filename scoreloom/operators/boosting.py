@@ -122,18 +122,24 @@ class Boosted:
 
     def staged(self, values: np.ndarray) -> Iterator[np.ndarray]:
         """Margins (outputs x rows) after each round; ``values`` has a row per feature."""
-        groups = self.groups(values)
-        margins = np.zeros((self.outputs, values.shape[1]))
+        yield from self._staged(self.groups(values))
+
+    def _staged(self, groups: np.ndarray) -> Iterator[np.ndarray]:
+        margins = np.zeros((self.outputs, groups.shape[1]))
         for trees in self.rounds:
             margins = margins + np.stack([t.values(groups) for t in trees])
             yield margins
 
     def probabilities(self, values: np.ndarray) -> np.ndarray:
         """Classes x rows."""
+        return self.of_groups(self.groups(values))
+
+    def of_groups(self, groups: np.ndarray) -> np.ndarray:
+        """Classes x rows, where the values are cut into groups already."""
         if (shares := self._shares()) is not None:
-            return probabilities(_of_shares(shares, self.groups(values)).T)
-        margins = np.zeros((self.outputs, values.shape[1]))
-        for margins in self.staged(values):
+            return probabilities(_of_shares(shares, groups).T)
+        margins = np.zeros((self.outputs, groups.shape[1]))
+        for margins in self._staged(groups):
             pass
         return probabilities(margins)
 
@@ -303,7 +309,9 @@ def _stored(df: DataFrame, layout: _Layout) -> _Rows:
     return _Rows(path, table, layout, blocks.persist(StorageLevel.MEMORY_AND_DISK))
 
 
-def _prepared(df: DataFrame, cuts: list[list[float]], features: Sequence[str], target: str, fold: Column, models: int, outputs: int) -> _Rows:
+def _prepared(
+    df: DataFrame, cuts: list[list[float]], features: Sequence[str], target: str, fold: Column, models: int, outputs: int, even: bool
+) -> _Rows:
     edges = [np.array(c) for c in cuts]
     # rows are hashed with all their columns, so that keys tell equal features apart
     carry = {"y": q(target).cast("int"), "fold": F.coalesce(fold.cast("int"), F.lit(-1)), "draw": F.xxhash64(*[q(c) for c in df.columns])}
@@ -317,7 +325,8 @@ def _prepared(df: DataFrame, cuts: list[list[float]], features: Sequence[str], t
                 yield _block([*carried, groups, np.zeros(0)])
 
     # a stored table of few files would leave most tasks without rows
-    return _stored(rows.hint("rebalance").mapInArrow(run, _STORED), _Layout(len(features), models, outputs))
+    dealt = rows if even else rows.hint("rebalance")
+    return _stored(dealt.mapInArrow(run, _STORED), _Layout(len(features), models, outputs))
 
 
 def _advanced(margins: np.ndarray, groups: np.ndarray, pending: Sequence[Sequence[Sequence[Tree]]]) -> np.ndarray:
@@ -487,11 +496,60 @@ def fit(
     ``fold`` numbers the folds from 0. ``cuts`` may come from ``feature_cuts``. A round takes one pass per level, whatever the
     number of classes and folds, and one in all where a tree draws a single column.
     """
+    rows, models = _fitted(df, features, target, classes, settings, fold, folds, cuts, False)
+    rows.free()
+    return models
+
+
+def fit_and_test(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    classes: int,
+    settings: Settings,
+    fold: Column,
+    folds: int,
+    cuts: dict[str, list[float]] | None = None,
+) -> tuple[Boosted, np.ndarray]:
+    """The model on all rows, and how many rows of each class (first axis) the models that have not seen their fold give each
+    class. The rows are read once, from a table whose files are even; rows without a fold are not tested."""
+    rows, (*held_out, whole) = _fitted(df, features, target, classes, settings, fold, folds, cuts, True)
+    shared = df.sparkSession.sparkContext.broadcast([m.to_json() for m in held_out])
+    layout = rows.layout
+
+    def run(blocks: Iterator[Sequence[bytes]]) -> Iterator[np.ndarray]:
+        scorers = [Boosted.from_json(m) for m in shared.value]
+        counts = np.zeros((classes, classes), dtype=np.int64)
+        for block in blocks:
+            y, fold_of, _, groups = layout.rows(block)
+            for m, scorer in enumerate(scorers):
+                own = np.flatnonzero(fold_of == m)
+                if len(own):
+                    np.add.at(counts, (y[own], scorer.of_groups(groups[:, own]).argmax(axis=0)), 1)
+        yield counts
+
+    counts = rows.blocks.mapPartitions(run).fold(np.zeros((classes, classes), dtype=np.int64), np.add)
+    rows.free()
+    return whole, counts
+
+
+def _fitted(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    classes: int,
+    settings: Settings,
+    fold: Column | None,
+    folds: int,
+    cuts: dict[str, list[float]] | None,
+    even: bool,
+) -> tuple[_Rows, list[Boosted]]:
+    """The stored rows and the models of ``fit``; ``even`` says that the rows are dealt evenly already."""
     features = list(features)
     found = cuts or feature_cuts(df.filter(q(target).isNotNull()), features, settings)
     edges = [found[c] for c in features]
     outputs = 1 if classes == 2 else classes
-    rows = _prepared(df, edges, features, target, fold if fold is not None else F.lit(-1), folds + 1, outputs)
+    rows = _prepared(df, edges, features, target, fold if fold is not None else F.lit(-1), folds + 1, outputs, even)
     models = [Boosted(features, edges, classes) for _ in range(folds + 1)]
     pending: list[list[list[Tree]]] = []
     shares = np.zeros((len(features), settings.groups, (folds + 1) * outputs)) if _drawn_number(len(features), settings) == 1 else None
@@ -505,8 +563,7 @@ def fit(
             _add_shares(shares, [tree for own in trees for tree in own])
         for model, own in zip(models, trees):
             model.rounds.append(own)
-    rows.free()
-    return models
+    return rows, models
 
 
 def feature_cuts(df: DataFrame, features: Sequence[str], settings: Settings = Settings()) -> dict[str, list[float]]:

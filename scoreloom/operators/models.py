@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -393,14 +394,14 @@ def recursive_elimination(
     least = keep or max(1, min(100, len(features) // 2))
     settings = boosted(rounds=rounds)
     narrow = df.select(F.pmod(fold, F.lit(folds)).cast("int").alias("_fold"), q(target).alias("_target"), *[q(c) for c in features])
-    rows = materialize(narrow.filter("_target is not null"), "elimination")
+    # dealt evenly once, for all steps
+    rows = materialize(narrow.filter("_target is not null").hint("rebalance"), "elimination")
     cuts = boosting.feature_cuts(rows, list(features), settings)
     current, steps = list(features), []
     while True:
         kept = rows.select("_fold", "_target", *[q(c) for c in current])
-        *held_out, whole = boosting.fit(kept, current, "_target", classes, settings, F.col("_fold"), folds, cuts)
-        tested = boosting.out_of_fold(kept, held_out, "_target", F.col("_fold"))
-        steps.append([len(steps), len(current), _macro_f1(tested, classes), current])
+        whole, tested = boosting.fit_and_test(kept, current, "_target", classes, settings, F.col("_fold"), folds, cuts)
+        steps.append([len(steps), len(current), _macro_f1(tested), current])
         if len(current) <= least:
             break
         weights = whole.importances()
@@ -418,11 +419,11 @@ def best_features(steps: DataFrame) -> list[str]:
     return list(steps.filter("best").first()["features"])
 
 
-def _macro_f1(tested: DataFrame, classes: int) -> float:
-    counts = {(r["y"], r["predicted"]): r["n"] for r in tested.collect()}
+def _macro_f1(tested: np.ndarray) -> float:
+    """From the number of rows by class and predicted class."""
     total = 0.0
-    for c in range(classes):
-        hit = counts.get((c, c), 0)
-        wrong = sum(n for (y, p), n in counts.items() if (y == c) != (p == c))
+    for c in range(len(tested)):
+        hit = int(tested[c, c])
+        wrong = int(tested[c].sum() + tested[:, c].sum()) - 2 * hit
         total += 2 * hit / (2 * hit + wrong) if hit + wrong else 0.0
-    return total / classes
+    return total / len(tested)

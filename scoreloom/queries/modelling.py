@@ -230,15 +230,14 @@ def batch_predict(spark, sf):
 
 @query("recursive_elimination")
 def recursive_elimination(spark, sf):
-    steps = models.recursive_elimination(
-        _train(_rows(spark, sf)), NUMERIC_FEATURES, "y", F.col("bucket"), keep=3
-    )
+    # the elimination stores what it needs of the frame
+    steps = models.recursive_elimination(_train(frame(spark, sf)), NUMERIC_FEATURES, "y", F.col("bucket"), keep=3)
     return steps.withColumn("features", F.array_join("features", ","))
 
 
 @query("recursive_elimination_multiclass")
 def recursive_elimination_multiclass(spark, sf):
-    rows = _train(_three_levels(_rows(spark, sf)))
+    rows = _train(_three_levels(frame(spark, sf)))
     steps = models.recursive_elimination(rows, NUMERIC_FEATURES, "level", F.col("bucket"), keep=3, classes=3)
     return steps.withColumn("features", F.array_join("features", ","))
 

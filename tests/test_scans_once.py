@@ -1,11 +1,13 @@
 """Inputs that are dear to compute are computed once, whatever reads them afterwards."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.operators import models, stats
+from scoreloom.operators import boosting, models, stats
 from scoreloom.queries import aggregates, statistics
 from scoreloom.queries.frame import NUMERIC_FEATURES
+from scoreloom.session import materialize
 
 N = 300
 
@@ -76,3 +78,26 @@ def test_unions_of_splits_compute_their_frame_once(spark, counted, monkeypatch,
     monkeypatch.setattr(aggregates, "frame", lambda *_: rows)
     assert len(getattr(aggregates, name)(spark, "").collect()) == N
     assert computed.value == N
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_an_elimination_reads_its_rows_once_a_step(spark, monkeypatch, classes):
+    """Held-out rows are tested where the fit has stored them, and are dealt out once for all steps."""
+    rows = spark.range(N).select("id", *[(F.col("id") * (i + 3) % 41).alias(c) for i, c in enumerate(NUMERIC_FEATURES)])
+    rows = materialize(rows.withColumn("y", F.col("qty") % classes))
+    read, dealt = [], []
+    doubles, hint = boosting.doubles, type(rows).hint
+    monkeypatch.setattr(boosting, "doubles", lambda *a, **k: read.append(1) or doubles(*a, **k))
+    monkeypatch.setattr(type(rows), "hint", lambda self, name, *a: dealt.append(name) or hint(self, name, *a))
+    fold = F.xxhash64("id")
+    steps = models.recursive_elimination(rows, NUMERIC_FEATURES, "y", fold, keep=3, folds=3, rounds=2, classes=classes).collect()
+    assert len(read) == len(steps) == 2 and dealt == ["rebalance"]
+    monkeypatch.undo()
+    settings = models.boosted(rounds=2)
+    narrow = rows.select(F.pmod(fold, F.lit(3)).cast("int").alias("_fold"), F.col("y").alias("_target"), *NUMERIC_FEATURES)
+    *held_out, _ = boosting.fit(narrow, NUMERIC_FEATURES, "_target", classes, settings, F.col("_fold"), 3)
+    counts = np.zeros((classes, classes), dtype=int)
+    for r in boosting.out_of_fold(narrow, held_out, "_target", F.col("_fold")).collect():
+        counts[r["y"], r["predicted"]] = r["n"]
+    assert counts.sum() == N
+    assert steps[0]["f1_macro"] == models._macro_f1(counts)
