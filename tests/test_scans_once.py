@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.operators import boosting, models, stats
+from scoreloom.params import ScoringParams
+from scoreloom.plans import prepare
 from scoreloom.queries import aggregates, statistics
 from scoreloom.queries.frame import NUMERIC_FEATURES
 from scoreloom.session import materialize
@@ -101,3 +103,23 @@ def test_an_elimination_reads_its_rows_once_a_step(spark, monkeypatch, classes):
         counts[r["y"], r["predicted"]] = r["n"]
     assert counts.sum() == N
     assert steps[0]["f1_macro"] == models._macro_f1(counts)
+
+
+def test_preparation_stores_its_wide_frames_with_code_that_the_jvm_compiles(spark, monkeypatch):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    used = {}
+
+    def noted(df, name="stage"):
+        used[name] = int(spark.conf.get(limit))
+        return materialize(df, name)
+
+    monkeypatch.setattr(prepare, "materialize", noted)
+    rows = spark.range(1500).select(
+        "id", ((F.col("id") * 7) % 90).alias("a"), ((F.col("id") * 11) % 40 + 1).alias("b"), F.lit("2020-01").alias("obs"),
+        ((F.col("id") * 7) % 90 + F.pmod(F.hash("id"), F.lit(300)) > 190).cast("int").alias("y"),
+    )
+    params = ScoringParams(criterion_column="y", observation_date_column="obs", columns_to_exclude=["obs"])
+    before = spark.conf.get(limit)
+    prepared = prepare.prepare(rows, params, ["id"], bucket=F.col("id") * 7919)
+    assert prepared.features and used["prepared"] == used["clean"] == 8000
+    assert spark.conf.get(limit) == before
