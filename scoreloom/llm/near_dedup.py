@@ -149,18 +149,27 @@ def _in_order(rows: DataFrame) -> DataFrame:
 
 
 def _stars(crowd: DataFrame) -> DataFrame:
-    """Pairs of the ids of each crowd, at every depth, with the crowd's pivot."""
-    regions = [F.struct(F.lit(d).alias("depth"), _region("tree", "path", d).alias("region")) for d in LEVELS]
-    rows = crowd.select("id", "path", F.inline(F.array(*regions)))
-    paths = rows.groupBy("depth", "region", "path").agg(F.count(F.lit(1)).alias("n"))
-    crowds = paths.groupBy("depth", "region").agg(F.sum("n").alias("size"), F.max_by("path", F.struct("n", "path")).alias("path"))
-    crowds = materialize(crowds.filter(F.col("size") > CROWD).drop("size"), "crowds")
-    few = _small(crowds)
-    on_path = rows.join(few, ["depth", "region", "path"]).select("depth", "region", "id")
+    """Pairs of the ids of each crowd, at every depth, with the crowd's pivot.
+
+    Crowds are found on the number of classes by path; a class comes up once for each crowd it is in.
+    """
+    paths = materialize(crowd.groupBy("tree", "path").agg(F.count(F.lit(1)).alias("n")), "crowd-paths")
+    levels = [paths.select("tree", "path", "n", F.lit(d).alias("depth"), _region("tree", "path", d).alias("region")) for d in LEVELS]
+    by_region = reduce(DataFrame.unionByName, levels).groupBy("depth", "region")
+    crowds = by_region.agg(F.sum("n").alias("size"), F.max_by(F.struct("tree", "path"), F.struct("n", "path")).alias("most"))
+    crowds = materialize(crowds.filter(F.col("size") > CROWD).select("depth", "region", "most.*"), "crowds")
+    on_path = crowd.select("tree", "path", "id").join(_small(crowds), ["tree", "path"]).select("depth", "region", "id")
     # the middle of a crowd keeps to the path in most trees, a variant leaves it in some
     trees = on_path.withColumn("trees", F.count_if(F.col("depth") == LEVELS[0]).over(Window.partitionBy("id")))
     pivots = materialize(trees.groupBy("depth", "region").agg(F.max_by("id", F.struct("trees", -F.col("id"))).alias("pivot")), "pivots")
-    return rows.select("depth", "region", "id").join(_small(pivots), ["depth", "region"]).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
+    known = _small(pivots)
+    stars = [
+        crowd.select(_region("tree", "path", d).alias("region"), F.col("id").alias("v"))
+        .join(known.filter(F.col("depth") == d), "region")
+        .select(F.col("pivot").alias("u"), "v")
+        for d in LEVELS
+    ]
+    return reduce(DataFrame.unionByName, stars)
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -95,6 +95,41 @@ def test_near_components_equal_brute_force(spark, width):
     assert {i for i, r in rows.items() if r.kept} == {i for i, c in want.items() if i == c}
 
 
+def test_stars_of_crowds_list_a_class_only_where_it_is_in_a_crowd(spark):
+    """Every member of a crowd is paired with the middle of it, at each depth; classes are not listed by depth beforehand."""
+    rng = random.Random(5)
+    base = {tree: bytes(rng.randrange(256) for _ in range(16)) for tree in range(3)}
+    rows = []
+    for i in range(260):
+        for tree, path in base.items():
+            # some leave the path of the crowd early, some late
+            cut = 16 if i % 3 == 0 else 8 + 2 * rng.randrange(4) if tree else 16 if i % 5 else 10
+            rows.append((i, tree, path[:cut] + bytes(rng.randrange(256) for _ in range(16 - cut))))
+    crowd = spark.createDataFrame(rows, "id long, tree int, path binary")
+    stars = near_dedup._stars(crowd)
+    want = []
+    members, on_path = defaultdict(list), defaultdict(int)
+    for i, tree, path in rows:
+        for d in near_dedup.LEVELS:
+            members[d, tree, path[: 2 * d]].append((i, path))
+    members = {k: v for k, v in members.items() if len(v) > near_dedup.CROWD}
+    middles = {}
+    for k, v in members.items():
+        count = defaultdict(int)
+        for _, path in v:
+            count[path] += 1
+        middles[k] = max(count, key=lambda path: (count[path], path))
+        if k[0] == near_dedup.LEVELS[0]:
+            for i, path in v:
+                on_path[i] += path == middles[k]
+    for k, v in members.items():
+        pivot = max((i for i, path in v if path == middles[k]), key=lambda i: (on_path[i], -i))
+        want += [(pivot, i) for i, _ in v]
+    assert len({k[0] for k in members}) == 3
+    assert sorted(map(tuple, stars.collect())) == sorted(want)
+    assert "Generate" not in stars._jdf.queryExecution().toString()
+
+
 def test_near_families_in_a_crowd(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "CROWD", 4)
     rng = random.Random(31)
