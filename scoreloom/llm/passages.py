@@ -40,6 +40,8 @@ LONG_SENTENCE = 48
 PIECE = 4
 #: Spans that may be broadcast, at some 40 bytes each.
 MOST_IDS = 100_000
+#: Bits of the filter of documents that hold a span: for each span, and at most (32 MB).
+SPAN_BITS, MOST_BITS = 8, 1 << 28
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -222,6 +224,26 @@ def find_paragraphs(docs: DataFrame, width: int, least: int, least_run: int, key
     return materialize(joined.select("doc", "key", F.explode(spans).alias("p")).select("doc", "key", "p.*"), "paragraphs")
 
 
+def _may_hold(doc: Column, spans: DataFrame, count: int) -> Column:
+    """False only for documents (by hash) that hold none of the ``count`` spans, and for most of those: a bit for each hash."""
+    bits = min(max(1 << (SPAN_BITS * count).bit_length(), 1 << 15), MOST_BITS)
+    place = F.pmod(F.col("__doc"), F.lit(bits)) + 1
+    parts = spans.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("held")
+    )
+    held = np.zeros((bits >> 15, 1 << 12), dtype=np.uint8)
+    for row in parts.collect():
+        held[row["part"] - 1] = np.frombuffer(row["held"], dtype=np.uint8)
+    shared = spans.sparkSession.sparkContext.broadcast(held.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may(docs: pd.Series) -> pd.Series:
+        at = docs.to_numpy(dtype=np.int64) % bits
+        return pd.Series((np.frombuffer(shared.value, dtype=np.uint8)[at >> 3] >> (at & 7) & 1).astype(bool))
+
+    return may(doc)
+
+
 def _colliding(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ``u`` < ``v`` of class ids that share a band, in crowds with two others only; and ``id`` of the classes in
     crowds."""
@@ -287,8 +309,12 @@ def repeated_passages(
     )
     ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).unionByName(crowd).distinct()
     spans = materialize(classes.join(ids, "id").select("id", "n", F.col("doc").alias("__doc"), "start", "end"), "named-spans")
-    few = spans.count() <= MOST_IDS
+    count = spans.count()
+    few = count <= MOST_IDS
     texts = docs.select(F.col(text).alias("text"), _document(key, text).alias("doc"))
+    if not few:
+        # only texts that are likely to hold a span are moved to them
+        texts = texts.filter(_may_hold(F.col("doc"), spans, count))
     named = texts.join(F.broadcast(spans) if few else spans, F.col("doc") == F.col("__doc"))
     sets = materialize(
         named.select("id", "n", _span_sets(F.col("text"), F.col("start"), F.col("end"), width).alias("set")).dropDuplicates(["id"]),

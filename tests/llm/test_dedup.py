@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 from corpus import as_docs, awkward, prose
+from pyspark.sql import functions as F
 
 from scoreloom.llm import exact_dedup, line_templates, near_dedup, passages
 from scoreloom.llm.components import components
@@ -248,3 +249,20 @@ def test_template_lines(spark):
     docs = awkward(spark)
     assert line_templates.drop_template_lines(docs).count() == docs.count()
     assert line_templates.drop_template_lines(docs.limit(0)).count() == 0
+
+
+def test_only_texts_that_may_hold_a_span_are_moved_to_it(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.xxhash64("id").alias("doc"), "id")
+    spans = docs.filter("id % 10 = 0").select(F.col("doc").alias("__doc"))
+    passed = {r["id"] for r in docs.filter(passages._may_hold(F.col("doc"), spans, 2_000)).select("id").collect()}
+    assert passed >= set(range(0, 20_000, 10)) and len(passed) < 6_000
+    rng = random.Random(3)
+    shared = [prose(rng, 60) for _ in range(6)]
+    texts = [prose(rng, 40) + "\n" + shared[i % 6].replace(" ", " x ", i % 3) + "\n" + prose(rng, 40) for i in range(40)]
+    found = [passages.repeated_passages(as_docs(spark, texts)).drop("cluster_id").collect()]
+    monkeypatch.setattr(passages, "MOST_IDS", 0)
+    used = []
+    may_hold = passages._may_hold
+    monkeypatch.setattr(passages, "_may_hold", lambda *a: used.append(1) or may_hold(*a))
+    found.append(passages.repeated_passages(as_docs(spark, texts)).drop("cluster_id").collect())
+    assert used and found[0] and sorted(map(tuple, found[0])) == sorted(map(tuple, found[1]))
