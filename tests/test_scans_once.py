@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from scoreloom.operators import boosting, models, stats
@@ -123,3 +124,14 @@ def test_preparation_stores_its_wide_frames_with_code_that_the_jvm_compiles(spar
     prepared = prepare.prepare(rows, params, ["id"], bucket=F.col("id") * 7919)
     assert prepared.features and used["prepared"] == used["clean"] == 8000
     assert spark.conf.get(limit) == before
+
+
+@pytest.mark.parametrize("kind", ["dt", "rf"])
+def test_a_model_scores_in_a_session_that_has_observed_a_query(spark, kind):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 3
+    rows = spark.range(N).select((F.col("id") % 41).cast("double").alias("x"), (F.col("id") % 41 > 20).cast("int").alias("y"))
+    settings = models.forest(numTrees=3) if kind == "rf" else models.single_tree()
+    model = models.fit_model(rows, ["x"], "y", kind, settings)
+    assert model.score(rows).filter(F.col("y") == F.col(f"{kind}_y_pred")).count() == N
