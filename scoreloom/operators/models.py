@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.exprs import q
 from scoreloom.operators import boosting, metrics
+from scoreloom.operators import forest as forests
 from scoreloom.operators.encode import score_bands
 from scoreloom.operators.ordering import quantile_bin, quantile_edges
 from scoreloom.operators.stats import top_features
@@ -58,18 +59,21 @@ def _training_rows(df: DataFrame, features: Sequence[str], target: str) -> DataF
     )
 
 
+def _even_rows(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    # stored, because Spark joins small partitions of a shuffle for a written table, but not for a cached one
+    return materialize(_training_rows(df, features, target).hint("rebalance"), "training")
+
+
 @contextmanager
 def _vectors(df: DataFrame, features: Sequence[str], target: str, assembler: VectorAssembler, even: bool = False) -> Iterator[DataFrame]:
     """Labels and vectors of the training rows, held while a model is fitted, because fits read them several times.
 
     ``even`` deals the rows evenly to the tasks: stored tables of few files leave most tasks without rows.
     """
-    rows = _training_rows(df, features, target)
     if even:
-        # stored, because Spark joins small partitions of a shuffle for a written table, but not for a cached one
-        yield assembler.transform(materialize(rows.hint("rebalance"), "training")).select(VECTOR, LABEL)
+        yield assembler.transform(_even_rows(df, features, target)).select(VECTOR, LABEL)
         return
-    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    held = _training_rows(df, features, target).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield assembler.transform(held).select(VECTOR, LABEL)
     finally:
@@ -113,7 +117,7 @@ class FittedModel:
     classes: list[str] = field(default_factory=list)  # more than two
     importances: dict[str, float] = field(default_factory=dict)
     coefficients: list[dict] = field(default_factory=list)
-    trees: boosting.Boosted | None = None  # boosted trees stand for themselves, without ``models``
+    trees: boosting.Boosted | forests.Forest | None = None  # boosted trees and forests stand for themselves, without ``models``
 
     # -- scoring -----------------------------------------------------------------------------
 
@@ -181,7 +185,8 @@ class FittedModel:
         doc = json.loads(spark.read.text(f"{path}/about").first()[0])
         trees, count = doc.pop("trees"), doc.pop("n_models")
         models = [PipelineModel.load(f"{path}/model-{i}") for i in range(count)]
-        return cls(models=models, trees=boosting.Boosted.from_json(trees) if trees else None, **doc)
+        kind = forests.Forest if trees and "forest" in json.loads(trees) else boosting.Boosted
+        return cls(models=models, trees=kind.from_json(trees) if trees else None, **doc)
 
     def importance_table(self, spark: SparkSession) -> DataFrame:
         """(columns, importances), most important first."""
@@ -197,8 +202,12 @@ def fit_model(
     settings = estimator or ESTIMATORS[name]()
     if isinstance(settings, boosting.Settings):
         return _of_trees(boosting.fit(df, features, target, 2, settings)[-1])
+    is_forest = isinstance(settings, RandomForestClassifier)
+    if is_forest and forests.grows(settings):
+        trees, weights = forests.fit(_even_rows(df, features, target), features, LABEL, settings)
+        return FittedModel(name, features, [], importances=weights, trees=trees)
     assembler = _vector([f"f{i}" for i in range(len(features))])
-    with _vectors(df, features, target, assembler, even=isinstance(settings, RandomForestClassifier)) as rows:
+    with _vectors(df, features, target, assembler, even=is_forest) as rows:
         fitted = settings.fit(rows)
     weights = fitted.featureImportances.toArray()
     return FittedModel(
