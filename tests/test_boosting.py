@@ -185,3 +185,36 @@ def test_cuts_are_near_quantiles(spark):
     assert np.abs(ranks - np.arange(1, 10) / 10).max() < 0.005
     df = spark.createDataFrame([(float(i % 5) if i % 3 else None, None) for i in range(100)], "x double, y double")
     assert quantile_cuts(df, ["x", "y"], 9) == {"x": [0.0, 1.0, 2.0, 3.0], "y": []}
+
+
+def test_nodes_are_those_of_the_cuts_one_by_one():
+    random = np.random.default_rng(3)
+    tree = boosting.Tree(np.full(15, -1), random.integers(1, 6, 15), random.random(15) < 0.5, random.random(15))
+    tree.column[[0, 1, 2, 4, 5]] = [2, 0, 1, 1, 2]
+    groups = random.integers(0, 8, (3, 200)).astype(np.uint8)
+    for levels in range(4):
+        expected = []
+        for row in groups.T.tolist():
+            at = 0
+            for _ in range(levels):
+                if tree.column[at] >= 0:
+                    group = row[tree.column[at]]
+                    at = 2 * at + 2 - int(tree.missing_left[at] if group == 0 else group <= tree.group[at])
+            expected.append(at)
+        assert tree.nodes(groups, levels).tolist() == expected
+
+
+def test_a_block_holds_several_batches(spark):
+    rows = spark.range(0, 45_000, 1, 1).select((F.col("id") % 5).alias("x"), (F.col("id") % 2).alias("y"))
+    stored = boosting._prepared(rows, [[1.0, 3.0]], ["x"], "y", F.lit(-1), 1, 1, True)
+    sizes = stored.blocks.map(lambda block: len(block[3])).collect()
+    stored.free()
+    assert sizes == [45_000]
+
+
+def test_a_model_of_one_column_scores(spark):
+    rows = spark.range(400).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") % 9 > 4).cast("int").alias("y"))
+    (model,) = boosting.fit(rows, ["x"], "y", 2, boosting.Settings(rounds=3, depth=2, rate=0.5))
+    scored = model.score(rows, {1: "p"})
+    assert scored.filter((F.col("p") > 0.5) != (F.col("y") == 1)).count() == 0
+    assert model.score(rows, {0: "n", 1: "p"}).filter(F.abs(F.col("n") + F.col("p") - 1) > 1e-12).count() == 0
